@@ -70,7 +70,7 @@ def _filter(y: np.ndarray, spread: np.ndarray, threshold: float, drift: float, s
     return out, np.where(used >= 8, np.sqrt(total / np.maximum(used, 1)), spread)
 
 
-def flag_series(value: np.ndarray, usable: np.ndarray, *, threshold: float = 6.0, drift: float = 0.03, settle: int = 5, stuck: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def flag_series(value: np.ndarray, usable: np.ndarray, *, threshold: float = 5.0, drift: float = 0.03, settle: int = 5, stuck: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(off level, stuck) for (series, time) readings; usable marks those that
     are possible. Fewer than eight usable readings give no level, so nothing is
     off it."""
