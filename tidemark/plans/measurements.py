@@ -123,9 +123,9 @@ stats AS (
 
 SQL = {
     "p2_profile": f"WITH {_LONG} SELECT load_id, column_name, n_rows, n_null, n_wrong, n_distinct, min_value, max_value FROM stats",
-    "p2_quantiles": f"""WITH {_LONG} SELECT load_id, column_name, q, quantile_cont(v, q) AS value FROM (
-        SELECT load_id, column_name, v, 0.25::DOUBLE AS q FROM long UNION ALL SELECT load_id, column_name, v, 0.5 FROM long UNION ALL SELECT load_id, column_name, v, 0.75 FROM long)
-        WHERE v IS NOT NULL GROUP BY ALL""".replace("quantile_cont(v, q)", "CASE q WHEN 0.25 THEN quantile_cont(v, 0.25) WHEN 0.5 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.75) END"),
+    "p2_quantiles": f"""WITH {_LONG}, three AS (
+        SELECT load_id, column_name, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM long WHERE v IS NOT NULL GROUP BY ALL)
+      SELECT load_id, column_name, 0.25::DOUBLE AS q, a::DOUBLE AS value FROM three UNION ALL SELECT load_id, column_name, 0.5, b FROM three UNION ALL SELECT load_id, column_name, 0.75, c FROM three""",
     "p2_distances": f"""WITH {_LONG},
       sized AS (SELECT column_name, load_id, count(*)::DOUBLE AS size FROM long WHERE v IS NOT NULL GROUP BY ALL),
       points AS (SELECT DISTINCT column_name, v FROM long WHERE v IS NOT NULL),
