@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import percentiles as pct
+from tidemark.llm.leakage import leaks
 from tidemark.session import materialise, table
 
 CALLS = "generation_safe_hybrid_concurrency_v1"
@@ -47,7 +48,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sure.unionByName(e.where(F.col("p") >= 4 * F.col("m")).select("tool", "mode"))
 
 
-QUERIES = {f.__name__: f for f in (p1_sketch, p1_percentiles, p1_found)}
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak with its alignment score and the share of the item's words."""
+    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score", "covered", "size", F.round("share", 6).alias("share"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_sketch, p1_percentiles, p1_found, p7_leaks, p7_found)}
 
 SQL = {
     "p1_sketch": f"""WITH calls AS (SELECT DISTINCT measurement_id, tool, mode, recorded_at::DATE::VARCHAR AS day, wall_ms, load_phase_ms FROM {CALLS}),
