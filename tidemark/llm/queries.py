@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import percentiles as pct
 from tidemark.llm.leakage import leaks
+from tidemark.llm.mixing import mixture
 from tidemark.session import materialise, table
 
 CALLS = "generation_safe_hybrid_concurrency_v1"
@@ -58,7 +59,26 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_sketch, p1_percentiles, p1_found, p7_leaks, p7_found)}
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Rate and copies of every document."""
+    return _mixture(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and share reached of every source."""
+    return _mixture(spark, d)[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that can't reach their share."""
+    return p8_shares(spark, d).where("NOT enough").select("source")
+
+
+QUERIES = {f.__name__: f for f in (p1_sketch, p1_percentiles, p1_found, p7_leaks, p7_found, p8_mixture, p8_shares, p8_found)}
 
 SQL = {
     "p1_sketch": f"""WITH calls AS (SELECT DISTINCT measurement_id, tool, mode, recorded_at::DATE::VARCHAR AS day, wall_ms, load_phase_ms FROM {CALLS}),
