@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import abuse
 from tidemark.llm import percentiles as pct
 from tidemark.llm.leakage import leaks
-from tidemark.llm.mixing import mixture
+from tidemark.llm.mixing import mixture, source_name
+from tidemark.llm.neighbours import search, similar_pairs
 from tidemark.session import materialise, table
 
 CALLS = "generation_safe_hybrid_concurrency_v1"
@@ -49,6 +51,28 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sure.unionByName(e.where(F.col("p") >= 4 * F.col("m")).select("tool", "mode"))
 
 
+DIM = 96
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs among each other's five most similar, with their cosine."""
+    p = similar_pairs(table(spark, d, "symbol_embeddings"), id_col="symbol_id", vector="embedding", dim=DIM)
+    return p.select(F.col("a").alias("symbol_id_a"), F.col("b").alias("symbol_id_b"), F.round("cosine", 6).alias("cosine"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pairs(spark, d).select("symbol_id_a", "symbol_id_b")
+
+
+def p5_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of every symbol whose number is divisible by 100,
+    exactly, against all vectors."""
+    v = table(spark, d, "symbol_embeddings")
+    asked = table(spark, d, "symbols").where("ord % 100 = 0").select(F.col("id").alias("symbol_id"))
+    found = search(v.join(asked, "symbol_id", "left_semi"), v, id_col="symbol_id", vector="embedding", dim=DIM)
+    return found.select(F.col("query").alias("symbol_id"), "rank", F.col("id").alias("neighbour_id"), F.round("cosine", 5).alias("cosine"))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Every leak with its alignment score and the share of the item's words."""
     found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -78,7 +102,27 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).where("NOT enough").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_sketch, p1_percentiles, p1_found, p7_leaks, p7_found, p8_mixture, p8_shares, p8_found)}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "review_labels")
+    model = abuse.fit(*abuse.labelled(docs, labels))
+    return abuse.score(docs.withColumn("source", source_name(F.col("source"))), model, carry=("source",))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score of every document, with the sentence most to blame."""
+    return _scored(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of every source, spellings joined."""
+    return abuse.rates(_scored(spark, d), by="source")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("score >= 0.5").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_sketch, p1_percentiles, p1_found, p5_pairs, p5_found, p5_search, p7_leaks, p7_found, p8_mixture, p8_shares, p8_found, p9_scores, p9_rates, p9_found)}
 
 SQL = {
     "p1_sketch": f"""WITH calls AS (SELECT DISTINCT measurement_id, tool, mode, recorded_at::DATE::VARCHAR AS day, wall_ms, load_phase_ms FROM {CALLS}),
