@@ -142,7 +142,7 @@ def noisy_or(logits: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
     return -np.expm1(-clear)
 
 
-def fit(texts: list[str], labels: np.ndarray, *, steps: int = 250, rate: float = 0.25, decay: float = 0.1, start: float = -7.0, common: float = 0.03, least: int = 2) -> Model:
+def fit(texts: list[str], labels: np.ndarray, *, steps: int = 250, rate: float = 0.25, decay: float = 0.05, start: float = -7.0, common: float = 0.1, least: int = 1) -> Model:
     """Fit by Adam on the documents' log-likelihood. labels: share of raters who
     call the document abusive; positive documents weigh as much as the others
     together up to a factor of 8. Without both kinds of labels nothing can be
