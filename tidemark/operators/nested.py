@@ -117,6 +117,22 @@ def flatten(nested: DataFrame, levels: list[Level], depth: int) -> DataFrame:
     return nested.select("key", "children").mapInArrow(emit, ", ".join(schema))
 
 
+def outline(nested: DataFrame, levels: list[Level], depths: tuple[int, ...]) -> DataFrame:
+    """The places of the objects of several levels, in one pass: key and the
+    number at each level down to the deepest asked for; -1 below an object's own
+    level."""
+    names = [f"{x.name}_no" for x in levels[: max(depths) + 1]]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d in depths:
+                for b in _emit(iter([batch]), d, levels):
+                    below = pa.array(np.full(b.num_rows, -1), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(k) for k in range(d + 2)] + [below] * (len(names) - d - 1), ["key", *names])
+
+    return nested.select("key", "children").mapInArrow(emit, ", ".join(["key long", *(f"{n} long" for n in names)]))
+
+
 #: The trace of a boundary probe: attempts (or the record itself), the load
 #: results of each, and the accesses of each load result.
 TRACE = [

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.drift import drift, unify
-from tidemark.operators.nested import TRACE, flatten, layout
+from tidemark.operators.nested import TRACE, flatten, layout, outline
 from tidemark.operators.profile import Check, Profile, departures, profile
 from tidemark.operators.spikes import spikes
 from tidemark.session import table
@@ -92,8 +92,8 @@ def p4_accesses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["probe_id", "attempt_no", "load_no"]
-    return _trace(spark, d, 1).select(*keys, F.lit(-1).cast("long").alias("access_no")).unionByName(_trace(spark, d, 2).select(*keys, "access_no"))
+    nested = layout(table(spark, d, PROBES), key="probe_id", text="parity_debug_json", levels=TRACE)
+    return outline(nested, TRACE, (1, 2)).withColumnRenamed("key", "probe_id")
 
 
 def p6_spikes(spark: SparkSession, d: str) -> DataFrame:
