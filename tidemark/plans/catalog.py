@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import measurements
+from tidemark.plans import measurements, reference
 
 
 def queries() -> dict:
-    return dict(measurements.QUERIES)
+    return reference.QUERIES | measurements.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(measurements.SQL)
+    return reference.SQL | measurements.SQL
