@@ -4,9 +4,11 @@ Each table sorts all vectors by a key of sign bits, in which near vectors share
 a long prefix; the sorted array is cut into ranges that lie on different
 executors. Around each vector a window opens in the array. Within it, collisions
 are counted over PROJECTIONS single projections, each quantised into cells: two
-vectors collide in one if their cells are the same or next to each other, so
-every window is centred on its query; halving the number of cells is the next
-round of virtual rehashing. Vectors that exceed the collision threshold are
+vectors collide in one if their cells are at most radius apart, so every window
+is centred on its query; a greater radius is the next round of virtual
+rehashing, over the same cells. With cells of a quarter of a standard deviation
+and radius 2, vectors of cosine 0.92 collide in 28 of 32 projections on
+average, unrelated ones in 11. Vectors that reach the collision threshold are
 verified with the exact cosine.
 
 Windows are bounded by rank, not by distance: in 96 dimensions a window wide
@@ -33,7 +35,7 @@ KEY_BITS = 56
 #: A window reaches so many places to either side.
 REACH = 24
 #: Tables are as many as give a pair of this cosine the recall wanted.
-DESIGN_COSINE, DESIGN_RECALL = 0.92, 0.97
+DESIGN_COSINE, DESIGN_RECALL = 0.92, 0.99
 
 
 def tables_for(n: int, reach: int = REACH, cosine: float = DESIGN_COSINE, recall: float = DESIGN_RECALL) -> int:
@@ -90,7 +92,7 @@ def _unpack(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
     return out
 
 
-def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int) -> Iterator[pa.RecordBatch]:
+def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int, radius: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one sorted range that collide often enough, within reach of each
     other in one table."""
     tail: tuple | None = None
@@ -104,7 +106,7 @@ def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int) -> I
         for d in range(1, min(reach, len(ids) - 1) + 1):
             start = max(0, old - d)  # pairs within the tail have been looked at
             x, y = cells[start : len(ids) - d], cells[start + d :]
-            count = (np.abs(x - y) <= 1).sum(axis=1, dtype=np.int16)
+            count = (np.abs(x - y) <= radius).sum(axis=1, dtype=np.int16)
             hit = np.flatnonzero((count >= threshold) & (table[start : len(ids) - d] == table[start + d :])) + start
             a.append(ids[hit]), b.append(ids[hit + d])
         tail = tuple(x[-reach:] for x in (key, ids, s1, s2))
@@ -122,7 +124,7 @@ def _cosine(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("ida"), batch.column("idb"), pa.array(cos)], ["ida", "idb", "cos"])
 
 
-def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int = 5, least: float = 0.85, threshold: int = 19, reach: int = REACH, seed: int = 7) -> DataFrame:
+def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int = 5, least: float = 0.85, threshold: int = 21, radius: int = 2, reach: int = REACH, seed: int = 7) -> DataFrame:
     """(a, b, cosine): pairs of usable vectors with a cosine of at least least,
     of which at least one is among the k most similar to the other; a < b as
     strings. Of equally similar ones the smaller id comes first.
@@ -161,7 +163,7 @@ def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int =
         return _keys(batches, dim, tables, seed)
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _collide(batches, reach, threshold)
+        return _collide(batches, reach, threshold, radius)
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _cosine(batches, dim)
