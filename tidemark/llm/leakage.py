@@ -83,31 +83,23 @@ def align(doc: np.ndarray, item: np.ndarray, match: int = 2, miss: int = 1, gap:
 
 def stretches(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> int:
     """Most words of item that lie, in its order, in stretches of at least so
-    many words in doc. Exact: chains all common stretches."""
-    ends: list[tuple[int, int, int]] = []
-    prev = np.zeros(len(doc) + 1, np.int64)
-    for i, w in enumerate(item):
-        cur = np.zeros(len(doc) + 1, np.int64)
-        cur[1:] = np.where(doc == w, prev[:-1] + 1, 0)
-        broken = np.zeros(len(doc) + 1, bool)  # stretches that end with the word before
-        broken[:-1] = (prev[:-1] >= least) & (cur[1:] == 0)
-        ends += [(i, int(d), int(prev[d])) for d in np.flatnonzero(broken)]
-        if prev[-1] >= least:
-            ends.append((i, len(doc), int(prev[-1])))
-        prev = cur
-    ends += [(len(item), int(d), int(prev[d])) for d in np.flatnonzero(prev >= least)]
-    # (end in item, end in doc, length); later ones may give up words they share with earlier ones
-    ends.sort()
-    best: list[int] = []
-    for n, (i, d, size) in enumerate(ends):
-        top = size
-        for m in range(n):
-            i2, d2, _ = ends[m]
-            left = min(size, i - i2, d - d2)
-            if left >= least:
-                top = max(top, best[m] + left)
-        best.append(top)
-    return max(best, default=0)
+    many words in doc. Exact: best[i, d] over the first i and d words is that
+    without one of the last words, or that of a stretch which ends with both."""
+    best = [np.zeros(len(doc) + 1, np.int64)]  # of the rows up to least back
+    run = np.zeros(len(doc) + 1, np.int64)
+    ending = np.full(len(doc) + 1, -1, np.int64)  # best with a stretch that ends here
+    for w in item:
+        equal = doc == w
+        new_run, new_end = np.zeros_like(run), np.full_like(ending, -1)
+        new_run[1:] = np.where(equal, run[:-1] + 1, 0)
+        new_end[1:] = np.where(equal & (ending[:-1] >= 0), ending[:-1] + 1, -1)
+        if len(best) >= least and len(doc) >= least:
+            start = np.where(new_run[least:] >= least, best[-least][:-least] + least, -1)
+            new_end[least:] = np.maximum(new_end[least:], start)
+        best.append(np.maximum.accumulate(np.maximum(best[-1], new_end)))
+        best = best[-least:]
+        run, ending = new_run, new_end
+    return int(best[-1][-1])
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
