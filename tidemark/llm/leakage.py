@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 #: A stretch counts from so many words on; also the length of the seeds.
 SEED = 8
 #: Seeds are broadcast up to so many, else joined by shuffle.
@@ -128,12 +130,13 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
     with SEED words, and without standing instructions, they are rare, so none
     has to be dropped for being frequent.
     """
-    own = own_passages(items, item=item, passage=passage)
+    own = materialise(own_passages(items, item=item, passage=passage))
     seeds = own.select("item", F.explode(runs(F.col("words"))).alias("h")).distinct()
     count = seeds.limit(BROADCAST_SEEDS + 1).count()
     words = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), plain(F.col(text)).alias("doc_words"))
     hits = words.where(F.length("doc_words") > 2 * SEED - 2).select("doc", F.explode(F.array_distinct(runs(F.split("doc_words", " ")))).alias("h"))
-    pairs = hits.join(F.broadcast(seeds) if count <= BROADCAST_SEEDS else seeds, "h").select("doc", "item").distinct()
+    # written, so that Spark knows how few they are before it reads the texts again
+    pairs = materialise(hits.join(F.broadcast(seeds) if count <= BROADCAST_SEEDS else seeds, "h").select("doc", "item").distinct())
     found = pairs.join(words, "doc").join(own.withColumnRenamed("words", "item_words"), "item")
     scored = found.select(F.col("doc"), F.col("item").cast("long").alias("item"), "doc_words", "item_words").mapInArrow(_score, "doc long, item long, score int, covered int, size int")
     return scored.where(F.col("covered") >= least * F.col("size")).withColumn("share", F.col("covered") / F.col("size"))
