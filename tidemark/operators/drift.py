@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 #: Word parts that name the same thing in field names of
 #: measurements, longer form to the common one.
 SAME_WORDS = {
@@ -231,7 +233,8 @@ def drift(files: DataFrame, rows: DataFrame, *, file: str = "file_id", line: str
     see changes(). The type of a field is the JSON type of most of its values
     (of equally many, the first in the order of TYPES)."""
     e = entries(rows, row=row, file=file, record=record)
-    return changes(steps(files, field_profiles(e), file=file, line=line, order=order))
+    # profiles are read as those of the file and of the one before it
+    return changes(steps(files, materialise(field_profiles(e)), file=file, line=line, order=order))
 
 
 def canonical_names(found: DataFrame, e: DataFrame, files: DataFrame, *, file: str, line: str, family: str) -> DataFrame:
@@ -275,7 +278,8 @@ def unify(files: DataFrame, rows: DataFrame, *, file: str = "file_id", line: str
     NULL there. Where two fields of a record have one canonical name, the
     greater value as text stands."""
     e = entries(rows, row=row, file=file, record=record)
-    names = canonical_names(changes(steps(files, field_profiles(e), file=file, line=line, order=order)), e, files, file=file, line=line, family=family)
+    e = materialise(e)
+    names = canonical_names(changes(steps(files, materialise(field_profiles(e)), file=file, line=line, order=order)), e, files, file=file, line=line, family=family)
     home = files.select(F.col(file).alias("file"), F.col(line).alias("line"), F.col(family).alias("family")).distinct()
     long = e.join(home, "file").join(names, ["line", "field"])
     wide_names = [n for n, _ in wide]
