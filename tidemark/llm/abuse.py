@@ -200,8 +200,9 @@ def labelled(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: s
     """Texts and mean verdicts of at most limit labelled documents. A document
     with a NULL text or without verdict is left out."""
     votes = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc).alias("tm_doc")).agg(F.avg(label).alias("tm_y"))
+    # at most limit rows, so they may be broadcast, and texts stay where they are
     votes = votes.orderBy(F.xxhash64("tm_doc"), "tm_doc").limit(limit)
-    rows = docs.select(F.col(doc).alias("tm_doc"), F.col(text).alias("tm_text")).join(votes, "tm_doc").where("tm_text IS NOT NULL").select("tm_doc", "tm_text", "tm_y").orderBy("tm_doc").collect()
+    rows = docs.select(F.col(doc).alias("tm_doc"), F.col(text).alias("tm_text")).join(F.broadcast(votes), "tm_doc").where("tm_text IS NOT NULL").select("tm_doc", "tm_text", "tm_y").orderBy("tm_doc").collect()
     return [r["tm_text"] for r in rows], np.array([r["tm_y"] for r in rows])
 
 
