@@ -54,7 +54,7 @@ def test_another_quantity_is_no_rename(spark):
 def test_nulls_odd_values_repeats_and_bad_records(spark):
     a = recs(x=MS, y=lambda i: "t")
     b = [dict(r, x="odd") if i == 2 else dict(r, x=None) if i == 3 else r for i, r in enumerate(recs(x=MS, y=lambda i: "t"))]
-    f, r = setup(spark, [a, b + [None, "", "{", "[1]", "5"]])
+    f, r = setup(spark, [a, b + [None, "", "{", "[1]", "5", '{"z": 1} z', '{"z": 1}, {"z": 1}']])
     assert drift(f, r.union(r)).count() == 0
 
 

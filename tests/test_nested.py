@@ -38,7 +38,7 @@ def test_json_inside_strings(spark):
 
 def test_nothing_from_what_is_not_valid(spark):
     whole = json.dumps(trace([LOAD]))
-    for t in (None, "", "  ", whole[:-3], "[]", "3", "null", '"text"', '{"hydration_trace": "{"}', '{"attempts": []}', '{"hydration_trace": null}'):
+    for t in (None, "", "  ", whole[:-3], whole + " x", whole + whole, whole + "," + whole, "[]", "3", "null", '"text"', '{"hydration_trace": "{"}', '{"attempts": []}', '{"hydration_trace": null}'):
         assert places(spark, [t]) == []
 
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import parse_json
 from tidemark.session import materialise
 
 #: Word parts that name the same thing in field names of
@@ -136,7 +137,7 @@ def entries(rows: DataFrame, *, row: str, file: str, record: str) -> DataFrame:
     valid JSON or not an object has no fields, and a field that is null in a
     record has no value there."""
     one = rows.select(F.col(row).alias("row"), F.col(file).alias("file"), F.col(record).alias("text")).groupBy("row").agg(F.max_by("file", "text").alias("file"), F.max("text").alias("text"))
-    parsed = one.select("row", "file", F.try_parse_json("text").alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    parsed = one.select("row", "file", parse_json(F.col("text")).alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
     spread = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("v").outer()))
     t = F.schema_of_variant("value")
     kind = (

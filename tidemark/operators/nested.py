@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import parse_json
+
 
 @dataclass(frozen=True)
 class Level:
@@ -40,7 +42,7 @@ def _open(v: Column) -> Column:
 
     def once(then):
         def opened(x: Column) -> Column:
-            return F.when(F.schema_of_variant(x) == "STRING", then(F.try_parse_json(F.try_variant_get(x, "$", "string")))).otherwise(x)
+            return F.when(F.schema_of_variant(x) == "STRING", then(parse_json(F.try_variant_get(x, "$", "string")))).otherwise(x)
 
         return opened
 
@@ -100,7 +102,7 @@ def layout(df: DataFrame, *, key: str, text: str, levels: list[Level]) -> DataFr
     or not valid JSON gives no children; so does valid JSON that isn't an
     object. A NULL key is a key like any other."""
     one = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).groupBy("key").agg(F.max("text").alias("text"))
-    return one.select("key", _let(_open(F.try_parse_json("text")), lambda v: _objects(v, levels)).alias("children"))
+    return one.select("key", _let(_open(parse_json(F.col("text"))), lambda v: _objects(v, levels)).alias("children"))
 
 
 def flatten(nested: DataFrame, levels: list[Level], depth: int) -> DataFrame:
