@@ -73,5 +73,5 @@ def parse_json(c: Column) -> Column:
     """The text as VARIANT; NULL unless all of it is one JSON value. (The parser
     alone stops after the first value, so the text is parsed as the only element
     of an array.) A repeated key in an object counts as not valid."""
-    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
-    return F.transform(F.array(items), lambda x: F.when(F.size(x) == 1, x[0]))[0]
+    items = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(F.try_variant_get(items, "$[1]", "variant").isNull(), F.try_variant_get(items, "$[0]", "variant"))
