@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import measurements, reference
+from tidemark.plans import index_queries, measurements, reference
 
 
 def queries() -> dict:
-    return reference.QUERIES | measurements.QUERIES
+    return reference.QUERIES | index_queries.QUERIES | measurements.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.SQL | measurements.SQL
+    return reference.SQL | index_queries.SQL | measurements.SQL

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import canonical, graph, integrity, paired, reads, topk
+from tidemark.operators import canonical, graph, integrity, ordered, paired, reads, topk
 from tidemark.plans.measurements import CALLS, PROBES
 from tidemark.session import table
 from tidemark.sources import files
@@ -256,8 +256,9 @@ def counts_map(spark, d):
 
 @query(f"""SELECT measurement_id, rss_after_bytes, max(rss_after_bytes) OVER (PARTITION BY repo_name, "case", mode ORDER BY repetition, measurement_id, load_id ROWS UNBOUNDED PRECEDING) AS peak FROM {CALLS}""")
 def running_peak(spark, d):
-    w = Window.partitionBy("repo_name", "case", "mode").orderBy("repetition", "measurement_id", "load_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, CALLS).select("measurement_id", "rss_after_bytes", F.max("rss_after_bytes").over(w).alias("peak"))
+    t = table(spark, d, CALLS).select("measurement_id", "rss_after_bytes", "repo_name", "case", "mode", "repetition", "load_id")
+    r = ordered.running_max(t, keys=["repo_name", "case", "mode"], piece=F.floor(F.col("repetition") / 256), order=["repetition", "measurement_id", "load_id"], value=F.col("rss_after_bytes"), out="peak")
+    return r.select("measurement_id", "rss_after_bytes", "peak")
 
 
 # --- selective reads -------------------------------------------------------
@@ -607,9 +608,9 @@ def schema_union(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
+@query("SELECT user_id, ts, event_id, event_type FROM events ORDER BY user_id, ts, event_id")
 def multi_key_sort(spark, d):
-    return table(spark, d, "events").select("event_id", "ts", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"))
+    return table(spark, d, "events").select("user_id", "ts", "event_id", "event_type").orderBy("user_id", "ts", F.col("event_id").cast("int"))
 
 
 @query("SELECT event_id, event_type, ((event_id - 1) % 3 + 3) % 3 + 1 AS turn FROM events")
@@ -640,12 +641,10 @@ def ext_cube(spark, d):
 
 @query("""SELECT c.event_id, c.ts, max_by(v.event_id, (v.ts, v.event_id)) AS last_view FROM events c LEFT JOIN events v ON v.user_id = c.user_id AND v.event_type = 'view' AND v.ts <= c.ts WHERE c.event_type = 'click' GROUP BY ALL""")
 def ext_asof(spark, d):
-    """Each click with the last view of the same user up to then: one window
-    over both, not a range join."""
-    e = table(spark, d, "events").where("event_type IN ('click', 'view')")
-    view = F.when(F.col("event_type") == "view", F.struct("ts", "event_id"))
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("v", F.max(view).over(w)).where("event_type = 'click'").select("event_id", "ts", F.col("v.event_id").alias("last_view"))
+    """Each click with the last view of the same user up to then."""
+    e = table(spark, d, "events")
+    clicks, views = (e.where(F.col("event_type") == k).select("event_id", "ts", "user_id") for k in ("click", "view"))
+    return ordered.as_of(clicks, views, key="user_id", at="ts", carry="event_id", out="last_view").drop("user_id")
 
 
 @query("SELECT l_shipdate::DATE::VARCHAR AS day, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY ALL")
