@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 #: Features are hashed into 2**BITS weights.
 BITS = 18
+#: A document counts as abusive from this score on. With ample labels, abusive
+#: documents score above 0.95; what lies between holds more harmless ones.
+THRESHOLD = 0.7
 #: The model is fitted on at most so many labelled documents (those with the
 #: least hash of their id), which bounds what comes to the driver.
 MAX_TRAIN = 20_000
@@ -128,7 +131,6 @@ def features(sentence: str) -> list[int]:
 class Model:
     weights: np.ndarray
     bias: float
-    threshold: float = 0.5
 
     def sentence_logits(self, slots: list[list[int]]) -> np.ndarray:
         w = self.weights
@@ -142,10 +144,12 @@ def noisy_or(logits: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
     return -np.expm1(-clear)
 
 
-def fit(texts: list[str], labels: np.ndarray, *, steps: int = 250, rate: float = 0.25, decay: float = 0.05, start: float = -7.0, common: float = 0.1, least: int = 1) -> Model:
+def fit(texts: list[str], labels: np.ndarray, *, steps: int = 250, rate: float = 0.25, decay: float = 0.05, start: float = -7.0, common: float = 0.03, least: int = 1, noise: float = 0.02) -> Model:
     """Fit by Adam on the documents' log-likelihood. labels: share of raters who
     call the document abusive; positive documents weigh as much as the others
-    together up to a factor of 8. Without both kinds of labels nothing can be
+    together up to a factor of 8. noise: share of verdicts that are taken to be
+    wrong, which keeps single ones from being learned by heart. common: share of
+    documents from which on a feature has little leverage. Without both kinds of labels nothing can be
     learned, and every score is the one of the starting bias."""
     y = np.asarray(labels, float)
     weights, bias = np.zeros(1 << BITS), start
@@ -182,8 +186,9 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 250, rate: float =
         z = z_inst[inst]
         prob = 1 / (1 + np.exp(-z))
         total = np.clip(noisy_or(z, bag, len(y)), 1e-9, 1 - 1e-9)
-        # d/dz of -[y log P + (1-y) log(1-P)]: p * (1 - y / P)
-        g = prob * (load * (1 - y / total))[bag]
+        # a share of verdicts is wrong either way: labels are 1 with probability noise + (1 - 2 noise) P
+        seen = noise + (1 - 2 * noise) * total
+        g = prob * (load * (1 - total) * (1 - 2 * noise) * ((1 - y) / (1 - seen) - y / seen))[bag]
         g_inst = np.bincount(inst, weights=g, minlength=len(uniq)) / load.sum()
         gw = np.bincount(flat, weights=(g_inst * scale)[row] * value, minlength=len(w)) + decay * w / len(y)
         gb = g_inst.sum()
@@ -244,7 +249,7 @@ def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "te
     return docs.select(F.col(doc).alias("doc_id"), *carry, F.col(text).alias("tm_text")).mapInArrow(run, schema)
 
 
-def rates(scored: DataFrame, *, by: str, threshold: float = 0.5) -> DataFrame:
+def rates(scored: DataFrame, *, by: str, threshold: float = THRESHOLD) -> DataFrame:
     """Per source: documents, abusive ones, their rate, mean score. NULL is a
     source of its own."""
     hit = F.col("score") >= threshold

@@ -119,7 +119,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).where("score >= 0.5").select("doc_id")
+    return _scored(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_sketch, p1_percentiles, p1_found, p5_pairs, p5_found, p5_search, p7_leaks, p7_found, p8_mixture, p8_shares, p8_found, p9_scores, p9_rates, p9_found)}
