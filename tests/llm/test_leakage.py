@@ -53,6 +53,15 @@ def test_equal_items_repeated_documents_and_long_texts(spark):
     assert found(spark, [P, P, long], [P, P, None, ""]) == [(d, i) for d in range(3) for i in range(2)]
 
 
+def test_many_seeds_are_joined_by_shuffle(spark, monkeypatch):
+    from tidemark.llm import leakage
+
+    docs, items = [P, " ".join(ITEM[:30]), " ".join(words(50, 3)), None], [P, " ".join(words(40, 4))]
+    small = found(spark, docs, items)
+    monkeypatch.setattr(leakage, "BROADCAST_SEEDS", 0)
+    assert found(spark, docs, items) == small == [(0, 0), (1, 0)]
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [P]) == found(spark, [P], []) == found(spark, [], []) == []
 

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +40,41 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))
 
 
-def runs(words: Column, size: int = SEED) -> Column:
-    """Hashes of all runs of so many words, in order; none in shorter texts."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+def runs(texts: pa.Array, size: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all runs of so many words, in order; none in shorter texts.
+    Words are hashed once each, runs by a polynomial over their words' hashes,
+    for all texts of a batch at once."""
+    lists = pc.split_pattern(texts, " ")
+    words = lists.flatten().dictionary_encode()
+    each = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = each[words.indices.to_numpy()]
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    whole = row[:n] == row[size - 1 :]
+    return row[:n][whole], out[whole].view(np.int64)
+
+
+def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h) for (id, words)."""
+    for batch in batches:
+        row, h = runs(batch.column("words"))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(h)], ["id", "h"])
 
-    def of(h: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(h) - size)
-        return F.when(F.size(h) >= size, F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.transform(F.array(hashed), of)[0]  # hashed is worked out once
+def _hits(batches: Iterator[pa.RecordBatch], seeds: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc, item) once a batch for (id, words) that have a seed; seeds sorted."""
+    for batch in batches:
+        row, h = runs(batch.column("words"))
+        lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
+        n = hi - lo
+        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.unique(np.stack([np.repeat(row, n), items[at]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(pair[:, 0])), pa.array(pair[:, 1])], ["doc", "item"])
 
 
 def own_passages(items: DataFrame, *, item: str, passage: str, openings: int = 3) -> DataFrame:
@@ -130,13 +158,22 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
     with SEED words, and without standing instructions, they are rare, so none
     has to be dropped for being frequent.
     """
-    own = materialise(own_passages(items, item=item, passage=passage))
-    seeds = own.select("item", F.explode(runs(F.col("words"))).alias("h")).distinct()
-    count = seeds.limit(BROADCAST_SEEDS + 1).count()
+    own = materialise(own_passages(items.where(F.col(item).isNotNull()), item=item, passage=passage))
+    seeds = materialise(own.select(F.col("item").cast("long").alias("id"), F.array_join("words", " ").alias("words")).mapInArrow(_all_runs, "id long, h long").distinct())
     words = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), plain(F.col(text)).alias("doc_words"))
-    hits = words.where(F.length("doc_words") > 2 * SEED - 2).select("doc", F.explode(F.array_distinct(runs(F.split("doc_words", " ")))).alias("h"))
+    long_enough = words.where(F.length("doc_words") > 2 * SEED - 2).select(F.col("doc").alias("id"), F.col("doc_words").alias("words"))
+    if seeds.count() <= BROADCAST_SEEDS:
+        known = seeds.orderBy("h", "id").toPandas()
+        sent = docs.sparkSession.sparkContext.broadcast((known["h"].to_numpy(np.int64), known["id"].to_numpy(np.int64)))
+
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _hits(batches, *sent.value)
+
+        near = long_enough.mapInArrow(hits, "doc long, item long")
+    else:
+        near = long_enough.mapInArrow(_all_runs, "id long, h long").withColumnRenamed("id", "doc").join(seeds.withColumnRenamed("id", "item"), "h").select("doc", "item")
     # written, so that Spark knows how few they are before it reads the texts again
-    pairs = materialise(hits.join(F.broadcast(seeds) if count <= BROADCAST_SEEDS else seeds, "h").select("doc", "item").distinct())
+    pairs = materialise(near.distinct())
     found = pairs.join(words, "doc").join(own.withColumnRenamed("words", "item_words"), "item")
     scored = found.select(F.col("doc"), F.col("item").cast("long").alias("item"), "doc_words", "item_words").mapInArrow(_score, "doc long, item long, score int, covered int, size int")
     return scored.where(F.col("covered") >= least * F.col("size")).withColumn("share", F.col("covered") / F.col("size"))
