@@ -27,16 +27,23 @@ SEED = 8
 BROADCAST_SEEDS = 2_000_000
 
 
+#: Characters that don't show.
+HIDDEN = "[\\u00ad\\u200b-\\u200d\\u2060\\ufeff]"
+
+
 def plain(text: Column) -> Column:
     """Words of a text, joined by blanks: HTML and string escapes undone, tags
     dropped, lower case, letters and digits only. NULL gives an empty text."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[­​-‍⁠﻿]", "")
+    raw = F.coalesce(text, F.lit(""))
+    t = F.regexp_replace(raw, HIDDEN, "")
     for _ in range(2):
         t = F.regexp_replace(t, "&(?:amp|#38|#x26);", "&")
     t = F.regexp_replace(F.regexp_replace(t, "&(?:lt|#60|#x3[cC]);", "<"), "&(?:gt|#62|#x3[eE]);", ">")
     t = F.regexp_replace(t, r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,20});", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->|</?[A-Za-z][^<>]*>", " ")
     t = F.regexp_replace(t, r"\\+(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[nrtbf])", " ")
+    # most texts have nothing to undo
+    t = F.when(raw.rlike(r"[&<\\]|" + HIDDEN), t).otherwise(raw)
     return F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))
 
 
@@ -161,7 +168,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
     own = materialise(own_passages(items.where(F.col(item).isNotNull()), item=item, passage=passage))
     seeds = materialise(own.select(F.col("item").cast("long").alias("id"), F.array_join("words", " ").alias("words")).mapInArrow(_all_runs, "id long, h long").distinct())
     words = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), plain(F.col(text)).alias("doc_words"))
-    long_enough = words.where(F.length("doc_words") > 2 * SEED - 2).select(F.col("doc").alias("id"), F.col("doc_words").alias("words"))
+    said = words.select(F.col("doc").alias("id"), F.col("doc_words").alias("words"))
     if seeds.count() <= BROADCAST_SEEDS:
         known = seeds.orderBy("h", "id").toPandas()
         sent = docs.sparkSession.sparkContext.broadcast((known["h"].to_numpy(np.int64), known["id"].to_numpy(np.int64)))
@@ -169,9 +176,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _hits(batches, *sent.value)
 
-        near = long_enough.mapInArrow(hits, "doc long, item long")
+        near = said.mapInArrow(hits, "doc long, item long")
     else:
-        near = long_enough.mapInArrow(_all_runs, "id long, h long").withColumnRenamed("id", "doc").join(seeds.withColumnRenamed("id", "item"), "h").select("doc", "item")
+        near = said.mapInArrow(_all_runs, "id long, h long").withColumnRenamed("id", "doc").join(seeds.withColumnRenamed("id", "item"), "h").select("doc", "item")
     # written, so that Spark knows how few they are before it reads the texts again
     pairs = materialise(near.distinct())
     found = pairs.join(words, "doc").join(own.withColumnRenamed("words", "item_words"), "item")
