@@ -82,46 +82,56 @@ def _word(w: str) -> tuple[str, str]:
     return w, "word"
 
 
-def words(sentence: str) -> list[tuple[str, str]]:
-    s = unicodedata.normalize("NFKC", _HIDDEN.sub("", sentence)).lower().translate(_LATIN)
+def _tokens(sentence: str) -> list[str]:
+    s = sentence.lower()
+    if not s.isascii():
+        s = unicodedata.normalize("NFKC", _HIDDEN.sub("", sentence)).lower().translate(_LATIN)
     s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]+", "", m[1]), s)
-    return [_word(w) for w in _TOKEN.findall(s)]
+    return _TOKEN.findall(s)
+
+
+def words(sentence: str) -> list[tuple[str, str]]:
+    return [_word(w) for w in _tokens(sentence)]
+
+
+_MASK = (1 << BITS) - 1
 
 
-@lru_cache(maxsize=500_000)
 def _slot(feature: str) -> int:
-    return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
+    return zlib.crc32(feature.encode()) & _MASK
 
 
-@lru_cache(maxsize=200_000)
 def _plain(w: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+    return w if w.isascii() else "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+
+
+@lru_cache(maxsize=200_000)
+def _own_slots(token: str) -> tuple[str, tuple[int, ...]]:
+    """(what stands in word pairs, slots) of one token."""
+    w, kind = _word(token)
+    w = _plain(w)
+    if kind == "word":
+        out = ["w " + w]
+        if len(w) > 2:
+            out.append(f"x {w[0]}{len(w)}{w[-1]}")
+        if len(w) > 5:
+            out.append("p " + w[:5])
+        return w, tuple(map(_slot, out))
+    if kind == "shape":
+        return "<x>", (_slot("x " + w), _slot("<starred>"))
+    return w, (_slot(w),)
 
 
 def features(sentence: str) -> list[int]:
     """Slots of a sentence: words, their shapes (which starred-out words share),
-    word pairs, and pairs of a word and one near it. Sentences that say the same
-    in other spelling have the same slots."""
-    ws = words(sentence)
+    their beginnings, and word pairs. Sentences that say the same in other
+    spelling have the same slots."""
     out: set[int] = set()
     prev = "<s>"
-    for w, kind in ws:
-        w = _plain(w)
-        if kind == "word":
-            out.add(_slot("w " + w))
-            if len(w) > 2:
-                out.add(_slot(f"x {w[0]}{len(w)}{w[-1]}"))
-            if len(w) > 5:
-                out.add(_slot("p " + w[:5]))
-            now = w
-        elif kind == "shape":
-            out.add(_slot("x " + w))
-            out.add(_slot("<starred>"))
-            now = "<x>"
-        else:
-            now = w
-            out.add(_slot(w))
-        out.add(_slot(f"b {prev} {now}"))
+    for t in _tokens(sentence):
+        now, slots = _own_slots(t)
+        out.update(slots)
+        out.add(zlib.crc32(f"b {prev} {now}".encode()) & _MASK)
         prev = now
     out.add(_slot(f"b {prev} </s>"))
     return sorted(out)
@@ -221,6 +231,7 @@ def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        weight, bias = m.weights.tolist(), m.bias
         known: dict[str, float] = {}
         for b in batches:
             bag, logits, said = [], [], []
@@ -229,7 +240,7 @@ def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "te
                     z = known.get(s)
                     if z is None:
                         f = features(s)
-                        z = float(m.bias + m.weights[f].sum() / np.sqrt(len(f))) if len(f) > 1 else -np.inf
+                        z = bias + sum([weight[i] for i in f]) / len(f) ** 0.5 if len(f) > 1 else -np.inf
                         if len(known) < 50_000:
                             known[s] = z
                     if z > -np.inf:
