@@ -22,7 +22,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, reverse: bool = False)
     in at most depth steps, with the least depth. Each step joins only the newest
     nodes, and what has been seen is cut off as a table, so the plan doesn't grow
     with the depth and cycles end by themselves."""
-    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*(("dst", "src") if reverse else ("src", "dst"))).toDF("a", "b").distinct()
+    e = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*(("dst", "src") if reverse else ("src", "dst"))).toDF("a", "b").distinct())
     seen = materialise(start.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     new = seen
     for d in range(1, depth + 1):
@@ -36,8 +36,8 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, reverse: bool = False)
 
 def closure(edges: DataFrame, depth: int) -> DataFrame:
     """src, dst, depth for all pairs joined by a path of at most depth edges."""
-    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
-    seen = materialise(e.withColumn("depth", F.lit(1)))
+    e = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    seen = e.withColumn("depth", F.lit(1))
     new = seen
     for d in range(2, depth + 1):
         step = new.select("src", F.col("dst").alias("m")).join(e.toDF("m", "dst"), "m").select("src", "dst").distinct()
