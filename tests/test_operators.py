@@ -98,13 +98,31 @@ def test_pairs_strict_and_lenient(spark):
     assert {tuple(r) for r in paired.pairs(t, **p).collect()} == {(None, 8.0, 4.0), ("k", 30.0, 10.0)}
     with pytest.raises(Exception, match="not exactly one pair"):
         paired.pairs(t, **p, strict=True).collect()
-    s = paired.pairs(t, **p).agg(*paired.summary_columns()).first()
+    s = paired.summary(paired.pairs(t, **p), []).first()
     assert (s["n_pairs"], s["ratio_of_sums"], s["median_ratio"], s["meaningful_wins"]) == (2, 38 / 14, 2.5, 1)
     assert s["geomean_ratio"] == pytest.approx(6**0.5)
-    empty = paired.pairs(t.limit(0), **p).agg(*paired.summary_columns()).first()
+    empty = paired.summary(paired.pairs(t.limit(0), **p), []).first()
     assert (empty["n_pairs"], empty["median_ratio"], empty["base_total"]) == (0, 0.0, None)
 
 
+def test_exact_quantiles_of_hot_groups_and_ties(spark):
+    import numpy as np
+
+    from tidemark.operators.quantiles import exact_quantiles
+
+    g = np.random.default_rng(0)
+    data = [(None if g.random() < 0.7 else "k", int(g.integers(0, 2)), None if g.random() < 0.1 else 5.0 if g.random() < 0.4 else float(g.normal())) for _ in range(4000)]
+    df = spark.createDataFrame(data, "a string, b int, v double").withColumns({"g": F.lit(1), "n": F.lit(2), "part": F.lit(3)})
+    qs = {"lo": 0.0, "q1": 0.137, "mid": 0.5, "hi": 1.0}
+    got = {(r["a"], r["b"]): r for r in exact_quantiles(df, keys=["a", "b"], value="v", quantiles=qs).collect()}
+    assert len(got) == 4
+    for (a, b), r in got.items():
+        x = [v for k, m, v in data if (k, m) == (a, b) and v is not None]
+        assert [r[n] for n in qs] == pytest.approx([np.quantile(x, q) for q in qs.values()])
+    assert exact_quantiles(df, keys=[], value="v", quantiles=qs).count() == 1
+    assert exact_quantiles(df.limit(0), keys=["a"], value="v", quantiles=qs).count() == 0
+
+
 def test_touching_ranges_are_not_separated(spark):
     t = spark.createDataFrame([("a", "b", 3.0), ("a", "b", 5.0), ("a", "c", 3.0), ("z", "b", 3.0), ("z", "c", 2.9), ("y", "b", 1.0)], "key string, mode string, v double")
     got = paired.separation(t, keys=["key"], mode="mode", value="v", baseline="b", candidate="c")

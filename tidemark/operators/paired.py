@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
+
 
 def pairs(df: DataFrame, *, keys: list[str], mode: str, value: str, baseline: str, candidate: str, strict: bool = False) -> DataFrame:
     """keys, base, cand: one row per key that has exactly one row of either
@@ -31,17 +33,37 @@ def geomean(c: Column) -> Column:
     return F.exp(F.avg(F.when(c > 0, F.ln(c))))
 
 
-def summary_columns(saved_at_least: float = 10.0, percent_at_least: float = 10.0) -> list[Column]:
-    """Sums, both kinds of ratio, and wins that matter: saved at least so many
-    units and at least so many percent. Medians are exact, 0 for no pair."""
+def summary(p: DataFrame, by: list[str], saved_at_least: float = 10.0, percent_at_least: float = 10.0) -> DataFrame:
+    """by and sums, both kinds of ratio, and wins that matter: saved at least so
+    many units and at least so many percent. Median and 95th percentile are
+    exact, whatever the size of a group; the median is 0 for no pair."""
     saved = F.col("base") - F.col("cand")
     pct = F.when(F.col("base") > 0, 100 * saved / F.col("base"))
     win = (saved >= saved_at_least) & (pct >= percent_at_least)
-    return [
+    d = p.withColumn("tm_ratio", ratio())
+    plain = d.groupBy(*by).agg(
         F.count("*").alias("n_pairs"), F.sum("base").alias("base_total"), F.sum("cand").alias("cand_total"), (F.sum("base") / F.sum("cand")).alias("ratio_of_sums"),
-        F.coalesce(F.median(ratio()), F.lit(0.0)).alias("median_ratio"), geomean(ratio()).alias("geomean_ratio"), F.percentile(ratio(), 0.95).alias("p95_ratio"),
-        F.count_if(win).alias("meaningful_wins"), F.count_if(~F.coalesce(win, F.lit(False))).alias("negligible"), F.count_if(saved < 0).alias("slower"),
-    ]
+        geomean(F.col("tm_ratio")).alias("geomean_ratio"), F.count_if(win).alias("meaningful_wins"), F.count_if(~F.coalesce(win, F.lit(False))).alias("negligible"), F.count_if(saved < 0).alias("slower"),
+    )
+    q = exact_quantiles(d, keys=by, value="tm_ratio", quantiles={"median_ratio": 0.5, "p95_ratio": 0.95})
+    if by:
+        r = q.toDF(*[f"tm_k{i}" for i in range(len(by))], "median_ratio", "p95_ratio")
+        joined = plain.join(r, [F.col(k).eqNullSafe(F.col(f"tm_k{i}")) for i, k in enumerate(by)], "left").drop(*[f"tm_k{i}" for i in range(len(by))])
+    else:
+        joined = plain.join(F.broadcast(q), F.lit(True), "left")  # one row each
+    return joined.withColumn("median_ratio", F.coalesce("median_ratio", F.lit(0.0)))
+
+
+def report(p: DataFrame, levels: list[list[str]]) -> DataFrame:
+    """The summary at several levels, as one table; a column that a level isn't
+    grouped by is NULL there."""
+    names = list(dict.fromkeys(c for level in levels for c in level))
+    out = None
+    for level in levels:
+        s = summary(p, level)
+        s = s.select(*[F.col(c) if c in level else F.lit(None).cast(p.schema[c].dataType).alias(c) for c in names], *[c for c in s.columns if c not in level])
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 def separation(df: DataFrame, *, keys: list[str], mode: str, value: str, baseline: str, candidate: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import canonical, graph, integrity, ordered, paired, reads, topk
 from tidemark.plans.measurements import CALLS, PROBES
-from tidemark.session import table
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import materialise, table
 from tidemark.sources import files
 from tidemark.streaming import windows
 
@@ -163,18 +164,17 @@ def _rounded(df):
 
 @query(f"WITH {_P} SELECT {_SUM} FROM p")
 def pair_ratio_summary(spark, d):
-    return _rounded(_pairs(spark, d).agg(*paired.summary_columns()))
+    return _rounded(paired.summary(materialise(_pairs(spark, d)), []))
 
 
 @query(f"WITH {_P} SELECT tool, {_SUM} FROM p GROUP BY tool")
 def pair_summary_by_tool(spark, d):
-    return _rounded(_pairs(spark, d).groupBy("tool").agg(*paired.summary_columns()))
+    return _rounded(paired.summary(materialise(_pairs(spark, d)), ["tool"]))
 
 
 @query(f"WITH {_P} SELECT repo_name, tool, {_SUM} FROM p GROUP BY GROUPING SETS ((), (repo_name), (tool))")
 def multi_level_report(spark, d):
-    p = _pairs(spark, d)
-    return _rounded(p.groupingSets([[], ["repo_name"], ["tool"]], "repo_name", "tool").agg(*paired.summary_columns()))
+    return _rounded(paired.report(materialise(_pairs(spark, d)), [[], ["repo_name"], ["tool"]]))
 
 
 @query(f"WITH {_P} SELECT repo_name, round(exp(avg(ln(base / cand))), 6) AS geomean_ratio FROM p GROUP BY repo_name")
@@ -219,16 +219,17 @@ def meaningful_wins(spark, d):
   count(*) FILTER (wall_ms > 50 AND wall_ms <= 200) AS in_band, count(*) FILTER (wall_ms BETWEEN 50 AND 200) AS in_closed FROM t GROUP BY mode""")
 def percentile_bands(spark, d):
     w = F.col("wall_ms")
-    return _timings(spark, d).groupBy("mode").agg(
-        r(F.percentile(w, 0.5)).alias("p50"), r(F.percentile(w, 0.95)).alias("p95"), r(F.max(w)).alias("top"), F.count_if((w > 50) & (w <= 200)).alias("in_band"), F.count_if(w.between(50, 200)).alias("in_closed")
-    )
+    t = materialise(_timings(spark, d))
+    q = exact_quantiles(t, keys=["mode"], value="wall_ms", quantiles={"p50": 0.5, "p95": 0.95})
+    g = t.groupBy("mode").agg(r(F.max(w)).alias("top"), F.count_if((w > 50) & (w <= 200)).alias("in_band"), F.count_if(w.between(50, 200)).alias("in_closed"))
+    return g.join(q, "mode").withColumns({"p50": r("p50"), "p95": r("p95")})
 
 
 @query(f"""WITH {_P}, g AS (SELECT tool, median(base / cand) AS speedup, count(*) FILTER (cand > base) / count(*) AS breadth FROM p GROUP BY tool)
   SELECT tool, CASE WHEN breadth > 0.25 THEN 'fail' WHEN breadth > 0.10 THEN 'design_answer_required' WHEN speedup < 1.2 THEN 'design_answer_required' ELSE 'pass' END AS verdict FROM g""")
 def gate_verdict(spark, d):
-    g = _pairs(spark, d).groupBy("tool").agg(F.median(paired.ratio()).alias("speedup"), (F.count_if(F.col("cand") > F.col("base")) / F.count("*")).alias("breadth"))
-    return g.select("tool", paired.verdict(F.lit(True), F.col("breadth"), F.lit(0.0), F.col("speedup"), speed=1.2).alias("verdict"))
+    g = paired.summary(materialise(_pairs(spark, d)), ["tool"])
+    return g.select("tool", paired.verdict(F.lit(True), F.col("slower") / F.col("n_pairs"), F.lit(0.0), F.col("median_ratio"), speed=1.2).alias("verdict"))
 
 
 @query(f"""SELECT repo_name, "case", repetition, count(*) AS n, count(DISTINCT canonical_response_hash) + max((canonical_response_hash IS NULL)::INT) AS n_hashes,

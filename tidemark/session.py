@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -64,7 +65,7 @@ def release() -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session has ended already
-            pass
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 atexit.register(release)
