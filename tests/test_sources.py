@@ -16,6 +16,8 @@ def test_csv_with_line_breaks_blanks_and_mark(spark, tmp_path):
         files.read_csv(spark, str(p), "id int, other string")
     out = str(tmp_path / "out")
     files.write_csv(df.fillna(0), out)
+    back = files.read_csv(spark, out, "id int, paths string, js string, ms double")
+    assert sorted(map(tuple, back.collect())) == [(1, " M a\n?? b", '{"k": 1}', 1.5), (2, "", "", 0.0)]
     with pytest.raises(Exception, match="exist"):
         files.write_csv(df, out)
 

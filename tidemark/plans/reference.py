@@ -11,7 +11,7 @@ from tidemark.functions import text as T
 from tidemark.operators import canonical, graph, integrity, ordered, paired, reads, topk
 from tidemark.plans.measurements import CALLS, PROBES
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.session import materialise, table
+from tidemark.session import materialise, scratch, table
 from tidemark.sources import files
 from tidemark.streaming import windows
 
@@ -601,6 +601,36 @@ def catalog_scan(spark, d):
     return files.catalog(spark, d, ["region", "nation"])
 
 
+@query(f"SELECT measurement_id, load_id, source_dirty_paths, parity_debug_json, wall_ms FROM {CALLS}")
+def csv_roundtrip(spark, d):
+    """Cells with line breaks, quotes, blanks and NULL numbers through CSV."""
+    t = table(spark, d, CALLS).select("measurement_id", "load_id", "source_dirty_paths", "parity_debug_json", "wall_ms")
+    path = scratch(spark)
+    files.write_csv(t, path)
+    return files.read_csv(spark, path, "measurement_id long, load_id int, source_dirty_paths string, parity_debug_json string, wall_ms double")
+
+
+@query("SELECT region.r_regionkey AS key, r_name AS name, count(*) AS n_nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def fragment_scan(spark, d):
+    """One JSON document per region, written and read as fragments."""
+    n = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("key")).agg(F.count("*").alias("n_nations"))
+    one = table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).join(n, "key")
+    path = scratch(spark)
+    one.repartition(5, "key").write.json(path)
+    return files.read_fragments(spark, path, "key", "key int, name string, n_nations bigint", multi_line=False)
+
+
+@query("SELECT c_custkey, c_acctbal, 1 AS pinned, 2 AS newest FROM customer")
+def pinned_version(spark, d):
+    """A version read while the next one is written stays what it was."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    root = scratch(spark)
+    first = files.publish(c, root)
+    mine = files.pinned(spark, root, first)
+    files.publish(c.withColumn("c_acctbal", F.lit(0.0)), root)
+    return mine.select("c_custkey", "c_acctbal", F.lit(first).alias("pinned"), F.lit(files.latest(spark, root)).alias("newest"))
+
+
 @query(f"""SELECT 'calls' AS family, repo_name, mode, wall_ms AS ms, canonical_response_hash, NULL::VARCHAR AS symbol_hash FROM {CALLS}
   UNION ALL SELECT 'probes', repo_name, mode, elapsed_ms, NULL, symbol_hash FROM {PROBES}""")
 def schema_union(spark, d):

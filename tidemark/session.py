@@ -45,14 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{d}"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, removed with the session."""
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage,
     survives lost executors, and is read by column. The table goes when the
     session ends, or by release()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

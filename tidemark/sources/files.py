@@ -22,7 +22,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     header must have the schema's columns."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", nullValue="\0", emptyValue="", inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", nullValue="\0", emptyValue="", inferSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
     expect_columns(raw, schema.fieldNames())
     blank = lambda f: F.col(f.name) if isinstance(f.dataType, T.StringType) else F.when(F.trim(f.name) != "", F.col(f.name))
@@ -32,18 +32,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 def write_csv(df: DataFrame, path: str) -> None:
     """Fails if there is something already; Spark's commit makes it whole or
     nothing."""
-    df.write.mode("errorifexists").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    df.write.mode("errorifexists").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def read_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    r = spark.read.option("multiLine", True)
+def read_documents(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    r = spark.read.option("multiLine", multi_line)
     return (r.schema(schema) if schema else r).json(path)
 
 
-def read_fragments(spark: SparkSession, folder: str, key: str, schema: str | None = None) -> DataFrame:
-    """One row per JSON file of a folder; a repeated key is an error, raised when
-    the rows are read."""
-    df = read_documents(spark, f"{folder}/*.json", schema)
+def read_fragments(spark: SparkSession, folder: str, key: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """One row per JSON file of a folder, or with multi_line off per line; a
+    repeated key is an error, raised when the rows are read."""
+    df = read_documents(spark, f"{folder}/*.json", schema, multi_line)
     n = df.groupBy(key).agg(F.count("*").alias("tm_n"))
     bad = F.raise_error(F.concat(F.lit("repeated fragment "), F.col(key).cast("string")))
     return df.join(n, key).where(F.when(F.col("tm_n") > 1, bad.cast("boolean")).otherwise(True)).drop("tm_n")
