@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def _emit(batches: Iterator[pa.RecordBatch], depth: int, levels: list[Level]) ->
             child = lists.flatten()
             keys = [k.take(parent) for k in keys] + [pa.array(place, pa.int64())]
             if d < depth:
-                lists = child.field("children") if child.null_count == 0 else pa.compute.struct_field(child, "children")
+                lists = pc.struct_field(child, "children")
         keep = child.field("is_object")
         columns = keys + [child.field(f) for f, _ in levels[depth].fields]
         names = ["key", *(f"{x.name}_no" for x in levels[: depth + 1]), *(f for f, _ in levels[depth].fields)]
