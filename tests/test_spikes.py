@@ -51,6 +51,13 @@ def test_nulls_everywhere(spark):
     assert found(spark, rows) == {12: "off_level", 100: "impossible"}
 
 
+def test_positions_may_begin_below_one(spark):
+    v = list(series(40))
+    v[0], v[20] = v[0] * 5, v[20] * 5
+    rows = [(i, s1, s2, pos - 3, *rest) for i, s1, s2, pos, *rest in rows_of(v)]
+    assert found(spark, rows) == {0: "off_level", 20: "off_level"}
+
+
 def test_short_sources_and_empty_tables(spark):
     assert found(spark, rows_of([1.0, 100.0, 1.0])) == {}
     assert found(spark, []) == {}

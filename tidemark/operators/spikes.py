@@ -132,7 +132,7 @@ def _flags(batches: Iterator[pa.RecordBatch], low: float, high: float, options:
                 where = placed[np.where(inside, at, start[part][:, None])]
                 a, b = flag_series(np.where(inside, val[where], np.nan), inside & usable[where], **options)
                 off[where[inside]], held[where[inside]] = a[inside], b[inside]
-        own = pos_null | ((pos - 1) // PIECE == piece[parent])
+        own = pos_null | (np.maximum((pos - 1) // PIECE, 0) == piece[parent])
         hit = own & (impossible | off | held)
         reason = np.where(impossible, "impossible", np.where(held, "stuck", "off_level"))
         yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(val[hit]), pa.array(reason[hit].tolist(), pa.string())], ["id", "value", "reason"])
@@ -145,6 +145,7 @@ def spikes(df: DataFrame, *, id_col: str, source: list[str], position: str, valu
     stuck (six or more in a row with the same value) or off_level. Repeated rows
     (same id) count once. A NULL or NaN value is never flagged and leaves a gap;
     it also ends a run of equal values. A NULL position can only be impossible.
+    Positions should count from about 1; those below lie in the first piece.
     NULL in a source column makes a source of its own. An empty table gives an
     empty result. Other columns, whatever their names, are not touched.
 
