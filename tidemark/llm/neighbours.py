@@ -5,15 +5,16 @@ a long prefix; the sorted array is cut into ranges that lie on different
 executors. Around each vector a window opens in the array. Within it, collisions
 are counted over PROJECTIONS single projections, each quantised into cells: two
 vectors collide in one if their cells are at most radius apart, so every window
-is centred on its query; a greater radius is the next round of virtual
-rehashing, over the same cells. With cells of a quarter of a standard deviation
+is centred on its query. With cells of a quarter of a standard deviation
 and radius 2, vectors of cosine 0.92 collide in 28 of 32 projections on
 average, unrelated ones in 11. Vectors that reach the collision threshold are
 verified with the exact cosine.
 
 Windows are bounded by rank, not by distance: in 96 dimensions a window wide
 enough to hold near vectors of one projection alone holds about a third of all
-vectors, so counting over whole projections is quadratic.
+vectors, so counting over whole projections is quadratic. Where a window is too
+short for what lies around it, it is full of collisions; such vectors form
+groups that are searched exactly, block by block.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ PROJECTIONS = 32
 KEY_BITS = 56
 #: A window reaches so many places to either side.
 REACH = 24
+#: Neighbouring places that link full windows to groups; vectors in a block of a group.
+LINK, BLOCK = 2, 2048
 #: Tables are as many as give a pair of this cosine the recall wanted.
 DESIGN_COSINE, DESIGN_RECALL = 0.92, 0.99
 
@@ -94,26 +97,97 @@ def _unpack(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
 
 def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int, radius: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one sorted range that collide often enough, within reach of each
-    other in one table."""
-    tail: tuple | None = None
-    for batch in batches:
-        key, ids, s1, s2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "s1", "s2"))
-        if tail is not None:
-            key, ids, s1, s2 = (np.concatenate(x) for x in zip(tail, (key, ids, s1, s2)))
-        old = 0 if tail is None else len(tail[0])
-        cells, table = _unpack(s1, s2), key >> KEY_BITS
-        a, b = [], []
-        for d in range(1, min(reach, len(ids) - 1) + 1):
-            start = max(0, old - d)  # pairs within the tail have been looked at
-            x, y = cells[start : len(ids) - d], cells[start + d :]
-            count = (np.abs(x - y) <= radius).sum(axis=1, dtype=np.int16)
-            hit = np.flatnonzero((count >= threshold) & (table[start : len(ids) - d] == table[start + d :])) + start
+    other in one table. (a, a) marks a full window: a collides with at least
+    reach // 2 of the places around it. Of pairs whose windows are both full only
+    those at most LINK places apart come out, as dense() looks at all others."""
+
+    def pairs(rows: tuple, lo: int, hi: int) -> pa.RecordBatch:
+        """Pairs whose first place lies in lo .. hi."""
+        key, ids, s1, s2 = rows
+        cells, table, n = _unpack(s1, s2), key >> KEY_BITS, len(ids)
+        around, hits = np.zeros(n, np.int16), []
+        for d in range(1, min(reach, n - 1) + 1):
+            count = (np.abs(cells[: n - d] - cells[d:]) <= radius).sum(axis=1, dtype=np.int16)
+            hit = np.flatnonzero((count >= threshold) & (table[: n - d] == table[d:]))
+            around[hit] += 1
+            around[hit + d] += 1
+            hits.append((d, hit[(hit >= lo) & (hit < hi)]))
+        full = around >= max(1, reach // 2)
+        marked = ids[lo:hi][full[lo:hi]]
+        a, b = [marked], [marked]
+        for d, hit in hits:
+            if d > LINK:
+                hit = hit[~(full[hit] & full[hit + d])]
             a.append(ids[hit]), b.append(ids[hit + d])
-        tail = tuple(x[-reach:] for x in (key, ids, s1, s2))
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    rows, lo = None, 0
+    for batch in batches:
+        new = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "s1", "s2"))
+        rows = new if rows is None else tuple(np.concatenate(x) for x in zip(rows, new))
+        hi = len(rows[0]) - 2 * reach  # both windows of a pair have to be known
+        if hi > lo + reach:
+            yield pairs(rows, lo, hi)
+            rows, lo = tuple(x[hi - reach :] for x in rows), reach
+    if rows is not None:
+        yield pairs(rows, lo, len(rows[0]))
+
+
+def _blocks(rows: pa.Table, dim: int, k: int, least: float) -> pa.Table:
+    """The k most similar of every vector of one block in the other, exactly and
+    both ways. Of equally similar ones the first by name."""
+    rows = rows.sort_by("name").combine_chunks()
+    names, block = np.array(rows.column("name").to_pylist(), object), rows.column("block").to_numpy()
+    x = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    i, j = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    out = []
+    if len(i) and len(j):
+        s = np.round(x[i] @ x[j].T, 12)
+        if lo == hi:
+            np.fill_diagonal(s, -2)
+        for one, other, cos in [(i, j, s)] if lo == hi else [(i, j, s), (j, i, np.ascontiguousarray(s.T))]:
+            each = np.arange(len(one))
+            for _ in range(min(k, len(other))):
+                best = cos.argmax(axis=1)  # the first of equal ones
+                c = cos[each, best]
+                cos[each, best] = -2
+                near = np.flatnonzero(c >= least)
+                out.append((names[one[near]], names[other[best[near]]], c[near]))
+    cat = lambda n, t: pa.array(np.concatenate([o[n] for o in out]) if out else [], t)
+    return pa.table([cat(0, pa.string()), cat(1, pa.string()), cat(2, pa.float64())], ["ida", "idb", "cos"])
+
+
+def groups(links: DataFrame) -> DataFrame:
+    """id, label: connected components of links (a, b), by least labels that are
+    passed on and followed."""
+    e = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = materialise(e.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
+    while True:
+        got = e.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("got"))
+        new = now.join(got, "id").select("id", F.least("label", "got").alias("label"), F.col("label").alias("old"))
+        jump = now.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        new = materialise(new.join(jump, "label", "left").select("id", F.least("label", "further").alias("label"), "old"))
+        if new.where("label < old").isEmpty():
+            return new.select("id", "label")
+        now = new.select("id", "label")
+
+
+def dense(near: DataFrame, links: DataFrame, *, dim: int, k: int, least: float) -> DataFrame:
+    """(ida, idb, cos): for each vector of a dense group, the k most similar of
+    each block of the group, exactly. near: id, name, v. The work is quadratic in
+    the size of a group, for nothing less finds the nearest of many vectors that
+    are all about as near; a task holds two blocks of it."""
+    member = groups(links)
+    size = member.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
+    rows = near.join(member, "id").join(size, "label").withColumn("block", F.pmod(F.hash("id", F.lit(1)), F.col("of")))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    rows = rows.select("label", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "name", "v")
+    return rows.groupBy("label", "lo", "hi").applyInArrow(lambda t: _blocks(t, dim, k, least), "ida string, idb string, cos double")
 
 
 def _cosine(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -138,6 +212,10 @@ def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int =
     are indexed. No vector has more than k of them among its k nearest, and the
     others' nearest are the first of their own kind, which they get directly.
     Every usable vector is indexed or belongs to such copies.
+
+    Dense groups (near-copies, copies at another scale): vectors whose window is
+    full of collisions in some table are joined to groups, and searched there
+    exactly in blocks.
     """
     v = F.col(vector).cast("array<float>")
     own = df.select(F.col(id_col).cast("string").alias("name"), v.alias("v")).where(F.col("name").isNotNull() & usable(F.col("v"), dim))
@@ -176,11 +254,20 @@ def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int =
     # vectors outside all pairs needn't travel
     hit = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     near = materialise(near.join(hit, "id", "left_semi"))
+    full = materialise(pairs.where("a = b").select(F.col("a").alias("id")))
+    in_group = None
+    if not full.isEmpty():
+        ends = pairs.join(full.select(F.col("id").alias("a"), F.lit(True).alias("fa")), "a", "left").join(full.select(F.col("id").alias("b"), F.lit(True).alias("fb")), "b", "left")
+        ends = materialise(ends.select("a", "b", (F.col("fa").isNotNull() & F.col("fb").isNotNull()).alias("inner")))
+        in_group = dense(near, ends.where("inner"), dim=dim, k=k, least=least)
+        pairs = ends.where("NOT inner").select("a", "b")
     both = pairs.join(near.select(F.col("id").alias("a"), F.col("name").alias("na"), F.col("v").alias("va")), "a").join(near.select(F.col("id").alias("b"), F.col("name").alias("nb"), F.col("v").alias("vb")), "b")
     both = both.select(F.col("na").alias("ida"), F.col("nb").alias("idb"), "va", "vb")
     verified = both.mapInArrow(cosine, "ida string, idb string, cos double").where((F.col("cos") >= least) & (F.col("ida") != F.col("idb")))
     verified = materialise(verified)
     ways = verified.select("ida", "idb", "cos").unionByName(verified.select(F.col("idb").alias("ida"), F.col("ida").alias("idb"), "cos"))
+    if in_group is not None:
+        ways = ways.unionByName(in_group)
     # near ties are ties: the sums differ in their last digits by the order of the terms
     rank = F.row_number().over(Window.partitionBy("ida").orderBy(F.round("cos", 12).desc(), "idb"))
     top = ways.withColumn("rn", rank).where(F.col("rn") <= k)
