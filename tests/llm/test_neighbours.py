@@ -105,3 +105,22 @@ def test_a_third_of_all_are_near_copies(spark, kind):
     got, want = found(frame(spark, x), dim=96), planted(x.astype(float))
     assert len(want & got.keys()) / len(want) >= 0.97
     assert len(got.keys() - want) / len(got) <= 0.02
+
+
+def test_recall_near_the_limit(spark):
+    """Planted pairs at cosines from 0.85 to 0.90 among 10,000 vectors."""
+    g = np.random.default_rng(3)
+    n = 10_000
+    a = g.normal(size=(n // 2, 96))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = g.normal(size=a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cos = g.uniform(0.8501, 0.9, size=(n // 2, 1))
+    x = np.empty((n, 96))
+    x[0::2], x[1::2] = a, cos * a + np.sqrt(1 - cos**2) * b
+    got = found(frame(spark, x), dim=96)
+    hit = np.array([(f"n{i:05d}", f"n{i + 1:05d}") in got for i in range(0, n, 2)])
+    low = hit[cos[:, 0] < 0.86]
+    print(hit.mean(), low.mean())
+    assert hit.mean() >= 0.97 and low.mean() >= 0.95

@@ -3,12 +3,11 @@
 Each table sorts all vectors by a key of sign bits, in which near vectors share
 a long prefix; the sorted array is cut into ranges that lie on different
 executors. Around each vector a window opens in the array. Within it, collisions
-are counted over PROJECTIONS single projections, each quantised into cells: two
-vectors collide in one if their cells are at most radius apart, so every window
-is centred on its query. With cells of a quarter of a standard deviation
-and radius 2, vectors of cosine 0.92 collide in 28 of 32 projections on
-average, unrelated ones in 11. Vectors that reach the collision threshold are
-verified with the exact cosine.
+are counted over all sign bits of that table, KEY_BITS in the sort key and
+MORE_BITS besides: two vectors collide in a bit with probability 1 - angle / pi.
+Each table has bits of its own, so a pair that misses the collision threshold in
+one can reach it in another. Tables and threshold follow from the least cosine
+asked for. Vectors that reach the threshold are verified with the exact cosine.
 
 Windows are bounded by rank, not by distance: in 96 dimensions a window wide
 enough to hold near vectors of one projection alone holds about a third of all
@@ -29,27 +28,40 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
-#: Single projections in a sketch; four bits each.
-PROJECTIONS = 32
-#: Bits of a table's sort key.
-KEY_BITS = 56
+#: Bits of a table's sort key, below the table's number, and bits that are only counted.
+KEY_BITS, MORE_BITS = 54, 64
 #: A window reaches so many places to either side.
 REACH = 24
 #: Neighbouring places that link full windows to groups; vectors in a block of a group.
 LINK, BLOCK = 2, 2048
-#: Tables are as many as give a pair of this cosine the recall wanted.
+#: Tables are as many as give a pair of the cosine asked for the recall wanted.
 DESIGN_COSINE, DESIGN_RECALL = 0.92, 0.99
+#: Share of the pairs within reach that a table's collision threshold lets through.
+KEPT = 0.99
 
 
 def tables_for(n: int, reach: int = REACH, cosine: float = DESIGN_COSINE, recall: float = DESIGN_RECALL) -> int:
     """Tables needed for n vectors: in one, a pair is within reach if it shares
     the first log2(n / 2 reach) bits, each of which it does with probability
-    1 - angle / pi. Grows as n**0.2."""
+    1 - angle / pi, and then passes the threshold. Grows as n**0.2 at 0.92, as
+    n**0.28 at 0.85."""
     bits = max(1.0, math.log2(max(2.0, n / (2 * reach))))
-    hit = (1 - math.acos(cosine) / math.pi) ** bits
+    hit = KEPT * (1 - math.acos(cosine) / math.pi) ** bits
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
 
+def threshold_for(n: int, reach: int = REACH, cosine: float = DESIGN_COSINE) -> int:
+    """The most collisions that KEPT of the pairs of this cosine have that are
+    within reach, so share the first bits; of the others they share each with
+    probability 1 - angle / pi."""
+    shared = round(max(1.0, math.log2(max(2.0, n / (2 * reach)))))
+    p, free = 1 - math.acos(cosine) / math.pi, KEY_BITS + MORE_BITS - shared
+    below, c = 0.0, 0
+    while (below := below + math.comb(free, c) * p**c * (1 - p) ** (free - c)) <= 1 - KEPT:
+        c += 1
+    return shared + c
+
+
 def usable(v: Column, dim: int) -> Column:
     """dim elements, all finite, not all zero."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -67,35 +79,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], dim: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(key, id, s1, s2) per vector and table: the table's number above the sign
-    bits, and the quantised projections as two integers."""
+    """(key, more, id) per vector and table: the table's number above the first
+    sign bits, and the other sign bits."""
     rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((dim, tables * KEY_BITS), np.float32)
-    single = rng.standard_normal((dim, PROJECTIONS), np.float32)
-    weight = np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
+    planes = rng.standard_normal((tables, dim, KEY_BITS + MORE_BITS), np.float32)
     for batch in batches:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
         for lo in range(0, len(ids), 4096):
             x = _unit(_matrix(batch.column("v").slice(lo, 4096), dim))
-            cells = np.clip(np.floor((x @ single) * 4) + 8, 0, 15).astype(np.uint8)
-            packed = np.ascontiguousarray(cells[:, 0::2] << 4 | cells[:, 1::2]).view(np.int64)
-            bits = (x @ planes > 0).reshape(len(x), tables, KEY_BITS)
-            keys = bits @ weight + (np.arange(tables, dtype=np.int64) << KEY_BITS)[None, :]
-            n = len(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.repeat(ids[lo : lo + n], tables)), pa.array(np.repeat(packed[:, 0], tables)), pa.array(np.repeat(packed[:, 1], tables))],
-                ["key", "id", "s1", "s2"],
-            )
-
-
-def _unpack(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
-    b = np.stack([s1, s2], axis=1).view(np.uint8)
-    out = np.empty((len(s1), PROJECTIONS), np.int8)
-    out[:, 0::2], out[:, 1::2] = b >> 4, b & 15
-    return out
+            for t in range(tables):
+                bits = np.packbits(x @ planes[t] > 0, axis=1)
+                bits = np.pad(bits, ((0, 0), (0, 16 - bits.shape[1]))).view(">u8").astype(np.uint64)
+                rest = np.uint64(64 - KEY_BITS)
+                key = (bits[:, 0] >> rest).view(np.int64) + (np.int64(t) << KEY_BITS)
+                more = (bits[:, 0] << np.uint64(KEY_BITS) | bits[:, 1] >> rest).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(more), pa.array(ids[lo : lo + len(x)])], ["key", "more", "id"])
 
 
-def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int, radius: int) -> Iterator[pa.RecordBatch]:
+def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one sorted range that collide often enough, within reach of each
     other in one table. (a, a) marks a full window: a collides with at least
     reach // 2 of the places around it. Of pairs whose windows are both full only
@@ -103,12 +104,12 @@ def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int, radi
 
     def pairs(rows: tuple, lo: int, hi: int) -> pa.RecordBatch:
         """Pairs whose first place lies in lo .. hi."""
-        key, ids, s1, s2 = rows
-        cells, table, n = _unpack(s1, s2), key >> KEY_BITS, len(ids)
+        key, more, ids = rows
+        table, n = key >> KEY_BITS, len(ids)
         around, hits = np.zeros(n, np.int16), []
         for d in range(1, min(reach, n - 1) + 1):
-            count = (np.abs(cells[: n - d] - cells[d:]) <= radius).sum(axis=1, dtype=np.int16)
-            hit = np.flatnonzero((count >= threshold) & (table[: n - d] == table[d:]))
+            apart = np.bitwise_count((key[: n - d] ^ key[d:]).view(np.uint64)) + np.bitwise_count((more[: n - d] ^ more[d:]).view(np.uint64))
+            hit = np.flatnonzero((apart <= KEY_BITS + MORE_BITS - threshold) & (table[: n - d] == table[d:]))
             around[hit] += 1
             around[hit + d] += 1
             hits.append((d, hit[(hit >= lo) & (hit < hi)]))
@@ -125,7 +126,7 @@ def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int, radi
 
     rows, lo = None, 0
     for batch in batches:
-        new = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "s1", "s2"))
+        new = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "more", "id"))
         rows = new if rows is None else tuple(np.concatenate(x) for x in zip(rows, new))
         hi = len(rows[0]) - 2 * reach  # both windows of a pair have to be known
         if hi > lo + reach:
@@ -198,7 +199,7 @@ def _cosine(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("ida"), batch.column("idb"), pa.array(cos)], ["ida", "idb", "cos"])
 
 
-def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int = 5, least: float = 0.85, threshold: int = 21, radius: int = 2, reach: int = REACH, seed: int = 7) -> DataFrame:
+def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int = 5, least: float = 0.85, reach: int = REACH, seed: int = 7) -> DataFrame:
     """(a, b, cosine): pairs of usable vectors with a cosine of at least least,
     of which at least one is among the k most similar to the other; a < b as
     strings. Of equally similar ones the smaller id comes first.
@@ -234,21 +235,23 @@ def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int =
         extra = later.join(heads, ["h1", "h2"]).select("name", F.explode("heads").alias("head"))
         extra = extra.select(F.least("name", "head").alias("a"), F.greatest("name", "head").alias("b"), F.lit(1.0).alias("cosine"))
         index = own.join(later.select("name"), "name", "left_anti")
-    tables = tables_for(n, reach)
+    tables, threshold = tables_for(n, reach, least), threshold_for(n, reach, least)
+    if tables >= 2 ** (63 - KEY_BITS):
+        raise ValueError(f"{tables} tables: too many for the key")
     source = index.select("id", "v")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _keys(batches, dim, tables, seed)
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _collide(batches, reach, threshold, radius)
+        return _collide(batches, reach, threshold)
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _cosine(batches, dim)
 
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables // 200_000)
-    arrays = source.mapInArrow(keys, "key long, id long, s1 long, s2 long").repartitionByRange(parts, "key").sortWithinPartitions("key")
+    arrays = source.mapInArrow(keys, "key long, more long, id long").repartitionByRange(parts, "key").sortWithinPartitions("key")
     pairs = materialise(arrays.mapInArrow(collide, "a long, b long").distinct())
     near = own.select("id", "name", "v")
     # vectors outside all pairs needn't travel
