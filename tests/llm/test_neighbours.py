@@ -124,3 +124,17 @@ def test_recall_near_the_limit(spark):
     low = hit[cos[:, 0] < 0.86]
     print(hit.mean(), low.mean())
     assert hit.mean() >= 0.97 and low.mean() >= 0.95
+
+
+@pytest.mark.parametrize("parts", ["1", "64", "200"])
+def test_recall_does_not_depend_on_the_number_of_ranges(spark, parts):
+    x = clusters(96, 96, seed=4).astype(np.float32)
+    want, before = planted(x.astype(float)), spark.conf.get("spark.sql.shuffle.partitions")
+    df = frame(spark, x)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = found(df, dim=96).keys()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    print(parts, len(want & got), len(want))
+    assert len(want & got) / len(want) >= 0.97

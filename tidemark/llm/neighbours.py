@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +101,17 @@ def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int) -> I
     """Pairs of one sorted range that collide often enough, within reach of each
     other in one table. (a, a) marks a full window: a collides with at least
     reach // 2 of the places around it. Of pairs whose windows are both full only
-    those at most LINK places apart come out, as dense() looks at all others."""
+    those at most LINK places apart come out, as dense() looks at all others.
+
+    The first and last reach entries of the range come out too, with part (the
+    number of the range) and place, for _across()."""
+    part = TaskContext.get().partitionId()
+    nothing = lambda n, t: pa.nulls(n, t)
+
+    def edge(rows: tuple, at: np.ndarray, place: int) -> pa.RecordBatch:
+        key, more, ids = (x[at] for x in rows)
+        cols = [pa.array(ids), nothing(len(at), pa.int64()), pa.array(key), pa.array(more), pa.array(np.full(len(at), part, np.int32)), pa.array(place + at)]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "key", "more", "part", "place"])
 
     def pairs(rows: tuple, lo: int, hi: int) -> pa.RecordBatch:
         """Pairs whose first place lies in lo .. hi."""
@@ -122,18 +133,48 @@ def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int) -> I
             a.append(ids[hit]), b.append(ids[hit + d])
         a, b = np.concatenate(a), np.concatenate(b)
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        cols = [pa.array(pair[:, 0]), pa.array(pair[:, 1]), nothing(len(pair), pa.int64()), nothing(len(pair), pa.int64()), nothing(len(pair), pa.int32()), nothing(len(pair), pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "key", "more", "part", "place"])
 
-    rows, lo = None, 0
+    rows, lo, gone, headed = None, 0, 0, 0
     for batch in batches:
         new = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "more", "id"))
         rows = new if rows is None else tuple(np.concatenate(x) for x in zip(rows, new))
+        if headed < reach:  # nothing has been dropped yet
+            upto = min(reach, len(rows[0]))
+            yield edge(rows, np.arange(headed, upto), 0)
+            headed = upto
         hi = len(rows[0]) - 2 * reach  # both windows of a pair have to be known
         if hi > lo + reach:
             yield pairs(rows, lo, hi)
-            rows, lo = tuple(x[hi - reach :] for x in rows), reach
+            rows, lo, gone = tuple(x[hi - reach :] for x in rows), reach, gone + hi - reach
     if rows is not None:
         yield pairs(rows, lo, len(rows[0]))
+        n = len(rows[0])
+        yield edge(rows, np.arange(max(n - reach, headed - gone, 0), n), gone)
+
+
+def _across(batches: Iterator[pa.RecordBatch], reach: int, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that collide often enough and lie within reach of each other on both
+    sides of a range's edge, from the edges of all ranges in order. A range of
+    fewer than 2 * reach entries is here as a whole, so none is too short."""
+    rows = None
+    for batch in batches:
+        new = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "more", "part", "a"))
+        old = 0 if rows is None else len(rows[0])
+        rows = new if rows is None else tuple(np.concatenate(x) for x in zip(rows, new))
+        key, more, part, ids = rows
+        a, b = [], []
+        for d in range(1, min(reach, len(ids) - 1) + 1):
+            start = max(0, old - d)  # pairs before have been looked at
+            x, y = slice(start, len(ids) - d), slice(start + d, len(ids))
+            apart = np.bitwise_count((key[x] ^ key[y]).view(np.uint64)) + np.bitwise_count((more[x] ^ more[y]).view(np.uint64))
+            hit = np.flatnonzero((apart <= KEY_BITS + MORE_BITS - threshold) & (key[x] >> KEY_BITS == key[y] >> KEY_BITS) & (part[x] != part[y])) + start
+            a.append(ids[hit]), b.append(ids[hit + d])
+        rows = tuple(x[-reach:] for x in rows)
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _blocks(rows: pa.Table, dim: int, k: int, least: float) -> pa.Table:
@@ -246,13 +287,22 @@ def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int =
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _collide(batches, reach, threshold)
 
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _across(batches, reach, threshold)
+
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _cosine(batches, dim)
 
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables // 200_000)
+    # a window has to fit into a range to be known as full
+    most = max(1, n * tables // (4 * reach))
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), most), n * tables // 200_000)
     arrays = source.mapInArrow(keys, "key long, more long, id long").repartitionByRange(parts, "key").sortWithinPartitions("key")
-    pairs = materialise(arrays.mapInArrow(collide, "a long, b long").distinct())
+    looked = materialise(arrays.mapInArrow(collide, "a long, b long, key long, more long, part int, place long"))
+    # 2 reach entries of each range, so one task holds the edges of all
+    edges = looked.where("part IS NOT NULL").select("a", "key", "more", "part", "place").repartition(1).sortWithinPartitions("part", "place")
+    found = looked.where("part IS NULL").select("a", "b").unionByName(edges.mapInArrow(across, "a long, b long"))
+    pairs = materialise(found.distinct())
     near = own.select("id", "name", "v")
     # vectors outside all pairs needn't travel
     hit = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
