@@ -55,6 +55,26 @@ def cycles(edges: DataFrame, depth: int) -> DataFrame:
     return c.where("src = dst").groupBy(F.col("src").alias("node")).agg(F.min("depth").alias("length"))
 
 
+def all_cycles(edges: DataFrame) -> DataFrame:
+    """node, length: all nodes that lie on a cycle of any length, with the
+    shortest. Edges whose ends can't both lie on a cycle are dropped first; then
+    the known lengths of paths are joined with themselves until none changes, so
+    rounds grow with the logarithm of the longest path. The work is that of all
+    pairs of the nodes that remain."""
+    e = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    for _ in range(3):  # saves work only
+        e = materialise(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    size = lambda x: x.agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
+    paths = e.withColumn("length", F.lit(1).cast("long"))
+    now = size(paths)
+    while True:
+        further = paths.toDF("src", "m", "one").join(paths.toDF("m", "dst", "two"), "m").select("src", "dst", (F.col("one") + F.col("two")).alias("length"))
+        paths = materialise(paths.unionByName(further).groupBy("src", "dst").agg(F.min("length").alias("length")))
+        before, now = now, size(paths)
+        if before == now:
+            return paths.where("src = dst").select(F.col("src").alias("node"), F.col("length").cast("int").alias("length"))
+
+
 def importance(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """node, rank: PageRank after so many rounds, from equal ranks; nodes
     without edges out give theirs to all."""

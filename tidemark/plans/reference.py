@@ -436,6 +436,40 @@ def layer_violations(spark, d):
     return graph.violations(_nations(spark, d), layers, order).select("src", "dst", "src_layer", "dst_layer")
 
 
+def _deliveries(spark, d):
+    """From every part to the supplier that delivered it last, and from every
+    supplier to the part it delivered last, over all lineitems."""
+    l = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("at"))
+    last = lambda a, b: l.groupBy(F.col(a).alias("src")).agg(F.max_by(b, "at").alias("dst"))
+    return last("p", "s").unionByName(last("s", "p"))
+
+
+@query()
+def supply_cycles(spark, d):
+    """Cycles of any length among last deliveries."""
+    return graph.all_cycles(_deliveries(spark, d))
+
+
+@query()
+def supply_graph(spark, d):
+    """What is reached in at most three steps along last deliveries, from every
+    supplier and part."""
+    return graph.closure(_deliveries(spark, d), 3)
+
+
+@query()
+def supply_violations(spark, d):
+    """Customers who bought, in any lineitem, from a supplier of a region above
+    theirs."""
+    o = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    regions = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("layer"))
+    place = lambda t, k, n, c: table(spark, d, t).join(regions, F.col(n) == F.col("n_nationkey")).select(F.concat(F.lit(c), k).alias("node"), "layer")
+    order = [x["r_name"] for x in table(spark, d, "region").orderBy("r_regionkey").collect()]
+    layers = place("customer", "c_custkey", "c_nationkey", "c").unionByName(place("supplier", "s_suppkey", "s_nationkey", "s"))
+    return graph.violations(edges, layers, order).select("src", "dst", "src_layer", "dst_layer")
+
+
 @query()
 def symbol_importance(spark, d):
     """PageRank over suppliers and parts."""
