@@ -87,3 +87,13 @@ def test_cosine_column(spark):
 
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0]), ([], [])], "a array<float>, b array<float>")
     assert [round(r[0], 6) for r in df.select(topk.exact_cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("o", [{"max_fraction": 0.0}, {"memory_cap": 1}])
+def test_fallback_scores_as_many_rows_as_it_reports(spark, monkeypatch, o):
+    scored, union = [], topk._union
+    monkeypatch.setattr(topk, "_union", lambda frames: scored.append(union(frames)) or scored[-1])
+    v = [[1, 0]] * 3 + [[0.1 * i, 1] for i in range(1, 9)]
+    best, c = top(spark, v, [1, 0], k=1, **o)
+    assert best == [(0, 1.0)] and c["lane"] == "exact" and c["uncertain"] == 3
+    assert c["rescored"] == scored[-1].count() == len(v)

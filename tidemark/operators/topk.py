@@ -102,8 +102,9 @@ def topk(df: DataFrame, queries: DataFrame, *, id_col: str, vector: str, k: int,
     without rows has no top.
 
     One pass finds each query's k-th lower bound from the best k of every task;
-    a second emits only rows that the bounds leave open. Rows stay where they
-    are in both.
+    a second emits only rows that the bounds leave open. For queries that fall
+    back, a third scores every row. Rows stay where they are in all. The memory
+    cap is held against 10,000 vectors, whatever the table's size.
     """
     if weight < 0:
         raise ValueError("weight must not be negative")
@@ -148,8 +149,7 @@ def topk(df: DataFrame, queries: DataFrame, *, id_col: str, vector: str, k: int,
         for sent in blocks:
             for r in limits.where(F.col("query").isin(sent.value[0])).collect():
                 limit[r["query"]] = -np.inf if r["kth"] is None else r["kth"]
-    for sent in blocks:
-        at = np.array([limit.get(x, -np.inf) for x in sent.value[0]]) if certified else None
+    def score_rows(sent, at: np.ndarray | None) -> DataFrame:
         dim = sent.value[1].shape[1]
 
         def open_rows(batches: Iterator[pa.RecordBatch], sent=sent, at=at, dim=dim) -> Iterator[pa.RecordBatch]:
@@ -165,10 +165,14 @@ def topk(df: DataFrame, queries: DataFrame, *, id_col: str, vector: str, k: int,
                 score = base[r] + weight * exact_rows(x[r], qv[c])
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[c]), pa.array(ids[r]), pa.array(score)], ["query", "id", "score"])
 
-        opened.append(rows.mapInArrow(open_rows, "query long, id long, score double"))
+        return rows.mapInArrow(open_rows, "query long, id long, score double")
+
+    for sent in blocks:
+        opened.append(score_rows(sent, np.array([limit.get(x, -np.inf) for x in sent.value[0]]) if certified else None))
     scored = _union(opened)
+    if certified:
+        scored = materialise(scored)
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    top = scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
     c = q.select("query").join(scored.groupBy("query").agg(F.count("*").alias("uncertain")), "query", "left").crossJoin(F.broadcast(total)).withColumn("uncertain", F.coalesce("uncertain", F.lit(0)))
     dim_bytes = (len(blocks[0].value[1][0]) if blocks else 0) * 4
     over = F.col("uncertain") > F.greatest(F.lit(k), F.ceil(F.col("n") * max_fraction))
@@ -179,6 +183,17 @@ def topk(df: DataFrame, queries: DataFrame, *, id_col: str, vector: str, k: int,
     c = c.withColumn("fallback_reason", reason)
     exact_lane = (F.col("fallback_reason") != "") | F.lit(not certified)
     counts = c.select("query", "n", "uncertain", F.when(exact_lane, F.col("n")).otherwise(F.col("uncertain")).alias("rescored"), F.when(exact_lane, "exact").otherwise("certified").alias("lane"), "fallback_reason")
+    if certified:
+        counts = materialise(counts)
+        back = {r["query"] for r in counts.where("lane = 'exact'").select("query").collect()}
+        again = []
+        for names, qv in (sent.value for sent in blocks):
+            at = [i for i, x in enumerate(names) if x in back]
+            if at:
+                again.append(score_rows(spark.sparkContext.broadcast(([names[i] for i in at], qv[at])), None))
+        if again:
+            scored = scored.join(counts.where("lane <> 'exact'").select("query"), "query", "left_semi").unionByName(_union(again))
+    top = scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
     return top, counts
 
 
