@@ -36,6 +36,26 @@ def test_json_inside_strings(spark):
     assert one(spark, s(s(trace({"accesses": s({"ms": 1})})))) == [(0, 0, -1), (0, 0, 0)]
 
 
+def test_json_encoded_any_number_of_times(spark):
+    t = json.dumps(trace([LOAD]))
+    texts = []
+    for _ in range(8):
+        texts.append(t)
+        t = json.dumps(t)
+    assert places(spark, texts) == [(i, 0, 0, a) for i in range(8) for a in (-1, 0, 3)]
+    inner = json.dumps(json.dumps(json.dumps(json.dumps({"load_results": [LOAD]}))))
+    assert one(spark, {"hydration_trace": inner}) == [(0, 0, -1), (0, 0, 0), (0, 0, 3)]
+    assert one(spark, json.dumps(json.dumps("no json"))) == []
+
+
+def test_repeats_count_once_and_keys_may_be_shared(spark):
+    a, b = json.dumps(trace([LOAD])), json.dumps(trace([{"repo": "other"}, {"repo": "z"}]))
+    df = spark.createDataFrame([(k, t, 1, "x") for k in (None, 5) for t in (a, b, a)], SCHEMA)
+    n = layout(df, key="probe_id", text="t", levels=TRACE)
+    got = sorted(((r["key"], r["load_no"], r["repo"]) for r in flatten(n, TRACE, 1).collect()), key=str)
+    assert got == sorted([(k, *x) for k in (None, 5) for x in ((0, "r"), (0, "other"), (1, "z"))], key=str)
+
+
 def test_nothing_from_what_is_not_valid(spark):
     whole = json.dumps(trace([LOAD]))
     for t in (None, "", "  ", whole[:-3], whole + " x", whole + whole, whole + "," + whole, "[]", "3", "null", '"text"', '{"hydration_trace": "{"}', '{"attempts": []}', '{"hydration_trace": null}'):

@@ -58,6 +58,35 @@ def test_positions_may_begin_below_one(spark):
     assert found(spark, rows) == {0: "off_level", 20: "off_level"}
 
 
+@pytest.mark.parametrize("step", [1, 10, 50, 100])
+def test_gaps_between_positions_change_nothing(spark, step):
+    v = list(series(60))
+    v[20] *= 3
+    v[40:48] = [v[40]] * 8
+    rows = [(i, s1, s2, pos * step, *rest) for i, s1, s2, pos, *rest in rows_of(v)]
+    assert found(spark, rows) == {20: "off_level", **{i: "stuck" for i in range(40, 48)}}
+
+
+def test_pieces_flag_what_the_uncut_filter_flags(spark):
+    from tidemark.operators.spikes import flag_series
+
+    g = np.random.default_rng(5)
+    v = 100 * np.exp(np.cumsum(g.normal(0, 0.005, 6000)) + g.normal(0, 0.05, 6000))
+    at = g.choice(6000, 60, replace=False)
+    v[at] *= np.where(g.random(60) < 0.5, 3.0, 0.3)
+    v[2000:2010] = v[2000]
+    off, held = flag_series(v[None, :], np.ones((1, 6000), bool))
+    want = {int(i): "stuck" if held[0, i] else "off_level" for i in np.flatnonzero(off[0] | held[0])}
+    got = found(spark, rows_of(v))
+    assert len(want) > 60 and len(set(want.items()) ^ set(got.items())) <= 1
+
+
+def test_many_rows_at_one_position_or_without_one(spark):
+    v = list(series(3000))
+    rows = [(i, "a", "x", None if i % 2 else 7, float(x), None, "c") for i, x in enumerate(v)] + [(9000, "a", "x", None, -3.0, None, "c")] * 500
+    assert found(spark, rows) == {9000: "impossible"}
+
+
 def test_short_sources_and_empty_tables(spark):
     assert found(spark, rows_of([1.0, 100.0, 1.0])) == {}
     assert found(spark, []) == {}

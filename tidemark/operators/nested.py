@@ -37,46 +37,49 @@ def _let(v: Column, then) -> Column:
     return F.transform(F.array(v), then)[0]
 
 
-def _open(v: Column) -> Column:
-    """JSON held as a string counts like the JSON itself; twice is enough for
-    text that was encoded again."""
-
-    def once(then):
-        def opened(x: Column) -> Column:
-            return F.when(F.schema_of_variant(x) == "STRING", then(parse_json(F.try_variant_get(x, "$", "string")))).otherwise(x)
-
-        return opened
-
-    return _let(v, once(lambda inner: _let(inner, once(lambda x: x))))
-
-
-def _kind(v: Column) -> Column:
-    return F.substring(F.schema_of_variant(v), 1, 5)
-
-
-def _children(v: Column, path: tuple[str, ...], then) -> Column:
-    """then(array<variant> below path); the array is NULL where there is none."""
-    if path:
-        return _let(_open(F.try_variant_get(v, f"$.{path[0]}", "variant")), lambda x: _children(x, path[1:], then))
-    return then(F.when(F.substring(F.schema_of_variant(v), 1, 5) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).when(_kind(v) == "OBJEC", F.array(v)))
-
-
-def _objects(v: Column, levels: list[Level]) -> Column:
+def _decoded(v: Column) -> Column:
+    """The JSON that a string holds, however often it was encoded: decoded until
+    it is no string any more. NULL for what is no string, and for a string that
+    holds no JSON. Each encoding puts quotes around, which the next one has to
+    escape, so n of them make a text of 2**(n + 1) - 2 characters at least:
+    the logarithm of the length bounds the rounds."""
+    inner = lambda x: parse_json(F.try_variant_get(x, "$", "string"))
+    is_text = lambda x: F.schema_of_variant(x) == "STRING"
+    rounds = lambda x: F.sequence(F.lit(1), F.floor(F.log2(F.length(F.try_variant_get(x, "$", "string")) + 2)).cast("int"))
+    return F.when(is_text(v), F.aggregate(rounds(v), inner(v), lambda x, _: F.when(is_text(x), inner(x)).otherwise(x)))
+
+
+def _struct(v: Column, fields: list[tuple[str, str]]) -> Column:
+    """The fields of an object as a struct, NULL where missing or of another
+    type; NULL for what is no object, be it as text or not. One look at the
+    object finds them all."""
+    kind = "struct<" + ",".join(f"`{f}`:{t}" for f, t in fields) + ">"
+    get = lambda x: F.try_variant_get(x, "$", kind)
+    return F.coalesce(get(v), get(_decoded(v)))
+
+
+def _list(v: Column) -> Column:
+    """array<variant> of a list, or of a lone object; NULL for anything else."""
+    items = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.when(F.try_variant_get(x, "$", "struct<`_`:variant>").isNotNull(), F.array(x)))
+    return F.coalesce(items(v), _let(_decoded(v), items))
+
+
+def _objects(v: Column | None, parent: Column, levels: list[Level]) -> Column:
+    """The children of one level, each with its own. parent has the first step of
+    the level's path as a field; v is what stands in for a lone child."""
     level, rest = levels[0], levels[1:]
+    node = parent[level.path[0]]
+    for step in level.path[1:]:
+        node = _struct(node, [(step, "variant")])[step]
+    items = _let(node, _list)
+    if level.lone and v is not None:
+        items = F.coalesce(items, F.when(parent.isNotNull(), F.array(v)))
+    wanted = [*level.fields, *([(rest[0].path[0], "variant")] if rest else [])]
 
     def one(x: Column) -> Column:
-        parts = [F.coalesce(_kind(x) == "OBJEC", F.lit(False)).alias("is_object")]
-        parts += [F.try_variant_get(x, f"$.{f}", t).alias(f) for f, t in level.fields]
-        if rest:
-            parts.append(_objects(x, rest).alias("children"))
-        return F.struct(*parts)
-
-    def each(items: Column) -> Column:
-        if level.lone:
-            items = F.coalesce(items, F.when(_kind(v) == "OBJEC", F.array(v)))
-        return F.transform(F.transform(items, _open), one)
+        return _let(_struct(x, wanted), lambda s: F.struct(s.isNotNull().alias("is_object"), *[s[f].alias(f) for f, _ in level.fields], *([_objects(x, s, rest).alias("children")] if rest else [])))
 
-    return _children(v, level.path, each)
+    return F.transform(items, one)
 
 
 def _emit(batches: Iterator[pa.RecordBatch], depth: int, levels: list[Level]) -> Iterator[pa.RecordBatch]:
@@ -98,32 +101,33 @@ def _emit(batches: Iterator[pa.RecordBatch], depth: int, levels: list[Level]) ->
 
 
 def layout(df: DataFrame, *, key: str, text: str, levels: list[Level]) -> DataFrame:
-    """(key, children): each distinct key once, its JSON as nested lists. Rows
-    that repeat a key have to be equal and count once; text that is NULL, blank
-    or not valid JSON gives no children; so does valid JSON that isn't an
-    object. A NULL key is a key like any other."""
-    one = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).groupBy("key").agg(F.max("text").alias("text"))
-    return one.select("key", _let(_open(parse_json(F.col("text"))), lambda v: _objects(v, levels)).alias("children"))
+    """(key, children): the JSON of every row as nested lists. Text that is NULL,
+    blank or not valid JSON gives no children; so does valid JSON that isn't an
+    object. Nothing is shuffled, so a frequent key weighs nothing."""
+    v = parse_json(F.col(text).cast("string"))
+    return df.select(F.col(key).cast("long").alias("key"), _let(v, lambda x: _let(_struct(x, [(levels[0].path[0], "variant")]), lambda s: _objects(x, s, levels))).alias("children"))
 
 
 def flatten(nested: DataFrame, levels: list[Level], depth: int) -> DataFrame:
     """The table of one level: key, the place of each ancestor and of the object
     itself (counted from 0, elements that aren't objects included), and the
     level's fields, NULL where missing or of another type. Only objects make
-    rows. Link to the parent: key and all numbers but the last."""
+    rows. Link to the parent: key and all numbers but the last. Rows that repeat
+    a record repeat its children, which count once; records that share a key
+    (or have none) but differ keep the children of each."""
     types = {"int": "int", "long": "long", "double": "double", "boolean": "boolean", "string": "string"}
     schema = ["key long", *(f"{x.name}_no long" for x in levels[: depth + 1]), *(f"{f} {types[t]}" for f, t in levels[depth].fields)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _emit(batches, depth, levels)
 
-    return nested.select("key", "children").mapInArrow(emit, ", ".join(schema))
+    return nested.select("key", "children").mapInArrow(emit, ", ".join(schema)).distinct()
 
 
 def outline(nested: DataFrame, levels: list[Level], depths: tuple[int, ...]) -> DataFrame:
     """The places of the objects of several levels, in one pass: key and the
     number at each level down to the deepest asked for; -1 below an object's own
-    level."""
+    level. Repeated records count once."""
     names = [f"{x.name}_no" for x in levels[: max(depths) + 1]]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +137,7 @@ def outline(nested: DataFrame, levels: list[Level], depths: tuple[int, ...]) ->
                     below = pa.array(np.full(b.num_rows, -1), pa.int64())
                     yield pa.RecordBatch.from_arrays([b.column(k) for k in range(d + 2)] + [below] * (len(names) - d - 1), ["key", *names])
 
-    return nested.select("key", "children").mapInArrow(emit, ", ".join(["key long", *(f"{n} long" for n in names)]))
+    return nested.select("key", "children").mapInArrow(emit, ", ".join(["key long", *(f"{n} long" for n in names)])).distinct()
 
 
 #: The trace of a boundary probe: attempts (or the record itself), the load

@@ -4,8 +4,12 @@ Each source's series is modelled on the log scale as a level that moves a
 little plus noise. The filter runs forwards and backwards; a reading whose
 standardised innovation exceeds the threshold in both directions is flagged and
 its update withheld. A run of readings that agree with each other off the old
-level is a change of level, which moves the filter instead. Where innovations
-vanish (the same value over and over) the source is stuck.
+level is a change of level, which moves the filter instead. Where the variance
+of the innovations of successive readings vanishes, the source is stuck.
+
+Sources are cut into pieces by the rank of their readings, which prefix counts
+over a range sort give, so neither gaps between positions nor a source of any
+length change what is found.
 """
 
 from __future__ import annotations
@@ -15,10 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A source is cut into pieces of PIECE positions, each read with HALO positions
+from tidemark.session import materialise
+
+#: A source is cut into pieces of PIECE readings, each read with HALO readings
 #: more at either side, over which the filter forgets where it began. No piece
 #: grows with its source, however long that is.
 PIECE, HALO = 256, 64
@@ -70,18 +77,29 @@ def _filter(y: np.ndarray, spread: np.ndarray, threshold: float, drift: float, s
     return out, np.where(used >= 8, np.sqrt(total / np.maximum(used, 1)), spread)
 
 
+def vanishing(value: np.ndarray, usable: np.ndarray, stuck: int) -> np.ndarray:
+    """Readings within stuck successive usable ones over which the variance of
+    the innovations, each reading against the one before, is zero."""
+    g, n = value.shape
+    held = np.zeros((g, n), bool)
+    if n < stuck:
+        return held
+    innovation = np.full((g, n), np.nan)
+    innovation[:, 1:] = np.where(usable[:, 1:] & usable[:, :-1], value[:, 1:] - value[:, :-1], np.nan)
+    over = np.lib.stride_tricks.sliding_window_view(innovation[:, 1:], stuck - 1, axis=1)  # windows of stuck readings
+    with np.errstate(all="ignore"):
+        still = (over * over).mean(axis=2) == 0
+    for k in range(stuck):
+        held[:, k : n - stuck + 1 + k] |= still
+    return held
+
+
 def flag_series(value: np.ndarray, usable: np.ndarray, *, threshold: float = 5.0, drift: float = 0.03, settle: int = 5, stuck: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(off level, stuck) for (series, time) readings; usable marks those that
     are possible. Fewer than eight usable readings give no level, so nothing is
     off it."""
     g, n = value.shape
-    same = np.zeros((g, n), bool)
-    same[:, 1:] = (value[:, 1:] == value[:, :-1]) & usable[:, 1:] & usable[:, :-1]
-    ahead, behind = np.zeros((g, n), int), np.zeros((g, n), int)
-    for t in range(1, n):
-        behind[:, t] = np.where(same[:, t], behind[:, t - 1] + 1, 0)
-        ahead[:, n - 1 - t] = np.where(same[:, n - t], ahead[:, n - t] + 1, 0)
-    held = usable & (behind + ahead + 1 >= stuck)
+    held = vanishing(value, usable, stuck)
     y = np.full((g, n), np.nan)
     keep = usable & ~held
     y[keep] = np.log(value[keep])
@@ -102,39 +120,62 @@ def flag_series(value: np.ndarray, usable: np.ndarray, *, threshold: float = 5.0
     return off, held
 
 
-def _flags(batches: Iterator[pa.RecordBatch], low: float, high: float, options: dict) -> Iterator[pa.RecordBatch]:
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to sorted readings part, the number of the task's range, and nth,
+    the place among the source's readings in this range."""
+    part = TaskContext.get().partitionId()
+    last, seen = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+        new = np.r_[last is None or last != (a[0], b[0]), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+        nth = np.arange(len(a)) - start
+        carried = start < 0  # goes on with the source that the batch before ended with
+        nth[carried] = seen + np.arange(int(carried.sum()))
+        last, seen = (a[-1], b[-1]), int(nth[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(a), part, np.int32)), pa.array(nth.astype(np.int64))], [*batch.schema.names, "part", "nth"])
+
+
+def _offsets(ranges: list) -> dict[int, tuple[int, int, int]]:
+    """part: (a, b, readings of that source before this part), for parts whose
+    first source began before. ranges: per part in order its first and last
+    source, the readings of the first, the last's, and whether they are one."""
+    out, open_source, so_far = {}, None, 0
+    for r in ranges:
+        first, end = (r["fa"], r["fb"]), (r["la"], r["lb"])
+        if first == open_source:
+            out[r["part"]] = (*first, so_far)
+        before = so_far if first == open_source else 0
+        open_source, so_far = end, r["n_last"] + (before if first == end else 0)
+    return out
+
+
+def _flags(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists, piece = batch.column("readings"), batch.column("piece").to_numpy(zero_copy_only=False)
         flat = lists.flatten()
         parent = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        key = flat.field("id").to_numpy(zero_copy_only=False)
-        pos_null = flat.field("pos").is_null().to_numpy(zero_copy_only=False)
-        pos = flat.field("pos").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        key, rank = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "rank"))
         val = flat.field("value").to_numpy(zero_copy_only=False).astype(float)
-        order = np.lexsort((key, pos, pos_null, parent))
-        parent, key, pos, val, pos_null = parent[order], key[order], pos[order], val[order], pos_null[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (parent[1:] != parent[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
-        parent, key, pos, val, pos_null = parent[new], key[new], pos[new], val[new], pos_null[new]
-        impossible = (val <= low) | (val > high)
-        usable = ~(np.isnan(val) | impossible)
+        ok = flat.field("possible").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.lexsort((rank, parent))
+        parent, key, rank, val, ok = (x[order] for x in (parent, key, rank, val, ok))
         off, held = np.zeros(len(key), bool), np.zeros(len(key), bool)
-        placed = np.flatnonzero(~pos_null)
-        if len(placed):
-            owner = parent[placed]
-            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            length = np.diff(np.r_[start, len(owner)])
+        if len(key):
+            start = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+            length = np.diff(np.r_[start, len(parent)])
             by_length = np.argsort(length, kind="stable")
             for part in np.array_split(by_length, max(1, len(by_length) // 1024)):
                 width = length[part].max()
                 at = start[part][:, None] + np.arange(width)[None, :]
                 inside = np.arange(width)[None, :] < length[part][:, None]
-                where = placed[np.where(inside, at, start[part][:, None])]
-                a, b = flag_series(np.where(inside, val[where], np.nan), inside & usable[where], **options)
+                where = np.where(inside, at, start[part][:, None])
+                a, b = flag_series(np.where(inside, val[where], np.nan), inside & ok[where], **options)
                 off[where[inside]], held[where[inside]] = a[inside], b[inside]
-        own = pos_null | (np.maximum((pos - 1) // PIECE, 0) == piece[parent])
-        hit = own & (impossible | off | held)
-        reason = np.where(impossible, "impossible", np.where(held, "stuck", "off_level"))
+        hit = (rank // PIECE == piece[parent]) & (off | held)
+        reason = np.where(held, "stuck", "off_level")
         yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(val[hit]), pa.array(reason[hit].tolist(), pa.string())], ["id", "value", "reason"])
 
 
@@ -145,26 +186,42 @@ def spikes(df: DataFrame, *, id_col: str, source: list[str], position: str, valu
     stuck (six or more in a row with the same value) or off_level. Repeated rows
     (same id) count once. A NULL or NaN value is never flagged and leaves a gap;
     it also ends a run of equal values. A NULL position can only be impossible.
-    Positions should count from about 1; those below lie in the first piece.
-    NULL in a source column makes a source of its own. An empty table gives an
-    empty result. Other columns, whatever their names, are not touched.
-
-    Rows are shuffled once, by source and piece (see PIECE), so a source that
-    holds a large part of all rows is spread over many tasks.
+    Readings at one position come in the order of their ids. NULL in a source
+    column makes a source of its own (sources are told apart by 128 bits of
+    hash). An empty table gives an empty result. Other columns, whatever their
+    names, are not touched.
+
+    Repeats go first, in each task before they are shuffled. Readings are then
+    range-sorted by source and position and numbered within their source; what
+    a source has in earlier ranges is one number per range. Pieces are cut by
+    that number, so a source that holds a large part of all rows, or many rows
+    at one position, is spread over many tasks.
     """
-    pos = F.col(position).cast("long")
-    first = F.greatest(F.lit(0), F.floor((pos - 1 - HALO) / PIECE))
-    pieces = F.when(pos.isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.sequence(first.cast("long"), F.greatest(first, F.floor((pos - 1 + HALO) / PIECE)).cast("long"))
-    )
-    rows = df.select(
-        *[F.col(c).alias(f"tm_s{i}") for i, c in enumerate(source)],
-        F.explode(pieces).alias("piece"),
-        F.struct(pos.alias("pos"), F.col(id_col).cast("long").alias("id"), F.col(value).cast("double").alias("value")).alias("r"),
-    )
-    grouped = rows.groupBy(*[f"tm_s{i}" for i in range(len(source))], "piece").agg(F.collect_list("r").alias("readings"))
+    v = F.col(value).cast("double")
+    names = [F.col(c) for c in source]
+    own = df.select(F.xxhash64(F.lit(1), *[x.isNull() for x in names], *names).alias("a"), F.xxhash64(F.lit(2), *[x.isNull() for x in names], *names).alias("b"), F.col(position).cast("long").alias("pos"), F.col(id_col).cast("long").alias("id"), v.alias("value"))
+    own = own.distinct()
+    impossible = (F.col("value") <= low) | ((F.col("value") > high) & ~F.isnan("value"))
+    broken = own.where(impossible).select("id", "value", F.lit("impossible").alias("reason")).distinct()
+    placed = own.where("pos IS NOT NULL").withColumn("possible", F.coalesce(~impossible & ~F.isnan("value"), F.lit(False)))
+    schema = "a long, b long, pos long, id long, value double, possible boolean, part int, nth long"
+    ranked = materialise(placed.repartitionByRange("a", "b", "pos", "id").sortWithinPartitions("a", "b", "pos", "id").mapInArrow(_ranked, schema))
+    # one row per range: as many as tasks
+    at = lambda f, c: f(F.struct("a", "b", "pos", "id"))[c]
+    n_last = F.max_by("nth", F.struct("a", "b", "pos", "id", "nth")) + 1
+    ends = ranked.groupBy("part").agg(at(F.min, "a").alias("fa"), at(F.min, "b").alias("fb"), at(F.max, "a").alias("la"), at(F.max, "b").alias("lb"), n_last.alias("n_last")).orderBy("part").collect()
+    before = [(p, a, b, n) for p, (a, b, n) in _offsets(ends).items()]
+    rank = F.col("nth")
+    if before:
+        carried = df.sparkSession.createDataFrame(before, "part int, a long, b long, tm_before long")
+        ranked = ranked.join(F.broadcast(carried), ["part", "a", "b"], "left")
+        rank = rank + F.coalesce("tm_before", F.lit(0).cast("long"))
+    first = F.greatest(F.lit(0), F.floor((F.col("rank") - HALO) / PIECE)).cast("long")
+    pieces = F.sequence(first, F.floor((F.col("rank") + HALO) / PIECE).cast("long"))
+    rows = ranked.withColumn("rank", rank).select("a", "b", F.explode(pieces).alias("piece"), F.struct("rank", "id", "value", "possible").alias("r"))
+    grouped = rows.groupBy("a", "b", "piece").agg(F.collect_list("r").alias("readings"))
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _flags(batches, low, high, options)
+        return _flags(batches, options)
 
-    return grouped.select("readings", "piece").mapInArrow(flags, "id long, value double, reason string")
+    return grouped.select("readings", "piece").mapInArrow(flags, "id long, value double, reason string").unionByName(broken)
