@@ -51,6 +51,24 @@ def test_another_quantity_is_no_rename(spark):
     assert found(spark, files) == [(2, "process_cpu_ms", "added"), (2, "snapshot_consistent", "removed"), (2, "wall_ms", "removed"), (2, "warm_start", "added")]
 
 
+def test_names_without_a_common_word(spark):
+    by_values = [recs(source_sha=SHA, elapsed=MS), recs(build_id=SHA, took_ms=MS)]
+    assert found(spark, by_values) == [(2, "elapsed", "removed"), (2, "source_sha", "renamed"), (2, "took_ms", "added")]
+    # other lines show that took stands for elapsed
+    lines = [(f"x{i}", recs(**{n: MS})) for i in range(3) for n in ("elapsed_ms", "took_ms")]
+    assert [x for x in found(spark, [*by_values, *lines]) if x[0] <= 2] == [(2, "elapsed", "renamed"), (2, "source_sha", "renamed")]
+
+
+def test_unified_table_reports_what_does_not_stand_whole(spark):
+    deep = {"value": 101.5, "unit": "ms", "more": [1, 2]}
+    f, r = setup(spark, [recs(2, wall_ms=MS, note=lambda i: {"a": [1, "x"]}), recs(2, wall_ms=lambda i: [deep, "soon"][i], WALL_MS=MS, note=lambda i: {"a": [1, "x"]})])
+    u = {x["row"]: x for x in unify(f, r, wide=(("wall_ms", "double"),)).collect()}
+    assert u[100]["wall_ms"] == 100.0 and u[100]["reported"] == [] and json.loads(u[100]["other"]["note"]) == {"a": [1, "x"]}
+    told = {k: sorted((x["field"], x["reason"]) for x in u[k]["reported"]) for k in (200, 201)}
+    assert told == {200: [("wall_ms", "nested")], 201: [("wall_ms", "misfit")]} and json.loads(u[200]["reported"][0]["value"]) == deep
+    assert u[201]["other"]["WALL_MS"] == "101.0"
+
+
 def test_nulls_odd_values_repeats_and_bad_records(spark):
     a = recs(x=MS, y=lambda i: "t")
     b = [dict(r, x="odd") if i == 2 else dict(r, x=None) if i == 3 else r for i, r in enumerate(recs(x=MS, y=lambda i: "t"))]

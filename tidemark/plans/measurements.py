@@ -63,17 +63,28 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _drift(spark, d).select(F.col("file").alias("file_id"), "field_name", "change_kind")
 
 
-def p3_unified(spark: SparkSession, d: str) -> DataFrame:
+def _unified(spark: SparkSession, d: str) -> DataFrame:
     wide = (
         ("repo_name", "string"), ("case", "string"), ("mode", "string"), ("repetition", "int"), ("wall_ms", "double"), ("elapsed_ms", "double"), ("load_phase_ms", "double"),
         ("response_bytes", "bigint"), ("file_count", "bigint"), ("canonical_response_hash", "string"), ("symbol_hash", "string"), ("jcodemunch_version", "string"), ("jcodemunch_source_sha", "string"),
     )
-    u = unify(table(spark, d, "raw_run_files"), table(spark, d, "raw_run_rows"), wide=wide)
+    return unify(table(spark, d, "raw_run_files"), table(spark, d, "raw_run_rows"), wide=wide)
+
+
+def p3_unified(spark: SparkSession, d: str) -> DataFrame:
+    """All records in one table."""
+    u = _unified(spark, d).drop("reported")
     names = {"row": "raw_id", "file": "file_id", "line": "line_id"}
     # the map goes out as JSON, since maps can't be compared
     return u.select(*[F.col(c).alias(names.get(c, c)) for c in u.columns if c != "other"], F.to_json("other").alias("other_fields"))
 
 
+def p3_reported(spark: SparkSession, d: str) -> DataFrame:
+    """What does not stand whole in the columns of p3_unified, and why."""
+    u = _unified(spark, d).select(F.col("row").alias("raw_id"), F.inline("reported"))
+    return u.select("raw_id", F.col("field").alias("field_name"), "name", "value", "reason")
+
+
 def _trace(spark: SparkSession, d: str, depth: int) -> DataFrame:
     nested = layout(table(spark, d, PROBES), key="probe_id", text="parity_debug_json", levels=TRACE)
     return flatten(nested, TRACE, depth).withColumnRenamed("key", "probe_id")
@@ -105,7 +116,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_spikes(spark, d).select("measurement_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_profile, p2_quantiles, p2_distances, p2_found, p3_changes, p3_found, p3_unified, p4_attempts, p4_loads, p4_accesses, p4_found, p6_spikes, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_profile, p2_quantiles, p2_distances, p2_found, p3_changes, p3_found, p3_unified, p3_reported, p4_attempts, p4_loads, p4_accesses, p4_found, p6_spikes, p6_found)}
 
 _LONG = f"""
 long AS (
