@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.leakage import align, leaks, own_passages, plain, stretches
+from tidemark.llm.leakage import align, around, leaks, own_passages, plain, rare_runs, stretches
 
 DOCS, ITEMS = "doc_id long, text string, item long, h long", "item_id long, passage string, text string"
 
@@ -88,18 +88,51 @@ def brute(doc, item, least):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 2), max_size=18), st.lists(st.integers(0, 2), min_size=1, max_size=12))
 def test_stretches_against_brute_force(doc, item):
-    assert stretches(np.array(doc, int), np.array(item), 3) == brute(doc, item, 3)
+    assert stretches(np.array([doc + [-1] * 3], int), np.array([item + [-2]]), 3)[0] == brute(doc, item, 3)
+    near = around(np.array([w if w in item else -1 for w in doc], np.int32), np.array(item, np.int32), 3)
+    assert stretches(near[None, :], np.array([item]), 3)[0] == brute(doc, item, 3)
 
 
 def smith_waterman(a, b):
-    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    """With skips of any length for 4."""
+    h, top = np.zeros((len(a) + 1, len(b) + 1), int), np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
         for j in range(1, len(b) + 1):
-            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+            equal = a[i - 1] == b[j - 1]
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if equal else -1), h[i - 1, j] - 1, h[i, j - 1] - 1, top[i - 1, j - 1] - 2 if equal else 0)
+            top[i, j] = max(h[i, j], top[i - 1, j], top[i, j - 1])
     return h.max()
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=15), st.lists(st.integers(0, 3), max_size=15))
+@given(st.lists(st.integers(0, 3), max_size=15), st.lists(st.integers(0, 3), min_size=1, max_size=15))
 def test_alignment_against_the_textbook(a, b):
-    assert align(np.array(a, int), np.array(b, int)) == smith_waterman(a, b)
+    assert align(np.array([a + [-1]], int), np.array([b + [-2]]))[0] == smith_waterman(a, b)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=8, max_size=60), st.integers(0, 10**6))
+def test_a_leak_always_shows_a_rare_run(counts, seed):
+    size = len(counts) + 7
+    keep = rare_runs(np.arange(len(counts)), np.array(counts), size, 0.5)
+    r = np.random.default_rng(seed)
+    for _ in range(20):  # stretches that show no seed
+        covered, i = np.zeros(size, bool), 0
+        while i < len(keep):
+            if not keep[i] and r.random() < 0.9:
+                covered[i : i + 8] = True
+            i += 1
+        assert covered.sum() < 0.5 * size
+    assert keep.any() and all(keep[i] for i in range(len(keep)) if counts[i] == 0)
+
+
+def test_standing_instructions_of_any_length(spark):
+    head = " ".join(f"Rule {k} says that you shall not look at line {k} of it." for k in range(9)) + " "
+    items = [head + P, head + " ".join(words(40, 5))]
+    assert found(spark, [head + "nothing else is here", head + P], items) == [(1, 0)]
+
+
+def test_frequent_runs_lose_no_leak(spark):
+    common = " ".join(ITEM[:18])
+    docs = [common + " and more"] * 50 + [" ".join(ITEM[:24]), " ".join(ITEM[16:38]), P]
+    assert found(spark, docs, [P]) == [(50, 0), (51, 0), (52, 0)]

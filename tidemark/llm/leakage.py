@@ -1,11 +1,12 @@
 """Evaluation passages inside training text.
 
-Both sides become words without case, punctuation, markup and escapes. Runs of
-SEED words that a passage has for its own are rare in any corpus; joined with
-the documents' runs they lead to the pairs worth a look, and since a leak
-consists of stretches of at least so many words, no leak is without one. Each
-pair is then aligned word by word (Smith-Waterman), and the stretches on the
-alignment are measured.
+Both sides become words without case, punctuation, markup and escapes. A passage
+gives runs of SEED words as seeds: how often each occurs in the corpus is
+counted, and the most frequent are left out as long as a leak that shows none of
+the others would be too short to be one. The seeds lead to the pairs worth a
+look. Around the seeds each pair is aligned word by word (Smith-Waterman, where
+skipping ahead costs no more than JUMP), and the score decides; of what it lets
+through the stretches of equal words are measured.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ from tidemark.session import materialise
 SEED = 8
 #: Seeds are broadcast up to so many, else joined by shuffle.
 BROADCAST_SEEDS = 2_000_000
+#: Smith-Waterman: a word that agrees, one that does not, a word left out, and
+#: the most that leaving out any number of words costs.
+MATCH, MISS, GAP, JUMP = 2, 1, 1, 4
+#: Words of documents aligned at a time.
+TOGETHER = 65_536
 
 
 #: Characters that don't show.
@@ -67,90 +73,175 @@ def runs(texts: pa.Array, size: int = SEED) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, h) for (id, words)."""
+    """(id, h, place) for (id, words)."""
     for batch in batches:
         row, h = runs(batch.column("words"))
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(h)], ["id", "h"])
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(h), pa.array(place.astype(np.int32))], ["id", "h", "place"])
 
 
-def _hits(batches: Iterator[pa.RecordBatch], seeds: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc, item) once a batch for (id, words) that have a seed; seeds sorted."""
+def _hits(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc, h) once for (id, words) with runs that are known; known is sorted
+    and not empty."""
     for batch in batches:
         row, h = runs(batch.column("words"))
-        lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pair = np.unique(np.stack([np.repeat(row, n), items[at]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(pair[:, 0])), pa.array(pair[:, 1])], ["doc", "item"])
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[at] == h
+        pair = np.unique(np.stack([row[hit], at[hit]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(pair[:, 0])), pa.array(known[pair[:, 1]])], ["doc", "h"])
 
 
-def own_passages(items: DataFrame, *, item: str, passage: str, openings: int = 3) -> DataFrame:
+def own_passages(items: DataFrame, *, item: str, passage: str) -> DataFrame:
     """(item, words): the passage without a standing instruction, that is without
-    the longest opening of up to so many sentences that another passage has
-    too. Equal passages don't count as another."""
-    s = F.split(F.coalesce(F.col(passage), F.lit("")), r"(?<=[.!?:])\s+")
-    p = items.select(F.col(item).alias("item"), s.alias("s"))
-    heads = p.select("s").distinct()
-    shared = None
-    for n in range(1, openings + 1):
-        h = heads.where(F.size("s") > n).select(plain(F.array_join(F.slice("s", 1, n), " ")).alias("head")).groupBy("head").agg(F.count("*").alias("k")).where("k > 1 AND head != ''").select("head", F.lit(n).alias("n"))
-        shared = h if shared is None else shared.unionByName(h)
-    k = F.explode(F.sequence(F.lit(1), F.lit(openings)))
-    tried = p.withColumn("n", k).withColumn("head", plain(F.array_join(F.slice("s", 1, F.col("n")), " "))).where("size(s) > n")
-    cut = tried.join(shared, ["head", "n"]).groupBy("item").agg(F.max("n").alias("n"))
+    the longest opening, in sentences, that another passage has too. Equal
+    passages don't count as another, and the last sentence is no opening.
+    Openings are compared by a hash that goes on from sentence to sentence, so
+    a long passage costs no more than its length."""
+    p = items.select(F.col(item).alias("item"), F.split(F.coalesce(F.col(passage), F.lit("")), r"(?<=[.!?:])\s+").alias("s"))
+    said = F.transform("s", plain)
+    heads = F.aggregate(F.slice(said, 1, F.size("s") - 1), F.array().cast("array<bigint>"), lambda seen, x: F.concat(seen, F.array(F.when(x == "", F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit(0).cast("bigint"))).otherwise(F.xxhash64(F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit(0).cast("bigint")), x)))))
+    p = materialise(p.where("size(s) > 0").withColumn("heads", heads).withColumn("whole", F.xxhash64("s")))
+    shared = p.dropDuplicates(["whole"]).select(F.explode(F.array_distinct("heads")).alias("head")).where("head != 0").groupBy("head").agg(F.count("*").alias("k")).where("k > 1").select("head")
+    cut = p.select("item", F.posexplode("heads").alias("n", "head")).join(shared, "head", "left_semi").groupBy("item").agg((F.max("n") + 1).alias("n"))
     rest = p.join(cut, "item", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rest.select("item", F.split(plain(F.array_join(F.slice("s", F.col("n") + 1, F.size("s")), " ")), " ").alias("words"))
 
 
-def align(doc: np.ndarray, item: np.ndarray, match: int = 2, miss: int = 1, gap: int = 1) -> int:
-    """Smith-Waterman score of two word sequences (as numbers)."""
-    if not len(doc) or not len(item):
-        return 0
-    best = 0
-    row = np.zeros(len(doc) + 1, np.int64)
-    slope = np.arange(len(doc) + 1) * gap
-    for w in item:
-        step = np.where(doc == w, match, -miss)
+def rare_runs(h: np.ndarray, n: np.ndarray, size: int, least: float, run: int = SEED) -> np.ndarray:
+    """Which runs of an item (hashes in order, with their counts in the corpus)
+    are its seeds. The most frequent are left out as long as the words that
+    these cover stay below the share least of all: stretches that show no seed
+    lie within those words, so a leak always shows one."""
+    keep, covered = np.ones(len(h), bool), np.zeros(size, bool)
+    for i in sorted(range(len(h)), key=lambda i: (-n[i], i)):
+        if n[i] == 0:
+            break
+        more = covered.copy()
+        more[i : i + run] = True
+        if more.sum() < least * size:
+            covered, keep[i] = more, False
+    return keep
+
+
+def _choose(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(item, h) of the seeds, for (item, size, runs)."""
+    for batch in batches:
+        items, out_i, out_h = batch.column("item").to_pylist(), [], []
+        for k, (size, run) in enumerate(zip(batch.column("size").to_pylist(), batch.column("runs"))):
+            h, n = (run.values.field(c).to_numpy() for c in ("h", "n"))
+            kept = h[rare_runs(h, n, size, least)]
+            out_h.append(kept)
+            out_i += [items[k]] * len(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(out_i, pa.int64()), pa.array(np.concatenate(out_h) if out_h else [], pa.int64())], ["item", "h"])
+
+
+def align(docs: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Smith-Waterman scores of pairs of word sequences, one pair a row, as
+    numbers; negative ones stand for the end and for words the other lacks.
+    Leaving out words costs GAP each, but JUMP at most."""
+    g, n = docs.shape
+    row, best = np.zeros((g, n + 1), np.int32), np.zeros(g, np.int32)
+    top = np.zeros((g, n + 1), np.int32)  # greatest score so far, at most so far along the document
+    slope = np.arange(n + 1, dtype=np.int32) * GAP
+    for i in range(items.shape[1]):
+        equal = (docs == items[:, i : i + 1]) & (items[:, i : i + 1] >= 0)
         new = np.zeros_like(row)
-        new[1:] = np.maximum(0, np.maximum(row[:-1] + step, row[1:] - gap))
-        row = np.maximum.accumulate(new + slope) - slope  # gaps along the document
-        best = max(best, int(row.max()))
+        new[:, 1:] = np.maximum(np.where(equal, np.maximum(row[:, :-1], top[:, :-1] - JUMP) + MATCH, row[:, :-1] - MISS), row[:, 1:] - GAP)
+        np.maximum(new, 0, out=new)
+        row = np.maximum.accumulate(new + slope, axis=1) - slope  # gaps along the document
+        top = np.maximum(top, np.maximum.accumulate(row, axis=1))
+        best = np.maximum(best, row.max(axis=1))
     return best
 
 
-def stretches(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> int:
-    """Most words of item that lie, in its order, in stretches of at least so
-    many words in doc. Exact: best[i, d] over the first i and d words is that
-    without one of the last words, or that of a stretch which ends with both."""
-    best = [np.zeros(len(doc) + 1, np.int64)]  # of the rows up to least back
-    run = np.zeros(len(doc) + 1, np.int64)
-    ending = np.full(len(doc) + 1, -1, np.int64)  # best with a stretch that ends here
-    for w in item:
-        equal = doc == w
+def stretches(docs: np.ndarray, items: np.ndarray, least: int = SEED) -> np.ndarray:
+    """Most words of an item that lie, in its order, in stretches of at least so
+    many words in the document, for pairs as in align(). Exact: best[i, d] over
+    the first i and d words is that without one of the last words, or that of a
+    stretch which ends with both."""
+    g, n = docs.shape
+    best = [np.zeros((g, n + 1), np.int32)]  # of the rows up to least back
+    run, ending = np.zeros((g, n + 1), np.int32), np.full((g, n + 1), -1, np.int32)
+    for i in range(items.shape[1]):
+        equal = (docs == items[:, i : i + 1]) & (items[:, i : i + 1] >= 0)
         new_run, new_end = np.zeros_like(run), np.full_like(ending, -1)
-        new_run[1:] = np.where(equal, run[:-1] + 1, 0)
-        new_end[1:] = np.where(equal & (ending[:-1] >= 0), ending[:-1] + 1, -1)
-        if len(best) >= least and len(doc) >= least:
-            start = np.where(new_run[least:] >= least, best[-least][:-least] + least, -1)
-            new_end[least:] = np.maximum(new_end[least:], start)
-        best.append(np.maximum.accumulate(np.maximum(best[-1], new_end)))
+        new_run[:, 1:] = np.where(equal, run[:, :-1] + 1, 0)
+        new_end[:, 1:] = np.where(equal & (ending[:, :-1] >= 0), ending[:, :-1] + 1, -1)
+        if len(best) >= least and n >= least:
+            start = np.where(new_run[:, least:] >= least, best[-least][:, :-least] + least, -1)
+            new_end[:, least:] = np.maximum(new_end[:, least:], start)
+        best.append(np.maximum.accumulate(np.maximum(best[-1], new_end), axis=1))
         best = best[-least:]
         run, ending = new_run, new_end
-    return int(best[-1][-1])
+    return best[-1][:, -1]
+
+
+def around(doc: np.ndarray, item: np.ndarray, run: int = SEED) -> np.ndarray:
+    """The words of doc within run places of a run that item has too, with -1
+    for each part left out. No stretch lies outside, and skipping costs JUMP
+    whatever its length, so leaving the rest out takes nothing from an
+    alignment that jumps."""
+    if len(doc) < run or len(item) < run:
+        return doc[:0]
+    known = {item[i : i + run].tobytes() for i in range(len(item) - run + 1)}
+    possible = np.flatnonzero(doc[: len(doc) - run + 1] >= 0)
+    if len(possible):  # a run has only words of the item
+        ok = np.lib.stride_tricks.sliding_window_view(doc >= 0, run).all(axis=1)
+        possible = possible[ok[possible]]
+    hit = [i for i in possible.tolist() if doc[i : i + run].tobytes() in known]
+    edge = np.zeros(len(doc) + 1, np.int64)
+    for i in hit:
+        edge[max(0, i - run)] += 1
+        edge[min(len(doc), i + 2 * run)] -= 1
+    near = np.cumsum(edge[:-1]) > 0
+    first_out = ~near & np.r_[True, near[:-1]]
+    return np.where(near, doc, -1)[near | first_out]
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((len(rows), max(1, max(map(len, rows)))), fill, np.int32)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
+def _together(which: np.ndarray, docs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """which, in order of length, in parts of TOGETHER words or one document."""
+    lo = 0
+    while lo < len(which):
+        hi = lo + 1
+        while hi < len(which) and (hi + 1 - lo) * len(docs[which[hi]]) <= TOGETHER:
+            hi += 1
+        yield which[lo:hi]
+        lo = hi
+
+
+def _score(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Adds score, covered and size; covered is measured where the score allows
+    a leak: stretches of a share least score MATCH a word and lose JUMP between
+    two of them, of which there are not more than one in SEED words."""
     for batch in batches:
-        docs, items = batch.column("doc_words"), batch.column("item_words")
-        out: list[tuple[int, int, int]] = []
-        for k in range(batch.num_rows):
-            item = items[k].as_py()
-            number = {w: n for n, w in enumerate(dict.fromkeys(item))}
-            i = np.array([number[w] for w in item])
-            d = np.array([number.get(w, -1) for w in docs[k].as_py().split(" ")])
-            out.append((align(d, i), stretches(d, i), len(i)))
-        cols = list(zip(*out)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("item"), *[pa.array(list(c), pa.int32()) for c in cols]], ["doc", "item", "score", "covered", "size"])
+        docs, items = [], []
+        number: dict[str, dict[str, int]] = {}
+        for d, i in zip(batch.column("doc_words").to_pylist(), batch.column("item_words").to_pylist()):
+            place = number.setdefault(i, {})
+            words = i.split(" ")
+            for w in words:
+                place.setdefault(w, len(place))
+            item = np.array([place[w] for w in words], np.int32)
+            docs.append(around(np.array([place.get(w, -1) for w in d.split(" ")], np.int32), item))
+            items.append(item)
+        size = np.array([len(i) for i in items])
+        score, covered = np.zeros(len(docs), np.int32), np.zeros(len(docs), np.int32)
+        by_size = np.argsort([len(d) for d in docs], kind="stable")
+        for at in _together(by_size, docs):
+            score[at] = align(_padded([docs[k] for k in at], -1), _padded([items[k] for k in at], -2))
+        wanted = np.ceil(least * size)
+        good = by_size[(score >= wanted * MATCH - JUMP * np.floor((wanted - 1) / SEED))[by_size]]
+        for at in _together(good, docs):
+            covered[at] = stretches(_padded([docs[k] for k in at], -1), _padded([items[k] for k in at], -2))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("item"), *[pa.array(x.astype(np.int32)) for x in (score, covered, size)]], ["doc", "item", "score", "covered", "size"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", least: float = 0.5) -> DataFrame:
@@ -161,26 +252,40 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
     NULL, blank and short texts leak nothing, and an item with fewer than SEED
     words of its own can't be found. Repeated documents are each reported, under
     their own ids; rows with a NULL id can't be named and are left out. Texts
-    are read whole, whatever their length. All runs of own words are seeds:
-    with SEED words, and without standing instructions, they are rare, so none
-    has to be dropped for being frequent.
+    are read whole, whatever their length. Which runs are rare is counted over
+    all documents; see rare_runs() for why no leak is lost by the choice.
     """
-    own = materialise(own_passages(items.where(F.col(item).isNotNull()), item=item, passage=passage))
-    seeds = materialise(own.select(F.col("item").cast("long").alias("id"), F.array_join("words", " ").alias("words")).mapInArrow(_all_runs, "id long, h long").distinct())
-    words = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), plain(F.col(text)).alias("doc_words"))
-    said = words.select(F.col("doc").alias("id"), F.col("doc_words").alias("words"))
-    if seeds.count() <= BROADCAST_SEEDS:
-        known = seeds.orderBy("h", "id").toPandas()
-        sent = docs.sparkSession.sparkContext.broadcast((known["h"].to_numpy(np.int64), known["id"].to_numpy(np.int64)))
+    spark = docs.sparkSession
+    own = materialise(own_passages(items.where(F.col(item).isNotNull()), item=item, passage=passage).select(F.col("item").cast("long").alias("item"), F.array_join("words", " ").alias("item_words"), F.size("words").alias("size")))
+    all_runs = materialise(own.select(F.col("item").alias("id"), F.col("item_words").alias("words")).mapInArrow(_all_runs, "id long, h long, place int"))
+    said = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("id"), plain(F.col(text)).alias("words"))
+    known = all_runs.select("h").distinct()
+    count = known.count()
+    if count == 0:
+        near = spark.createDataFrame([], "doc long, h long")
+    elif count <= BROADCAST_SEEDS:
+        sent = spark.sparkContext.broadcast(np.sort(known.toPandas()["h"].to_numpy(np.int64)))
 
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return _hits(batches, *sent.value)
+            return _hits(batches, sent.value)
 
-        near = said.mapInArrow(hits, "doc long, item long")
+        near = said.mapInArrow(hits, "doc long, h long")
     else:
-        near = said.mapInArrow(_all_runs, "id long, h long").withColumnRenamed("id", "doc").join(seeds.withColumnRenamed("id", "item"), "h").select("doc", "item")
+        near = said.mapInArrow(_all_runs, "id long, h long, place int").select(F.col("id").alias("doc"), "h").distinct().join(known, "h", "left_semi").select("doc", "h")
+    near = materialise(near)
+    frequent = near.groupBy("h").agg(F.count("*").alias("n"))
+    counted = all_runs.join(frequent, "h", "left").groupBy(F.col("id").alias("item")).agg(F.array_sort(F.collect_list(F.struct("place", "h", F.coalesce("n", F.lit(0).cast("long")).alias("n")))).alias("runs"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _choose(batches, least)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _score(batches, least)
+
+    seeds = counted.join(own.select("item", "size"), "item").select("item", "size", "runs").mapInArrow(choose, "item long, h long").distinct()
     # written, so that Spark knows how few they are before it reads the texts again
-    pairs = materialise(near.distinct())
-    found = pairs.join(words, "doc").join(own.withColumnRenamed("words", "item_words"), "item")
-    scored = found.select(F.col("doc"), F.col("item").cast("long").alias("item"), "doc_words", "item_words").mapInArrow(_score, "doc long, item long, score int, covered int, size int")
+    pairs = materialise(near.join(seeds, "h").select("doc", "item").distinct())
+    texts = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("tm_text"))
+    found = pairs.join(texts, "doc").select("doc", "item", plain(F.col("tm_text")).alias("doc_words")).join(own.select("item", "item_words"), "item")
+    scored = found.select("doc", "item", "doc_words", "item_words").mapInArrow(score, "doc long, item long, score int, covered int, size int")
     return scored.where(F.col("covered") >= least * F.col("size")).withColumn("share", F.col("covered") / F.col("size"))
