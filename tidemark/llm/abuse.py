@@ -43,7 +43,8 @@ _LATIN = str.maketrans(LOOK_ALIKE)
 _DIGIT = str.maketrans(DIGITS)
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
 _SPLIT = re.compile(r"\n+|(?<=[.!?;])\s+|(?<=[.!?;][\"')])\s+")
-_TOKEN = re.compile(r"`[^`]*`|@\w+|[^\W_]+(?:[*.\-_'’$@!/][^\W_]+|\*+[^\W_]*)*|\*+[^\W_]+|[?!]")
+#: A line end is a token too: sentences have none inside, and are read together.
+_TOKEN = re.compile(r"\n|`[^`\n]*`|@\w+|[^\W_]+(?:[*.\-_'’$@!/][^\W_]+|\*+[^\W_]*)*|\*+[^\W_]+|[?!]")
 _CODE = re.compile(r"[a-z0-9]+(?:[._/][a-z0-9]+)+")
 _HEX = re.compile(r"[0-9a-f]{7,}")
 _SPACED = re.compile(r"(?<![^\W_])((?:[^\W\d_])(?:[ ]+|[.\-_*])(?:[^\W\d_](?:[ ]+|[.\-_*])){1,}[^\W\d_])(?![^\W_])")
@@ -82,19 +83,23 @@ def _word(w: str) -> tuple[str, str]:
     return w, "word"
 
 
-def _tokens(sentence: str) -> list[str]:
+def _even(sentence: str) -> str:
+    """Lower case, Latin letters for those that look like them."""
     s = sentence.lower()
-    if not s.isascii():
-        s = unicodedata.normalize("NFKC", _HIDDEN.sub("", sentence)).lower().translate(_LATIN)
-    s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]+", "", m[1]), s)
-    return _TOKEN.findall(s)
+    return s if s.isascii() else unicodedata.normalize("NFKC", _HIDDEN.sub("", sentence)).lower().translate(_LATIN)
+
+
+def _tokens(lines: str) -> list[str]:
+    return _TOKEN.findall(_SPACED.sub(lambda m: re.sub(r"[ .\-_*]+", "", m[1]), lines))
 
 
 def words(sentence: str) -> list[tuple[str, str]]:
-    return [_word(w) for w in _tokens(sentence)]
+    return [_word(w) for w in _tokens(_even(sentence))]
 
 
 _MASK = (1 << BITS) - 1
+#: Stand before the first and after the last word of a sentence.
+_BEGIN, _END = zlib.crc32(b"<s>"), zlib.crc32(b"</s>")
 
 
 def _slot(feature: str) -> int:
@@ -122,19 +127,37 @@ def _own_slots(token: str) -> tuple[str, tuple[int, ...]]:
     return w, (_slot(w),)
 
 
-def features(sentence: str) -> list[int]:
-    """Slots of a sentence: words, their shapes (which starred-out words share),
+def _pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Slots of word pairs, from the words' hashes."""
+    return ((before * np.uint64(0x9E3779B1) + after) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS)
+
+
+def features(said: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, sizes, lengths) of sentences: their slots in turn, each once a
+    sentence and in order, how many there are of each sentence, and how many
+    tokens. Slots stand for words, their shapes (which starred-out words share),
     their beginnings, and word pairs. Sentences that say the same in other
-    spelling have the same slots."""
-    out: set[int] = set()
-    prev = "<s>"
-    for t in _tokens(sentence):
-        now, slots = _own_slots(t)
-        out.update(slots)
-        out.add(zlib.crc32(f"b {prev} {now}".encode()) & _MASK)
-        prev = now
-    out.add(_slot(f"b {prev} </s>"))
-    return sorted(out)
+    spelling have the same slots. Tokens are looked at once, however often they
+    come; all else is done for all sentences together."""
+    if not said:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = pa.array(_tokens("\n".join(map(_even, said)) + "\n")).dictionary_encode()
+    known = [("", ()) if t == "\n" else _own_slots(t) for t in found.dictionary.to_pylist()]
+    at = found.indices.to_numpy()
+    end = np.array([not x[1] for x in known])[at]
+    row = np.cumsum(end) - end
+    name = np.array([zlib.crc32(x[0].encode()) for x in known], np.uint64)
+    own = np.full((len(known), 3), -1, np.int64)
+    for k, (_, slots) in enumerate(known):
+        own[k, : len(slots)] = slots
+    # each token with the one before; a sentence's first with its beginning, its end with the last
+    here = np.where(end, np.uint64(_END), name[at])
+    before = np.r_[np.uint64(_BEGIN), np.where(end, np.uint64(_BEGIN), here)[:-1]]
+    every = np.concatenate([_pair(before, here).astype(np.int64)[:, None], own[at]], axis=1)
+    key = (row[:, None] << BITS | every)[every >= 0]
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    return key & _MASK, np.bincount(key >> BITS, minlength=len(said)), np.bincount(row[~end], minlength=len(said))
 
 
 @dataclass
@@ -142,9 +165,13 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def sentence_logits(self, slots: list[list[int]]) -> np.ndarray:
-        w = self.weights
-        return np.array([self.bias + w[s].sum() / np.sqrt(len(s)) if s else self.bias for s in slots])
+    def sentence_logits(self, said: list[str]) -> np.ndarray:
+        """Minus infinity for a sentence without a word."""
+        slots, sizes, lengths = features(said)
+        if not len(said):
+            return np.zeros(0)
+        total = np.add.reduceat(self.weights[slots], np.r_[0, np.cumsum(sizes)[:-1]])
+        return np.where(lengths > 0, self.bias + total / np.sqrt(sizes), -np.inf)
 
 
 def noisy_or(logits: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
@@ -165,17 +192,20 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 250, rate: float =
     weights, bias = np.zeros(1 << BITS), start
     if not len(y) or y.max() < 0.5 or y.min() >= 0.5:
         return Model(weights, bias)
-    slots, bag = [], []
-    for k, t in enumerate(texts):
-        for s in sentences(t):
-            if f := features(s):
-                slots.append(f)
-                bag.append(k)
+    said = [(k, x) for k, t in enumerate(texts) for x in sentences(t)]
+    slots, sizes, lengths = features([x for _, x in said])
+    if not len(said) or not lengths.any():
+        return Model(weights, bias)
     # equal sentences are one instance with one set of features
-    key: dict[tuple, int] = {}
-    inst = np.array([key.setdefault(tuple(f), len(key)) for f in slots])
-    bag = np.array(bag)
-    uniq = [np.array(f) for f in key]
+    key: dict[bytes, int] = {}
+    uniq, inst, bag = [], [], []
+    for (k, _), f, n in zip(said, np.split(slots, np.cumsum(sizes)[:-1]), lengths):
+        if n:
+            i = key.setdefault(f.tobytes(), len(key))
+            if i == len(uniq):
+                uniq.append(f)
+            inst.append(i), bag.append(k)
+    inst, bag = np.array(inst), np.array(bag)
     lens = np.array([len(f) for f in uniq])
     flat = np.concatenate(uniq)
     used, flat = np.unique(flat, return_inverse=True)
@@ -183,7 +213,11 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 250, rate: float =
     scale = 1 / np.sqrt(lens)
     starts = np.r_[0, np.cumsum(lens)[:-1]]
     # leverage: what many documents have tells little about any; what only one has, nothing
-    pairs = np.unique(bag[np.repeat(np.arange(len(slots)), [len(f) for f in slots])] * len(used) + np.concatenate([np.searchsorted(used, f) for f in slots]))
+    each = np.unique(bag.astype(np.int64) * len(uniq) + inst)  # instances of each document
+    doc_of, of = each // len(uniq), each % len(uniq)
+    first = np.r_[0, np.cumsum(lens)[:-1]]
+    take = np.repeat(first[of] - np.r_[0, np.cumsum(lens[of])[:-1]], lens[of]) + np.arange(lens[of].sum())
+    pairs = np.unique(np.repeat(doc_of, lens[of]) * len(used) + flat[take])
     df = np.bincount(pairs % len(used), minlength=len(used))
     lever = np.where(df >= least, 1 / np.sqrt(1 + df / (common * len(y))), 0.0)
     value = lever[flat]
@@ -231,27 +265,21 @@ def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        weight, bias = m.weights.tolist(), m.bias
-        known: dict[str, float] = {}
         for b in batches:
-            bag, logits, said = [], [], []
-            for k, t in enumerate(b.column("tm_text").to_pylist()):
-                for s in sentences(t or ""):
-                    z = known.get(s)
-                    if z is None:
-                        f = features(s)
-                        z = bias + sum([weight[i] for i in f]) / len(f) ** 0.5 if len(f) > 1 else -np.inf
-                        if len(known) < 50_000:
-                            known[s] = z
-                    if z > -np.inf:
-                        bag.append(k), logits.append(z), said.append(s)
-            z, g = np.array(logits), np.array(bag, int)
+            texts = b.column("tm_text").to_pylist()
+            split = [sentences(t) if t else [] for t in texts]
+            said = [s for x in split for s in x]
+            g = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+            z = m.sentence_logits(said)
+            with_words = np.flatnonzero(z > -np.inf)
+            z, g = z[with_words], g[with_words]
             p = noisy_or(z, g, b.num_rows) if len(g) else np.zeros(b.num_rows)
             worst: list = [None] * b.num_rows
             top = np.full(b.num_rows, -np.inf)
-            for i in range(len(g)):
-                if z[i] > top[g[i]]:
-                    top[g[i]], worst[g[i]] = z[i], said[i]
+            np.maximum.at(top, g, z)
+            lead = np.flatnonzero(z == top[g])
+            for i in lead[::-1].tolist():  # the first of equal ones stays
+                worst[g[i]] = said[with_words[i]]
             cols = [b.column(c) for c in b.schema.names if c != "tm_text"]
             tops = [None if x == -np.inf else float(1 / (1 + np.exp(-x))) for x in top]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array(worst, pa.string()), pa.array(tops, pa.float64())], [*[c for c in b.schema.names if c != "tm_text"], "score", "worst_sentence", "worst_score"])
