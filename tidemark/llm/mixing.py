@@ -61,47 +61,51 @@ def count_tokens(df: DataFrame, text: str, out: str = "tokens", tokenizer: str |
     return df.mapInArrow(count, schema)
 
 
-def balance(sizes: DataFrame, targets: dict[str, tuple[float, int]], total: float, rounds: int = 60, tolerance: float = 1e-10) -> dict[str, float]:
-    """The tilt of each source: rate = min(cap, exp(tilt * tokens / mean)), such
-    that the tokens at these rates are its share of total. Infinite where the
-    whole source at its cap isn't enough, and minus infinity for a target of 0.
-
-    sizes: (source, tokens, n), documents counted by size. Newton steps are kept
-    inside a bracket and halve it where they would leave it, so each source's
-    equation, which is increasing in its tilt, is solved from anywhere.
+def balance(sizes: DataFrame, targets: dict[str, tuple[float, int]], total: float, rounds: int = 60, tolerance: float = 1e-10) -> tuple[dict[str, float], set[str]]:
+    """(tilts, short): the tilt of each source, rate = min(cap, exp(tilt * tokens
+    / mean)), such that the tokens at these rates are its share of total; and the
+    sources for which there is none.
+
+    sizes: (source, tokens, n), documents counted by size. The slope of the dual
+    in a source's tilt is what its rates give less its share, and grows with the
+    tilt. Each source is first looked at in the limit: where the slope stays
+    below 0 however great the tilt, the dual is unbounded, so no mixture is
+    feasible; the source is short and its tilt infinite (as it is where the
+    limit gives just the share). For a target of 0 the tilt is minus infinity.
+    The others are solved by Newton steps, kept inside a bracket and halving it
+    where they would leave it, so each equation is solved from anywhere.
     """
     spark = sizes.sparkSession
-    have = {r["source"]: (float(r["t"] or 0), int(r["n"] or 0)) for r in sizes.where(F.col("source").isin(*targets)).groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()}
-    tilt: dict[str, float] = {}
-    active: dict[str, list[float]] = {}  # source: tilt, lower and upper bound
-    for s, (w, cap) in targets.items():
-        t, n = have.get(s, (0.0, 0))
-        goal = w * total
-        if goal <= 0:
-            tilt[s] = -math.inf
-        elif t == 0 or t * cap <= goal:
-            tilt[s] = math.inf
-        else:
-            active[s] = [math.log(goal / t), -60.0, 60.0]
+    x = F.col("tokens") / F.col("mean")
+    raw = F.exp(F.least(F.col("tilt") * x, F.lit(700.0)))
+    mass = F.col("n") * F.col("tokens")
+
+    def slopes(at: dict[str, float], mean: dict[str, float]) -> dict:
+        now = spark.createDataFrame([(s, float(v), float(targets[s][1]), mean[s]) for s, v in at.items()], "source string, tilt double, cap double, mean double")
+        step = sizes.join(F.broadcast(now), "source").groupBy("source").agg(F.sum(mass * F.least(raw, F.col("cap"))).alias("got"), F.sum(F.when(raw < F.col("cap"), mass * raw * x).otherwise(0.0)).alias("slope"))
+        return {r["source"]: (r["got"] - targets[r["source"]][0] * total, r["slope"]) for r in step.collect()}
+
+    wanted = {s for s, (w, _) in targets.items() if w * total > 0}
+    tilt = {s: -math.inf for s in targets if s not in wanted}
+    have = {r["source"]: (float(r["t"] or 0), int(r["n"])) for r in sizes.where(F.col("source").isin(*wanted)).groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()} if wanted else {}
+    mean = {s: t / n for s, (t, n) in have.items() if t > 0}
+    limit = slopes({s: math.inf for s in mean}, mean) if mean else {}
+    short = {s for s in wanted if limit.get(s, (-1.0, 0.0))[0] < 0}
+    tilt |= {s: math.inf for s in wanted if limit.get(s, (-1.0, 0.0))[0] <= 0}
+    active = {s: [math.log(targets[s][0] * total / have[s][0]), -60.0, 60.0] for s in wanted - tilt.keys()}  # tilt, lower and upper bound
     for _ in range(rounds):
         if not active:
             break
-        now = spark.createDataFrame([(s, v[0], float(targets[s][1]), have[s][0] / have[s][1]) for s, v in active.items()], "source string, tilt double, cap double, mean double")
-        x = F.col("tokens") / F.col("mean")
-        raw = F.exp(F.least(F.col("tilt") * x, F.lit(700.0)))
-        mass = F.col("n") * F.col("tokens")
-        step = sizes.join(now, "source").groupBy("source").agg(F.sum(mass * F.least(raw, F.col("cap"))).alias("got"), F.sum(F.when(raw < F.col("cap"), mass * raw * x).otherwise(0.0)).alias("slope"))
-        for r in step.collect():
-            s, v = r["source"], active[r["source"]]
-            off = r["got"] - targets[s][0] * total
+        for s, (off, slope) in slopes({s: v[0] for s, v in active.items()}, mean).items():
+            v = active[s]
             if abs(off) <= tolerance * total:
                 tilt[s] = v[0]
                 continue
             v[1], v[2] = (v[1], v[0]) if off > 0 else (v[0], v[2])
-            new = v[0] - off / r["slope"] if r["slope"] > 0 else math.nan
+            new = v[0] - off / slope if slope > 0 else math.nan
             v[0] = new if v[1] < new < v[2] else (v[1] + v[2]) / 2
         active = {s: v for s, v in active.items() if s not in tilt}
-    return tilt | {s: v[0] for s, v in active.items()}
+    return tilt | {s: v[0] for s, v in active.items()}, short
 
 
 def mixture(docs: DataFrame, targets: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -110,9 +114,9 @@ def mixture(docs: DataFrame, targets: DataFrame, *, doc: str = "doc_id", text: s
     documents: doc_id, source, tokens, rate, copies, for every row of docs with
     a source in targets; copies is a whole number, at most max_repeats, whose
     expectation is the rate. shares: source, target_weight, max_repeats,
-    documents, tokens, target_tokens, enough (false where even all documents,
-    max_repeats times, don't reach the target), copies_tokens, reached_weight
-    (share of the mixture).
+    documents, tokens, target_tokens, enough (false where the dual is unbounded,
+    so even all documents, max_repeats times, don't reach the target),
+    copies_tokens, reached_weight (share of the mixture).
 
     The target is target_weight of the tokens of all documents, those without a
     target source included. Spellings of a source are joined. NULL, blank and
@@ -131,9 +135,9 @@ def mixture(docs: DataFrame, targets: DataFrame, *, doc: str = "doc_id", text: s
     sized = materialise(count_tokens(docs.select(F.col(doc).alias("doc_id"), source_name(F.col(source)).alias("source"), F.col(text).alias("tm_text")), "tm_text", tokenizer=tokenizer))
     sizes = materialise(sized.groupBy("source", "tokens").agg(F.count("*").alias("n")))
     total = float(sizes.agg(F.sum(F.col("tokens") * F.col("n"))).first()[0] or 0)
-    tilt = balance(sizes, plan, total)
-    rows = [(s, w, c, w * total, tilt[s]) for s, (w, c) in plan.items()]
-    by_source = spark.createDataFrame(rows, "source string, target_weight double, max_repeats int, target_tokens double, tilt double")
+    tilt, short = balance(sizes, plan, total)
+    rows = [(s, w, c, w * total, tilt[s], s not in short) for s, (w, c) in plan.items()]
+    by_source = spark.createDataFrame(rows, "source string, target_weight double, max_repeats int, target_tokens double, tilt double, enough boolean")
     mean = sizes.groupBy("source").agg((F.sum(F.col("tokens") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("documents"), F.sum(F.col("tokens") * F.col("n")).alias("source_tokens"))
     facts = by_source.join(mean, "source", "left")
     inf = F.lit(float("inf"))
@@ -151,7 +155,7 @@ def mixture(docs: DataFrame, targets: DataFrame, *, doc: str = "doc_id", text: s
     none = F.lit(0).cast("bigint")
     shares = facts.join(reached, "source", "left").crossJoin(all_copies).select(
         "source", "target_weight", "max_repeats", F.coalesce("documents", none).alias("documents"), F.coalesce("source_tokens", none).alias("tokens"), "target_tokens",
-        (F.coalesce("source_tokens", none) * F.col("max_repeats") >= F.col("target_tokens")).alias("enough"), F.coalesce("copies_tokens", none).alias("copies_tokens"),
+        "enough", F.coalesce("copies_tokens", none).alias("copies_tokens"),
         F.coalesce(F.col("copies_tokens") / F.col("all_copies"), F.lit(0.0)).alias("reached_weight"),
     )
     return documents, shares

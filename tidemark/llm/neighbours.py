@@ -9,11 +9,15 @@ Each table has bits of its own, so a pair that misses the collision threshold in
 one can reach it in another. Tables and threshold follow from the least cosine
 asked for. Vectors that reach the threshold are verified with the exact cosine.
 
-Windows are bounded by rank, not by distance: in 96 dimensions a window wide
+Windows expand by virtual rehashing: where a window is full of collisions, its
+vector goes into the next round with twice the radius, which in a sorted array
+of bit keys is one bit less in common, without a new array. A window that is
+still full in the last round lies in a group of so many near vectors that these
+are searched exactly, block by block.
+
+Windows begin bounded by rank, not by distance: in 96 dimensions a window wide
 enough to hold near vectors of one projection alone holds about a third of all
-vectors, so counting over whole projections is quadratic. Where a window is too
-short for what lies around it, it is full of collisions; such vectors form
-groups that are searched exactly, block by block.
+vectors, so counting over whole projections is quadratic.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from tidemark.session import materialise
 
 #: Bits of a table's sort key, below the table's number, and bits that are only counted.
 KEY_BITS, MORE_BITS = 54, 64
-#: A window reaches so many places to either side.
-REACH = 24
+#: A window reaches so many places to either side at first, and at most.
+REACH, WIDEST = 24, 192
 #: Neighbouring places that link full windows to groups; vectors in a block of a group.
 LINK, BLOCK = 2, 2048
 #: Tables are as many as give a pair of the cosine asked for the recall wanted.
@@ -97,11 +101,12 @@ def _keys(batches: Iterator[pa.RecordBatch], dim: int, tables: int, seed: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(more), pa.array(ids[lo : lo + len(x)])], ["key", "more", "id"])
 
 
-def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one sorted range that collide often enough, within reach of each
-    other in one table. (a, a) marks a full window: a collides with at least
-    reach // 2 of the places around it. Of pairs whose windows are both full only
-    those at most LINK places apart come out, as dense() looks at all others.
+def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int, widest: int = WIDEST) -> Iterator[pa.RecordBatch]:
+    """Pairs of one sorted range that collide often enough, within the window of
+    one of them in one table. Windows of radius r are full if r // 2 of their
+    places collide; these double their radius, from reach on. (a, a) marks a
+    window that is full at widest. Of pairs whose windows are both so only those
+    at most LINK places apart come out, as dense() looks at all others.
 
     The first and last reach entries of the range come out too, with part (the
     number of the range) and place, for _across()."""
@@ -118,13 +123,21 @@ def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int) -> I
         key, more, ids = rows
         table, n = key >> KEY_BITS, len(ids)
         around, hits = np.zeros(n, np.int16), []
-        for d in range(1, min(reach, n - 1) + 1):
-            apart = np.bitwise_count((key[: n - d] ^ key[d:]).view(np.uint64)) + np.bitwise_count((more[: n - d] ^ more[d:]).view(np.uint64))
-            hit = np.flatnonzero((apart <= KEY_BITS + MORE_BITS - threshold) & (table[: n - d] == table[d:]))
-            around[hit] += 1
-            around[hit + d] += 1
-            hits.append((d, hit[(hit >= lo) & (hit < hi)]))
-        full = around >= max(1, reach // 2)
+        open_, radius, done = np.ones(n, bool), min(reach, widest), 0
+        while True:
+            for d in range(done + 1, min(radius, n - 1) + 1):
+                i = np.flatnonzero(open_[: n - d] | open_[d:]) if done else slice(0, n - d)
+                j = i + d if done else slice(d, n)
+                apart = np.bitwise_count((key[i] ^ key[j]).view(np.uint64)) + np.bitwise_count((more[i] ^ more[j]).view(np.uint64))
+                hit = np.flatnonzero((apart <= KEY_BITS + MORE_BITS - threshold) & (table[i] == table[j]))
+                hit = i[hit] if done else hit
+                around[hit] += 1
+                around[hit + d] += 1
+                hits.append((d, hit[(hit >= lo) & (hit < hi)]))
+            full = open_ & (around >= max(1, radius // 2))
+            if radius >= widest or not full.any():
+                break
+            open_, done, radius = full, radius, min(2 * radius, widest)
         marked = ids[lo:hi][full[lo:hi]]
         a, b = [marked], [marked]
         for d, hit in hits:
@@ -144,10 +157,10 @@ def _collide(batches: Iterator[pa.RecordBatch], reach: int, threshold: int) -> I
             upto = min(reach, len(rows[0]))
             yield edge(rows, np.arange(headed, upto), 0)
             headed = upto
-        hi = len(rows[0]) - 2 * reach  # both windows of a pair have to be known
-        if hi > lo + reach:
+        hi = len(rows[0]) - 2 * widest  # both windows of a pair have to be known
+        if hi > lo + widest:
             yield pairs(rows, lo, hi)
-            rows, lo, gone = tuple(x[hi - reach :] for x in rows), reach, gone + hi - reach
+            rows, lo, gone = tuple(x[hi - widest :] for x in rows), widest, gone + hi - widest
     if rows is not None:
         yield pairs(rows, lo, len(rows[0]))
         n = len(rows[0])
@@ -255,9 +268,9 @@ def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int =
     others' nearest are the first of their own kind, which they get directly.
     Every usable vector is indexed or belongs to such copies.
 
-    Dense groups (near-copies, copies at another scale): vectors whose window is
-    full of collisions in some table are joined to groups, and searched there
-    exactly in blocks.
+    Dense groups (near-copies, copies at another scale): vectors whose widest
+    window is full of collisions in some table are joined to groups, and
+    searched there exactly in blocks.
     """
     v = F.col(vector).cast("array<float>")
     own = df.select(F.col(id_col).cast("string").alias("name"), v.alias("v")).where(F.col("name").isNotNull() & usable(F.col("v"), dim))
@@ -295,7 +308,7 @@ def similar_pairs(df: DataFrame, *, id_col: str, vector: str, dim: int, k: int =
 
     spark = df.sparkSession
     # a window has to fit into a range to be known as full
-    most = max(1, n * tables // (4 * reach))
+    most = max(1, n * tables // (4 * WIDEST))
     parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), most), n * tables // 200_000)
     arrays = source.mapInArrow(keys, "key long, more long, id long").repartitionByRange(parts, "key").sortWithinPartitions("key")
     looked = materialise(arrays.mapInArrow(collide, "a long, b long, key long, more long, part int, place long"))
