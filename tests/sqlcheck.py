@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -28,10 +29,20 @@ def canon(df):
         return str(v).replace("+00:00", "")
 
     df = df[sorted(df.columns)]
-    return list(df.columns), sorted(([cell(v) for v in r] for r in df.itertuples(index=False)), key=str)
+    return list(df.columns), [[cell(v) for v in r] for r in df.itertuples(index=False)]
+
+
+def ordered(sql):
+    """Whether the whole of a query is ordered: ORDER BY after the last closing
+    bracket but those of its own terms."""
+    return re.search(r"ORDER BY [^()]*$", sql.strip()) is not None
 
 
 def same(spark_df, con, sql):
+    """Equal columns and rows; in equal order where the SQL gives one."""
     got, want = canon(spark_df.toPandas()), canon(con.execute(sql).df())
     assert got[0] == want[0]
-    assert got[1] == want[1]
+    if ordered(sql):
+        assert got[1] == want[1]
+    else:
+        assert sorted(got[1], key=str) == sorted(want[1], key=str)

@@ -46,14 +46,41 @@ def test_overlay_has_the_seven_equalities(spark):
 
 
 def test_profiles(spark):
-    files = spark.createDataFrame([("a.py",), ("b.py",)], "path string")
-    symbols = spark.createDataFrame([("1", "F", "a.py"), ("2", "g", "b.py")], "id string, name string, file string")
-    edges = spark.createDataFrame([("b.py", "a.py")], "src string, dst string")
-    size = lambda p, **k: tuple(x.count() for x in reads.load_profile(files, symbols, p, **k))
-    assert size("all_files") == (2, 0) and size("metadata") == (0, 0) and size("target_symbols", ids=["1"]) == (0, 1)
-    assert size("all_files_definitions", names=["f"]) == (2, 1) and size("target_file_symbols", paths=["a.py"]) == (1, 1)
-    assert size("blast_enrichment", paths=["a.py"], edges=edges) == (2, 1) and size("prefix_files", prefix="A") == (1, 0)
-    assert set(reads.PROFILES) == {"target_symbols", "target_files", "target_file_symbols", "all_files", "all_files_target_symbols", "all_files_target_file_symbols", "all_files_definitions", "metadata", "prefix_files", "reference_call_chain", "blast_enrichment"}
+    imports = json.dumps([{"specifier": "a.py", "names": ["F"]}])
+    files = spark.createDataFrame([("a.py", None), ("b.py", imports), ("c_d.py", "[]"), (None, imports)], "path string, imports string")
+    symbols = spark.createDataFrame([("1", "F", "a.py"), ("2", "g", "b.py"), ("3", "h", None), ("4", "f", "c_d.py")], "id string, name string, file string")
+
+    def got(p, **k):
+        f, s = reads.load_profile(files, symbols, p, **k)
+        return sorted(r["path"] for r in f.where("path IS NOT NULL").collect()), sorted(r["id"] for r in s.collect())
+
+    every = ["a.py", "b.py", "c_d.py"]
+    assert got("metadata") == ([], []) and got("all_files") == (every, []) and reads.load_profile(files, symbols, "all_files")[0].count() == 4
+    # the files of the symbols come with them, and those asked for beside
+    assert got("target_symbols", ids=["1", "3", "none"]) == (["a.py"], ["1", "3"])
+    assert got("target_symbols", ids=["1"], paths=["b.py", "a.py"]) == (["a.py", "b.py"], ["1"])
+    assert got("target_symbols") == ([], []) and got("target_files", paths=["a.py"]) == (["a.py"], [])
+    assert got("target_file_symbols", paths=["a.py", "zz"]) == (["a.py"], ["1"])
+    assert got("all_files_target_symbols", ids=["2"]) == (every, ["2"]) and got("all_files_target_file_symbols", paths=["b.py"]) == (every, ["2"])
+    assert got("all_files_definitions", identifiers=["f"]) == (every, ["1", "4"]) and got("all_files_definitions") == (every, [])
+    assert got("prefix_files", prefix="C_") == (["c_d.py"], ["4"]) and got("prefix_files", prefix="%") == ([], [])
+    assert got("reference_call_chain", identifiers=["f"]) == (every, ["2"]) and got("reference_call_chain", identifiers=["f"], limit=0)[1] == []
+    assert got("blast_enrichment", ids=["1"]) == (every, ["1", "2"]) and got("blast_enrichment", ids=["4"]) == (every, ["4"])
+    assert got("blast_enrichment", ids=["1", "2"]) == (every, ["1", "2"]) and got("blast_enrichment") == (every, [])
+    with pytest.raises(KeyError):
+        reads.load_profile(files, symbols, "other")
+
+
+def test_overlay_and_upsert_keep_their_order(spark):
+    base = spark.createDataFrame([("m", "old"), ("k", "kept")], "file string, body string")
+    delta = spark.createDataFrame([("z", "1", "add", 2), ("m", "2", "modify", 1), (None, "3", "add", 0)], "file string, body string, action string, at int")
+    out = reads.overlay(base, delta, key="file", action="action", order="at").orderBy(F.col("tm_at").asc_nulls_first())
+    assert [r["file"] for r in out.collect()] == ["k", None, "m", "z"]
+    a = spark.createDataFrame([("x", 1, "a"), (None, 2, "b"), ("y", 3, "c")], "k string, at int, v string")
+    b = spark.createDataFrame([("w", 0, "d"), ("y", 9, None), (None, 8, "e")], "k string, at int, v string")
+    got = reads.upsert(a, b, "k", position="at").orderBy("tm_late", "at").collect()
+    assert [(r["k"], r["v"]) for r in got] == [("x", "a"), (None, "e"), ("y", None), ("w", "d")]
+    assert sorted(map(str, map(tuple, reads.upsert(a, b, "k").collect()))) == sorted(map(str, [("x", 1, "a"), ("w", 0, "d"), ("y", 9, None), (None, 8, "e")]))
 
 
 # graphs
@@ -69,6 +96,50 @@ def test_graphs_with_cycles_nulls_and_repeats(spark):
     assert graph.reach(e.limit(0), start, 3).count() == 1 and graph.cycles(e.limit(0), 3).count() == 0
 
 
+def tarjan(edges):
+    """Components by a plain depth-first search, named by their greatest node."""
+    out, index, low, stack, on = {}, {}, {}, [], set()
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b), after.setdefault(b, [])
+
+    def visit(v):
+        index[v] = low[v] = len(index)
+        stack.append(v), on.add(v)
+        for w in after[v]:
+            if w not in index:
+                visit(w)
+                low[v] = min(low[v], low[w])
+            elif w in on:
+                low[v] = min(low[v], index[w])
+        if low[v] == index[v]:
+            part = []
+            while not part or part[-1] != v:
+                part.append(stack.pop())
+                on.discard(part[-1])
+            out.update({w: max(part) for w in part})
+
+    for v in after:
+        if v not in index:
+            visit(v)
+    return out
+
+
+@pytest.mark.parametrize("seed,n,m", [(1, 30, 40), (2, 60, 70), (3, 12, 60)])
+def test_components_against_a_depth_first_search(spark, seed, n, m):
+    import random
+
+    r = random.Random(seed)
+    edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)]
+    df = spark.createDataFrame(edges + [(None, 1), edges[0]], "src int, dst int")
+    want = tarjan(edges)
+    assert {x["node"]: x["component"] for x in graph.components(df).collect()} == want
+    on_cycle = {v for v in want if sum(want[w] == want[v] for w in want) > 1 or (v, v) in edges}
+    got = {x["node"]: x["length"] for x in graph.all_cycles(df).collect()}
+    assert set(got) == on_cycle and all(got[v] == 9 for v in range(100, 109))
+    assert graph.components(df.limit(0)).count() == 0 and graph.all_cycles(df.limit(0)).count() == 0
+
+
 def test_importance_against_plain_iteration(spark):
     pairs = [(1, 2), (1, 3), (2, 3), (3, 1), (4, 3)]
     got = {r["node"]: r["rank"] for r in graph.importance(spark.createDataFrame(pairs, "src int, dst int"), rounds=20).collect()}
@@ -103,6 +174,11 @@ def test_pairs_strict_and_lenient(spark):
     assert s["geomean_ratio"] == pytest.approx(6**0.5)
     empty = paired.summary(paired.pairs(t.limit(0), **p), []).first()
     assert (empty["n_pairs"], empty["median_ratio"], empty["base_total"]) == (0, 0.0, None)
+    every = paired.pairs(t, **p)
+    levels = {(r["key"], r["n_pairs"], r["median_ratio"]) for r in paired.report(every, [[], ["key"]]).collect()}
+    assert levels == {(None, 2, 2.5), (None, 1, 2.0), ("k", 1, 3.0)}
+    none = paired.report(every.limit(0), [[], ["key"]]).collect()
+    assert [(r["key"], r["n_pairs"], r["median_ratio"], r["base_total"]) for r in none] == [(None, 0, 0.0, None)]
 
 
 def test_exact_quantiles_of_hot_groups_and_ties(spark):
@@ -151,19 +227,43 @@ def test_canonical_json(spark):
     assert [r[0] for r in df.select(c).collect()] == ['{"a":{"x":[{"é":2}]},"b":1}', None, None]
 
 
-def test_table_digest_ignores_order_and_sees_changes(spark):
+def test_core_parity_leaves_out_one_path(spark):
+    def answer(index, rows=1, deep=False):
+        x = {"_meta": {"verdict": {"channels": {"index": index, "text": "t"}}}, "rows": rows}
+        return json.dumps([x] if deep else x)
+
+    rows_ = [("same", "b", answer("f")), ("same", "c", answer("f")), ("flag", "b", answer("f")), ("flag", "c", answer("r")), ("deep", "b", answer("f", deep=True)), ("deep", "c", answer("r", deep=True)), ("other", "b", answer("f")), ("other", "c", answer("f", 2)), ("broken", "b", "{"), ("broken", "c", "{"), ("null", "b", None), ("null", "c", None), ("alone", "b", answer("f"))]
+    df = spark.createDataFrame(rows_, "k string, mode string, t string")
+    got = {r["k"]: (r["full_parity"], r["core_parity"], r["difference"]) for r in canonical.core_parity(df, keys=["k"], mode="mode", text="t", baseline="b", candidate="c", path=("_meta", "verdict", "channels", "index")).collect()}
+    flag = (False, True, "_meta.verdict.channels.index")
+    assert got == {"same": (True, True, ""), "flag": flag, "deep": flag, "other": (False, False, ""), "broken": (False, False, ""), "null": (False, False, "")}
+
+
+def test_table_digest_is_in_order_of_the_key_and_sees_changes(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "k int, v string")
     d = lambda x: canonical.table_digest(x, "k", ["v"]).first()["digest"]
     assert d(df) == d(df.orderBy(F.col("k").desc()).repartition(3))
-    assert len({d(df), d(df.fillna("")), d(df.union(df.limit(1))), d(df.limit(0))}) == 4
+    swapped = spark.createDataFrame([(1, None), (2, "a"), (3, "")], "k int, v string")
+    assert len({d(df), d(swapped), d(df.fillna("")), d(df.union(df.limit(1))), d(df.limit(0))}) == 5
+    long = spark.range(50).selectExpr("id AS k", "'v' || id AS v")
+    monkeypatch.setattr(canonical, "FAN", 4)
+    assert d(long) == d(long.repartition(7)) != d(long.where("k != 33")) and canonical.table_digest(long, "k", ["v"]).first()["n"] == 50
 
 
 def test_provenance_and_traces(spark):
     p = spark.createDataFrame([("a", "1" * 40), ("b", "1" * 40), ("b", "2" * 40), ("c", "2" * 40), ("d", ""), ("d", None)], "g string, sha string")
     assert rows(canonical.provenance(p, group=["g"], sha="sha", current="1" * 40), "g", "class") == [("a", "current_only"), ("b", "mixed"), ("c", "older_only"), ("d", "empty")]
-    t = lambda **k: json.dumps({"hydration_trace": {"load_results": [{"requested_hydration": k.pop("how", "lazy")}], **k}})
-    df = spark.createDataFrame([(t(how="full"),), (t(lazy_full_materializations=1),), (t(sparse_by_id_calls=2),), (t(),), ("{}",), (None,)], "t string")
-    assert [r[0] for r in df.select(canonical.traces(df, "t")).collect()] == ["explicit_full", "lazy_full", "sparse_only", "no_access", "no_trace", "no_trace"]
+    t = lambda **k: json.dumps({"hydration_trace": {"load_results": [{"requested_hydration": k.pop("how", "lazy")}, None, {}], **k}})
+    want = {
+        t(how="full"): "explicit_full", t(how="full", sparse_by_files_calls=1): "explicit_full_plus_sparse", t(lazy_full_materializations=1): "lazy_full",
+        t(lazy_full_materializations=1, sparse_by_name_calls=3): "lazy_full_plus_sparse", t(sparse_by_id_calls=2): "sparse_only", t(lazy_ensure_calls=4): "metadata_or_file_state_only",
+        json.dumps({"hydration_trace": json.dumps({"sparse_by_id_calls": 1})}): "sparse_only", '{"hydration_trace": {}}': "metadata_or_file_state_only",
+        "{}": None, '{"hydration_trace": []}': None, "{": None, None: None,
+    }
+    df = spark.createDataFrame([(x,) for x in want], "t string")
+    assert [r[0] for r in df.select(canonical.traces("t")).collect()] == list(want.values())
+    c = canonical.trace_counters(df, "t", []).first()
+    assert (c["n_traces"], c["n_loads"], c["lazy_full_materializations"], c["sparse_by_id_calls"], c["lazy_ensure_calls"]) == (8, 12, 2, 3, 4)
 
 
 def test_schema_claims_and_markers(spark):
@@ -190,6 +290,8 @@ def test_grid_and_duplicates(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), (None, 1)], "x string, y int")
     assert rows(integrity.missing_cells(df, ["x", "y"])) == [("a", 2), ("b", 1)]
     assert integrity.duplicates(df, ["x", "y"]).count() == 1
+    with pytest.raises(ValueError, match="a grid of 4 cells"):
+        integrity.missing_cells(df, ["x", "y"], most=3)
 
 
 def test_text_functions(spark):

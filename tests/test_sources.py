@@ -85,3 +85,46 @@ def test_streams_give_what_batches_give(spark, sf, tmp_path):
     assert drain(windows.once(live, key="event_id", at="ts"), "once_", "append").count() == windows.once(batch, key="event_id", at="ts").count()
     # a session is handed on when the watermark has passed its end
     assert 0 < drain(windows.sessions(live, at="ts", by="user_id"), "sat", "append").count() <= windows.sessions(batch, at="ts", by="user_id").count()
+
+
+def test_documents_are_written_one_a_file(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2, ["y"]), ("a", None, [])], "k string, n int, xs array<string>")
+    files.write_documents(df, str(tmp_path / "out"), name="k")
+    assert (tmp_path / "out" / "b.json").read_bytes() == b'{\n  "k": "b",\n  "n": 2,\n  "xs": [\n    "y"\n  ]\n}\n'
+    assert sorted(r["k"] for r in files.read_documents(spark, str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_vectors_as_bytes(spark):
+    df = spark.createDataFrame([(1, [1.5, -2.0]), (2, None), (3, []), (4, [float("inf")])], "id int, v array<float>")
+    there = files.vectors_to_bytes(df, "v", "blob")
+    assert there.where("id = 1").first()["blob"] == bytes.fromhex("0000c03f000000c0")
+    assert sorted((r["id"], r["w"]) for r in files.vectors_from_bytes(there, "blob", "w").collect()) == [(1, [1.5, -2.0]), (2, None), (3, []), (4, [float("inf")])]
+    with pytest.raises(Exception, match="4-byte"):
+        files.vectors_from_bytes(spark.createDataFrame([(bytearray(b"abc"),)], "blob binary"), "blob", "w").collect()
+
+
+def test_tables_go_when_they_are_not_needed(spark):
+    import os
+
+    from tidemark import session
+
+    folder = lambda t: t.tm_path.removeprefix("file://")
+    kept = session.materialise(spark.range(3))
+    with session.scope():
+        inner = session.materialise(spark.range(4))
+        assert inner.count() == 4
+    assert not os.path.exists(folder(inner)) and kept.count() == 3
+    session.discard(kept, spark.range(1))
+    assert not os.path.exists(folder(kept))
+
+
+def test_a_failing_import_leaves_the_core(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    for m in [m for m in sys.modules if m.startswith("tidemark.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    with pytest.warns(UserWarning, match="no llm queries") if __import__("importlib.util").util.find_spec("tidemark.llm") else __import__("contextlib").nullcontext():
+        assert "certified_topk" in e.queries() and "p7_found" not in e.queries()

@@ -56,6 +56,25 @@ def finite(v: Column) -> Column:
     return F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+def utc_stamp(c: Column) -> Column:
+    """A time as 2026-01-31T08:05:09Z. The session's time zone has to be UTC, as
+    session() sets it."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def milliseconds(c: Column) -> Column:
+    return F.format_string("%.3f ms", c)
+
+
+def padded(c: Column, width: int = 3) -> Column:
+    """A whole number with zeros in front."""
+    return F.format_string(f"%0{width}d", c)
+
+
+def without_prefix(c: Column, prefix: str) -> Column:
+    return F.when(c.startswith(prefix), F.substring(c, F.lit(len(prefix) + 1), F.length(c))).otherwise(c)
+
+
 def percent(c: Column, digits: int = 4) -> Column:
     return F.format_string(f"%.{digits}f%%", 100 * c)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.functions.text import stem
+from tidemark.session import discard, materialise
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -19,19 +20,29 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, start: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """node, depth: what can be reached from the nodes of start (column node)
-    in at most depth steps, with the least depth. Each step joins only the newest
-    nodes, and what has been seen is cut off as a table, so the plan doesn't grow
-    with the depth and cycles end by themselves."""
-    e = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*(("dst", "src") if reverse else ("src", "dst"))).toDF("a", "b").distinct())
-    seen = materialise(start.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
-    new = seen
+    in at most depth steps, with the least depth; NULL nodes and ends count for
+    nothing. Each step joins only the newest nodes, which are all that is
+    written, so cycles end by themselves and the plan doesn't grow with the
+    depth. Edges are written, without repeats, only where many steps read
+    them."""
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(*(("dst", "src") if reverse else ("src", "dst"))).toDF("a", "b")
+    if depth > 3:
+        e = materialise(e.distinct())
+    steps = [start.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0))]
     for d in range(1, depth + 1):
-        step = e.join(new.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        new = materialise(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
-        if new.isEmpty():
+        step = e.join(steps[-1].select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        for before in steps:
+            step = step.join(before.select("node"), "node", "left_anti")
+        new = step.withColumn("depth", F.lit(d))
+        if depth > 1:
+            new = materialise(new)
+        steps.append(new)
+        if d < depth and new.isEmpty():
             break
-        seen = seen.unionByName(new)
-    return seen
+    out = steps[0]
+    for x in steps[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def closure(edges: DataFrame, depth: int) -> DataFrame:
@@ -57,24 +68,90 @@ def cycles(edges: DataFrame, depth: int) -> DataFrame:
 
 def all_cycles(edges: DataFrame) -> DataFrame:
     """node, length: all nodes that lie on a cycle of any length, with the
-    shortest. Edges whose ends can't both lie on a cycle are dropped first; then
-    the known lengths of paths are joined with themselves until none changes, so
-    rounds grow with the logarithm of the longest path. The work is that of all
-    pairs of the nodes that remain."""
-    e = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    for _ in range(3):  # saves work only
-        e = materialise(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    shortest. Only edges within a component (see components()) can lie on a
+    cycle; the known lengths of paths among these are joined with themselves
+    until none changes, so rounds grow with the logarithm of the longest path.
+    The work is that of all pairs of a component's nodes."""
+    part = components(edges)
+    ends = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"tm_{c}"))
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    e = materialise(e.join(ends("src"), "src").join(ends("dst"), "dst").where("tm_src = tm_dst").select("src", "dst"))
     size = lambda x: x.agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
     paths = e.withColumn("length", F.lit(1).cast("long"))
     now = size(paths)
     while True:
         further = paths.toDF("src", "m", "one").join(paths.toDF("m", "dst", "two"), "m").select("src", "dst", (F.col("one") + F.col("two")).alias("length"))
-        paths = materialise(paths.unionByName(further).groupBy("src", "dst").agg(F.min("length").alias("length")))
+        longer = materialise(paths.unionByName(further).groupBy("src", "dst").agg(F.min("length").alias("length")))
+        discard(paths)
+        paths = longer
         before, now = now, size(paths)
         if before == now:
             return paths.where("src = dst").select(F.col("src").alias("node"), F.col("length").cast("int").alias("length"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the strongly connected component of every node of a
+    graph, named by its greatest node; a node on no cycle is its own. Repeated
+    edges count once, those with a NULL end don't.
+
+    By colouring: nodes without edges in or out are components of their own and
+    go first, over and over; then each node takes the greatest label that
+    reaches it, and those that reach their label back through nodes of the same
+    label are its component. What is left goes into the next round. Each step
+    is a join and an aggregate over the edges left, so no node's neighbours are
+    ever brought together."""
+    e = materialise(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    left = materialise(nodes)
+    done = []
+    while not left.isEmpty():
+        while True:  # what lies on no cycle
+            inner = left.join(e.select(F.col("src").alias("node")), "node", "left_semi").join(e.select(F.col("dst").alias("node")), "node", "left_semi")
+            inner = materialise(inner)
+            trimmed = materialise(left.join(inner, "node", "left_anti"))
+            if trimmed.isEmpty():
+                discard(inner, trimmed)
+                break
+            done.append(trimmed.withColumn("component", F.col("node")))
+            kept = materialise(e.join(inner.select(F.col("node").alias("src")), "src", "left_semi").join(inner.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+            discard(left, e)
+            left, e = inner, kept
+        if left.isEmpty():
+            break
+        colour = materialise(left.withColumn("c", F.col("node")))
+        while True:  # the greatest label that reaches a node
+            got = e.join(colour.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("g"))
+            new = materialise(colour.join(got, "node", "left").select("node", F.greatest("c", "g").alias("c"), (F.coalesce("g", "c") > F.col("c")).alias("moved")))
+            discard(colour)
+            colour = new.select("node", "c")
+            colour.tm_path = new.tm_path
+            if new.where("moved").isEmpty():
+                break
+        within = e.join(colour.select(F.col("node").alias("src"), F.col("c").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst").where("c1 = c2").select("src", "dst")
+        within = materialise(within)
+        back = materialise(colour.where("node = c").select("node"))
+        found = [back.join(colour, "node").select("node", F.col("c").alias("component"))]
+        seen = back
+        while True:
+            more = within.join(back.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct().join(seen, "node", "left_anti")
+            back = materialise(more)
+            if back.isEmpty():
+                break
+            seen = materialise(seen.unionByName(back))
+            found.append(back.join(colour, "node").select("node", F.col("c").alias("component")))
+        done += found
+        rest = materialise(left.join(seen, "node", "left_anti"))
+        kept = materialise(e.join(rest.select(F.col("node").alias("src")), "src", "left_semi").join(rest.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        discard(left, e, within)
+        left, e = rest, kept
+    if not done:
+        return nodes.withColumn("component", F.col("node"))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def importance(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """node, rank: PageRank after so many rounds, from equal ranks; nodes
     without edges out give theirs to all."""
@@ -113,9 +190,7 @@ def reference_files(files: DataFrame, *, path: str, imports: str, wanted: list[s
     is one of them, without regard to case; the first limit in order, or all in
     none."""
     w = F.array(*[F.lit(x.lower()) for x in wanted]) if wanted else F.array().cast("array<string>")
-    from tidemark.functions.text import stem
-
     i = F.from_json(imports, "array<struct<specifier:string,names:array<string>>>")
     hit = F.exists(i, lambda x: F.coalesce(F.arrays_overlap(F.transform(x["names"], lambda n: F.lower(n)), w), F.lit(False)) | F.coalesce(F.array_contains(w, F.lower(stem(x["specifier"]))), F.lit(False)))
-    found = files.where(hit).select(F.col(path).alias("path"))
+    found = files.where(hit).where(F.col(path).isNotNull()).select(F.col(path).alias("path"))
     return found if limit is None else found.orderBy("path").limit(limit)

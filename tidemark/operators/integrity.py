@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 
 def expect_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """df if it has exactly these columns, else an error that names the missing
@@ -17,15 +20,24 @@ def expect_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def missing_cells(df: DataFrame, axes: list[str]) -> DataFrame:
-    """Combinations of the axes' values that have no row. The grid is the
-    product of the axes' distinct values, a matter of configuration, not of the
-    number of rows."""
+#: A grid of axes has at most so many cells.
+MAX_CELLS = 10_000_000
+
+
+def missing_cells(df: DataFrame, axes: list[str], most: int = MAX_CELLS) -> DataFrame:
+    """Combinations of the axes' values that have no row. The grid is a matter
+    of configuration, not of the number of rows: its size is worked out first,
+    and a grid of more than most cells is an error. So every axis is small
+    enough to be sent to all tasks. NULL is no value of an axis."""
+    seen = materialise(df.select(*axes).distinct())
+    sizes = seen.agg(*[F.count_distinct(a).alias(f"n{i}") for i, a in enumerate(axes)]).first()
+    if math.prod(sizes) > most:
+        raise ValueError(f"a grid of {math.prod(sizes)} cells; axes have to be few values each")
     grid = None
     for a in axes:
-        v = df.where(F.col(a).isNotNull()).select(a).distinct()
-        grid = v if grid is None else grid.crossJoin(v)
-    return grid.join(df.select(*axes).distinct(), axes, "left_anti")
+        v = seen.where(F.col(a).isNotNull()).select(a).distinct()
+        grid = v if grid is None else grid.join(F.broadcast(v))
+    return grid.join(seen, axes, "left_anti")
 
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
@@ -60,6 +72,27 @@ def marker_scan(df: DataFrame, markers: list[str], allowed: dict[str, str] | Non
     return one.select(out).where("hits > 0")
 
 
+def marker_audit(tables: dict[str, DataFrame], markers: list[str], allowed: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """table_name, column, marker, hits over several tables, each read once;
+    allowed: per table the conditions of marker_scan()."""
+    out = None
+    for name, df in tables.items():
+        one = marker_scan(df, markers, (allowed or {}).get(name)).select(F.lit(name).alias("table_name"), "column", "marker", "hits")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def table_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, n_rows, n_columns, n_null of several tables: rows, columns and
+    NULL cells, each table read once."""
+    out = None
+    for name, df in tables.items():
+        nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0).cast("long"))
+        one = df.agg(F.count("*").alias("n_rows"), nulls.alias("n_null")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), "n_null")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def redact(df: DataFrame, replace: dict[str, str], constants: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(redacted, changes): text replaced in all text columns, some columns set
     to a constant; changes has the number of rows changed by column."""

@@ -32,7 +32,7 @@ class Level:
     lone: bool = False
 
 
-def _let(v: Column, then) -> Column:
+def let(v: Column, then) -> Column:
     """then(v), with v worked out once however often then uses it."""
     return F.transform(F.array(v), then)[0]
 
@@ -49,7 +49,7 @@ def _decoded(v: Column) -> Column:
     return F.when(is_text(v), F.aggregate(rounds(v), inner(v), lambda x, _: F.when(is_text(x), inner(x)).otherwise(x)))
 
 
-def _struct(v: Column, fields: list[tuple[str, str]]) -> Column:
+def as_struct(v: Column, fields: list[tuple[str, str]]) -> Column:
     """The fields of an object as a struct, NULL where missing or of another
     type; NULL for what is no object, be it as text or not. One look at the
     object finds them all."""
@@ -58,10 +58,10 @@ def _struct(v: Column, fields: list[tuple[str, str]]) -> Column:
     return F.coalesce(get(v), get(_decoded(v)))
 
 
-def _list(v: Column) -> Column:
+def as_list(v: Column) -> Column:
     """array<variant> of a list, or of a lone object; NULL for anything else."""
     items = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.when(F.try_variant_get(x, "$", "struct<`_`:variant>").isNotNull(), F.array(x)))
-    return F.coalesce(items(v), _let(_decoded(v), items))
+    return F.coalesce(items(v), let(_decoded(v), items))
 
 
 def _objects(v: Column | None, parent: Column, levels: list[Level]) -> Column:
@@ -70,14 +70,14 @@ def _objects(v: Column | None, parent: Column, levels: list[Level]) -> Column:
     level, rest = levels[0], levels[1:]
     node = parent[level.path[0]]
     for step in level.path[1:]:
-        node = _struct(node, [(step, "variant")])[step]
-    items = _let(node, _list)
+        node = as_struct(node, [(step, "variant")])[step]
+    items = let(node, as_list)
     if level.lone and v is not None:
         items = F.coalesce(items, F.when(parent.isNotNull(), F.array(v)))
     wanted = [*level.fields, *([(rest[0].path[0], "variant")] if rest else [])]
 
     def one(x: Column) -> Column:
-        return _let(_struct(x, wanted), lambda s: F.struct(s.isNotNull().alias("is_object"), *[s[f].alias(f) for f, _ in level.fields], *([_objects(x, s, rest).alias("children")] if rest else [])))
+        return let(as_struct(x, wanted), lambda s: F.struct(s.isNotNull().alias("is_object"), *[s[f].alias(f) for f, _ in level.fields], *([_objects(x, s, rest).alias("children")] if rest else [])))
 
     return F.transform(items, one)
 
@@ -105,7 +105,7 @@ def layout(df: DataFrame, *, key: str, text: str, levels: list[Level]) -> DataFr
     blank or not valid JSON gives no children; so does valid JSON that isn't an
     object. Nothing is shuffled, so a frequent key weighs nothing."""
     v = parse_json(F.col(text).cast("string"))
-    return df.select(F.col(key).cast("long").alias("key"), _let(v, lambda x: _let(_struct(x, [(levels[0].path[0], "variant")]), lambda s: _objects(x, s, levels))).alias("children"))
+    return df.select(F.col(key).cast("long").alias("key"), let(v, lambda x: let(as_struct(x, [(levels[0].path[0], "variant")]), lambda s: _objects(x, s, levels))).alias("children"))
 
 
 def flatten(nested: DataFrame, levels: list[Level], depth: int) -> DataFrame:

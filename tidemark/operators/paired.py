@@ -56,14 +56,18 @@ def summary(p: DataFrame, by: list[str], saved_at_least: float = 10.0, percent_a
 
 def report(p: DataFrame, levels: list[list[str]]) -> DataFrame:
     """The summary at several levels, as one table; a column that a level isn't
-    grouped by is NULL there."""
+    grouped by is NULL there. Pairs are expanded to the levels once, so all
+    levels share one aggregate and one sort. A level without columns has a row
+    even for no pair at all."""
     names = list(dict.fromkeys(c for level in levels for c in level))
-    out = None
-    for level in levels:
-        s = summary(p, level)
-        s = s.select(*[F.col(c) if c in level else F.lit(None).cast(p.schema[c].dataType).alias(c) for c in names], *[c for c in s.columns if c not in level])
-        out = s if out is None else out.unionByName(s)
-    return out
+    sets = F.array(*[F.struct(F.lit(i).alias("tm_level"), *[(F.col(c) if c in level else F.lit(None).cast(p.schema[c].dataType)).alias(c) for c in names]) for i, level in enumerate(levels)])
+    wide = p.select("base", "cand", F.explode(sets).alias("tm_x")).select("base", "cand", "tm_x.*")
+    s = summary(wide, ["tm_level", *names])
+    whole = [i for i, level in enumerate(levels) if not level]
+    if whole:
+        have = p.sparkSession.createDataFrame([(i,) for i in whole], "tm_level int").join(s.select("tm_level").distinct(), "tm_level", "left_anti")
+        s = s.unionByName(have.select("tm_level", *[F.lit(0).cast("long").alias(c) for c in ("n_pairs", "meaningful_wins", "negligible", "slower")], F.lit(0.0).alias("median_ratio")), allowMissingColumns=True)
+    return s.drop("tm_level")
 
 
 def separation(df: DataFrame, *, keys: list[str], mode: str, value: str, baseline: str, candidate: str) -> DataFrame:

@@ -15,13 +15,13 @@ def exact_quantiles(df: DataFrame, *, keys: list[str], value: str, quantiles: di
     interpolation. NULL values are left out, and a group without others is not
     in the result; NaN is above all others. NULL keys are groups. Without keys
     there is one row, or none for an empty table."""
-    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
-    counted = df.where(F.col(value).isNotNull()).select(key.alias("g"), F.col(value).cast("double").alias("v")).groupBy("g", "v").agg(F.count("*").alias("n"))
+    k = [f"tm_k{i}" for i in range(len(keys))]
+    counted = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(value).cast("double").alias("v")).groupBy(*k, "v").agg(F.count("*").alias("n"))
     # the ranges are fixed by writing them: two samplings could cut them differently
-    ranges = counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id())
-    curve = materialise(ranges.withColumn("upto", F.sum("n").over(Window.partitionBy("part", "g").orderBy("v"))))
-    totals = curve.groupBy("g", "part").agg(F.sum("n").alias("m"))
-    before, whole = Window.partitionBy("g").orderBy("part"), Window.partitionBy("g")
+    ranges = counted.repartitionByRange(*k, "v").withColumn("part", F.spark_partition_id())
+    curve = materialise(ranges.withColumn("upto", F.sum("n").over(Window.partitionBy("part", *k).orderBy("v"))))
+    totals = curve.groupBy(*k, "part").agg(F.sum("n").alias("m"))
+    before, whole = Window.partitionBy(*k).orderBy("part"), Window.partitionBy(*k)
     totals = totals.withColumns({"base": F.sum("m").over(before) - F.col("m"), "size": F.sum("m").over(whole)}).drop("m")
     at = {name: F.floor((F.col("size") - 1) * F.lit(float(q))) for name, q in quantiles.items()}
     begin, end = F.col("base") + F.col("upto") - F.col("n"), F.col("base") + F.col("upto")
@@ -29,14 +29,14 @@ def exact_quantiles(df: DataFrame, *, keys: list[str], value: str, quantiles: di
     wanted = F.lit(False)
     for a in at.values():
         wanted = wanted | inside(a) | inside(a + 1)
-    picked = curve.join(totals, ["g", "part"]).where(wanted)
-    found = picked.groupBy("g", "size").agg(*[F.max(F.when(inside(a + k), F.col("v"))).alias(f"{name}_{k}") for name, a in at.items() for k in (0, 1)])
+    # as many rows as ranges and groups
+    on = [F.col("part") == F.col("tm_part"), *[F.col(c).eqNullSafe(F.col(f"{c}r")) for c in k]]
+    picked = curve.join(totals.select(*[F.col(c).alias(f"{c}r") for c in k], F.col("part").alias("tm_part"), "base", "size"), on).where(wanted)
+    found = picked.groupBy(*k, "size").agg(*[F.max(F.when(inside(a + j), F.col("v"))).alias(f"{name}_{j}") for name, a in at.items() for j in (0, 1)])
+
     def value_of(name: str, q: float):
         share = (F.col("size") - 1) * F.lit(float(q)) - at[name]
         lo, hi = F.col(f"{name}_0"), F.col(f"{name}_1")
         return F.when(share == 0, lo).otherwise(lo + (hi - lo) * share).alias(name)
-    out = found.select("g", *[value_of(name, q) for name, q in quantiles.items()])
-    if not keys:
-        return out.drop("g")
-    named = df.select(*keys, key.alias("g")).distinct()
-    return named.join(out, "g").drop("g")
+
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keys, k)], *[value_of(name, q) for name, q in quantiles.items()])

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import graph
+from tidemark.session import materialise
+
 
 def nonempty(c: Column) -> Column:
     return c.isNotNull() & (c != "")
@@ -23,8 +26,9 @@ def in_list(df: DataFrame, column: str, values: list) -> DataFrame:
     return df.join(known, column, "left_semi")
 
 
-def casefold(df: DataFrame, column: str, value: str) -> DataFrame:
-    return df.where(F.lower(column) == value.lower())
+def same_text(column: str, value: str) -> Column:
+    """Equal without regard to case."""
+    return F.lower(column) == value.lower()
 
 
 def like_prefix(prefix: str) -> str:
@@ -64,8 +68,6 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     range-sorted parts are counted, and each row gets its part's offset. The
     counts are one row per part."""
     part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("tm_part", F.spark_partition_id()).withColumn("tm_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    from tidemark.session import materialise
-
     part = materialise(part)
     sizes = part.groupBy("tm_part").agg(F.count("*").alias("tm_n"))
     offset = sizes.withColumn("tm_o", F.sum("tm_n").over(Window.orderBy("tm_part")) - F.col("tm_n")).select("tm_part", "tm_o")
@@ -87,17 +89,34 @@ def wraparound(df: DataFrame, order: list[str], starts: list[int], size: int = 3
     return numbered(df, order).join(F.broadcast(w), "position")
 
 
-def overlay(base: DataFrame, delta: DataFrame, *, key: str, action: str) -> DataFrame:
+def overlay(base: DataFrame, delta: DataFrame, *, key: str, action: str, order: str | None = None) -> DataFrame:
     """base without the keys that delta touches, plus delta's added and modified
-    rows. A NULL key in delta touches nothing."""
+    rows. A NULL key in delta touches nothing. order: a column of delta; then a
+    column tm_at is added by which base's rows come first and delta's follow in
+    that order."""
     kept = base.join(delta.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
-    return kept.unionByName(delta.where(F.col(action).isin("add", "modify")).select(*base.columns))
+    new = delta.where(F.col(action).isin("add", "modify"))
+    if order is None:
+        return kept.unionByName(new.select(*base.columns))
+    return kept.withColumn("tm_at", F.lit(None).cast(delta.schema[order].dataType)).unionByName(new.select(*base.columns, F.col(order).alias("tm_at")))
 
 
-def upsert(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+def upsert(first: DataFrame, second: DataFrame, key: str, position: str | None = None) -> DataFrame:
     """All rows by key; a key in both has the row of second. Keys must be unique
-    in either."""
-    return first.join(second.select(key), key, "left_anti").unionByName(second)
+    in either; NULL is a key. position: a column that gives each row its place;
+    a key in both keeps its place in first, and keys of second alone come after
+    all of first, by their own."""
+    same = F.col("l.tm_key").eqNullSafe(F.col("r.tm_key"))
+    if position is None:
+        a, b = first.withColumn("tm_key", F.col(key)), second.select(F.col(key).alias("tm_key"))
+        return a.alias("l").join(b.alias("r"), same, "left_anti").select(*first.columns).unionByName(second)
+    rest = [c for c in first.columns if c not in (key, position)]
+    a = first.select(F.col(key).alias("tm_key"), F.col(position).alias("tm_a"), F.struct(*rest).alias("tm_one"))
+    b = second.select(F.col(key).alias("tm_key"), F.col(position).alias("tm_b"), F.struct(*rest).alias("tm_two"), F.lit(True).alias("tm_new"))
+    both = a.alias("l").join(b.alias("r"), same, "full_outer")
+    row = F.when(F.col("tm_new"), F.col("tm_two")).otherwise(F.col("tm_one"))
+    place = [F.col("tm_a").isNull().alias("tm_late"), F.coalesce("tm_a", "tm_b").alias(position)]
+    return both.select(F.coalesce("l.tm_key", "r.tm_key").alias(key), *place, row.alias("tm_row")).select(key, "tm_late", position, *[F.col("tm_row")[c].alias(c) for c in rest])
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -105,25 +124,49 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-#: What each read profile loads of files and symbols.
+#: The read profiles and what each loads of files and symbols.
 PROFILES = {
-    "target_symbols": ("none", "ids"), "target_files": ("targets", "none"), "target_file_symbols": ("targets", "in_files"), "all_files": ("all", "none"),
-    "all_files_target_symbols": ("all", "ids"), "all_files_target_file_symbols": ("all", "in_files"), "all_files_definitions": ("all", "names"),
-    "metadata": ("none", "none"), "prefix_files": ("prefix", "none"), "reference_call_chain": ("all", "referencing"), "blast_enrichment": ("all", "reaching"),
+    "target_symbols": ("of_symbols", "ids"), "target_files": ("of_symbols", "none"), "target_file_symbols": ("of_symbols", "in_paths"), "all_files": ("all", "none"),
+    "all_files_target_symbols": ("all", "ids"), "all_files_target_file_symbols": ("all", "in_paths"), "all_files_definitions": ("all", "names"),
+    "metadata": ("none", "none"), "prefix_files": ("prefix", "in_files"), "reference_call_chain": ("all", "referencing"), "blast_enrichment": ("all", "reaching"),
 }
 
 
-def load_profile(files: DataFrame, symbols: DataFrame, profile: str, *, ids: list | None = None, paths: list | None = None, names: list | None = None, prefix: str = "", edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, symbols) as a read profile needs them; files has path, symbols has
-    id, name and file. edges (src, dst) say which file imports which. Filters
-    are pushed into both scans by Spark."""
+def load_profile(files: DataFrame, symbols: DataFrame, profile: str, *, ids: list | None = None, paths: list | None = None, identifiers: list | None = None, prefix: str = "", depth: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(files, symbols) as a read profile needs them. files has path and imports
+    (JSON, see graph.import_edges), symbols has id, name and file.
+
+    Symbols: those with the ids, in the files of paths, with a name among
+    identifiers in any case, in the files found by prefix, in the first limit
+    files that import one of identifiers (reference_call_chain), or those with
+    the ids and, after them, all in files that import the file of the first of
+    these by id, over up to depth imports (blast_enrichment). Files: none, all,
+    by prefix, or those of paths and of the symbols loaded. Empty lists match
+    nothing, and a NULL path or file is never loaded by one. Filters on values
+    are pushed into both scans by Spark; keys that were found go in as joins."""
     f_how, s_how = PROFILES[profile]
-    f = {"none": lambda: files.where(F.lit(False)), "all": lambda: files, "targets": lambda: in_list(files, "path", paths or []), "prefix": lambda: prefix_scan(files, "path", prefix)}[f_how]()
-    if s_how in ("referencing", "reaching"):
-        if edges is None:
-            raise ValueError("this profile needs edges")
-        near = edges.where(F.col("dst").isin(*paths) if paths else F.lit(False)).select("src")
-        s = two_phase(symbols, "file", near, "src")
+    none, no_symbols = files.where(F.lit(False)), symbols.where(F.lit(False))
+    picked = prefix_scan(files, "path", prefix) if f_how == "prefix" else files
+    if s_how == "none":
+        s = no_symbols
+    elif s_how == "ids":
+        s = in_list(symbols, "id", ids or [])
+    elif s_how == "in_paths":
+        s = in_list(symbols, "file", paths or [])
+    elif s_how == "names":
+        s = symbols.where(F.lower("name").isin(*[n.lower() for n in identifiers])) if identifiers else no_symbols
+    elif s_how == "in_files":
+        s = two_phase(symbols, "file", picked, "path")
+    elif s_how == "referencing":
+        s = two_phase(symbols, "file", graph.reference_files(files, path="path", imports="imports", wanted=identifiers or [], limit=limit), "path")
+    else:
+        own = in_list(symbols, "id", ids or [])
+        focal = own.groupBy().agg(F.min_by("file", "id").alias("node"))
+        near = graph.reach(graph.import_edges(files, path="path", imports="imports"), focal, depth, reverse=True).where("depth > 0")
+        s = own.unionByName(two_phase(symbols, "file", near, "node").join(own.select("id"), "id", "left_anti").select(*symbols.columns))
+    if f_how == "of_symbols":
+        wanted = in_list(files, "path", paths or [])
+        f = wanted.unionByName(two_phase(files, "path", s.where("file != ''"), "file").join(wanted.select("path"), "path", "left_anti").select(*files.columns)) if s_how != "none" else wanted
     else:
-        s = {"none": lambda: symbols.where(F.lit(False)), "ids": lambda: in_list(symbols, "id", ids or []), "in_files": lambda: in_list(symbols, "file", paths or []), "names": lambda: symbols.where(F.lower("name").isin(*[n.lower() for n in names]) if names else F.lit(False))}[s_how]()
+        f = {"none": none, "all": files, "prefix": picked}[f_how]
     return f, s

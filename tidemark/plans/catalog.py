@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import index_queries, measurements, reference
+from tidemark.plans import index_queries, measurements, profiles, reference, tools
 
 
 def queries() -> dict:
-    return reference.QUERIES | index_queries.QUERIES | measurements.QUERIES
+    return reference.QUERIES | index_queries.QUERIES | profiles.QUERIES | tools.QUERIES | measurements.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.SQL | index_queries.SQL | measurements.SQL
+    return reference.SQL | index_queries.SQL | profiles.SQL | tools.SQL | measurements.SQL

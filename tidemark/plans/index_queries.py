@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import index_tools as tools
-from tidemark.operators import reads, topk
+from tidemark.operators import reads
 from tidemark.plans.measurements import CALLS
 from tidemark.session import table
 
@@ -68,45 +68,11 @@ def tool_suggest_corrections(spark, d):
     return tools.corrections(table(spark, d, "symbols"), "name", "Snapshott.colect_000")
 
 
-@query("""WITH s AS (SELECT *, split_part(name, '.', 1) AS owner FROM symbols) SELECT id, owner FROM s WHERE NOT starts_with(file, 'tests/') AND owner NOT IN (SELECT owner FROM s WHERE starts_with(file, 'tests/'))""")
-def tool_untested_symbols(spark, d):
-    return tools.untested(table(spark, d, "symbols").select("id", "name", "file"), "file", tools.owner(F.col("name"))).select("id", "owner")
-
-
 @query("""SELECT file, count(*) AS n, coalesce(sum(byte_length), 0)::BIGINT AS bytes, round(count(*) * ln(1 + coalesce(sum(byte_length), 0)), 6) AS score FROM symbols GROUP BY file ORDER BY score DESC, file LIMIT 15""")
 def tool_hotspots(spark, d):
     return tools.hot_spots(table(spark, d, "symbols"), "file", "byte_length")
 
 
-@query("SELECT id FROM symbols WHERE (summary IS NULL OR trim(summary) = '') AND id NOT IN (SELECT symbol_id FROM symbol_embeddings WHERE embedding IS NOT NULL)")
-def tool_dead_code(spark, d):
-    """Symbols that nothing describes: no summary, no vector."""
-    known = table(spark, d, "symbol_embeddings").where("embedding IS NOT NULL").select(F.col("symbol_id").alias("id"))
-    return table(spark, d, "symbols").where("summary IS NULL OR trim(summary) = ''").select("id").join(known, "id", "left_anti")
-
-
-@query("SELECT split_part(name, '.', 1) AS owner, count(*) AS n_members, count(DISTINCT file) AS n_files, sum((byte_length IS NULL)::INT)::BIGINT AS n_unsized FROM symbols GROUP BY 1")
-def tool_class_hierarchy(spark, d):
-    return table(spark, d, "symbols").groupBy(tools.owner(F.col("name")).alias("owner")).agg(F.count("*").alias("n_members"), F.count_distinct("file").alias("n_files"), F.count_if(F.col("byte_length").isNull()).alias("n_unsized"))
-
-
-@query("""SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q
-  WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id AND list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.35""")
-def tool_similar_symbols(spark, d):
-    e = table(spark, d, "embeddings")
-    s = topk.pair_scores(e, e.where("vec_id % 100 = 0"), id_col="vec_id", vector="embedding")
-    return s.where("query != id AND exact >= 0.35").select("query", "id", F.round("exact", 6).alias("score"))
-
-
-@query("""SELECT 'baseline' AS word, bool_or(contains(lower(text), 'baseline')) AS used, count(*) FILTER (contains(lower(text), 'baseline')) AS n FROM documents
-  UNION ALL SELECT 'zzz_never', bool_or(contains(lower(text), 'zzz_never')), count(*) FILTER (contains(lower(text), 'zzz_never')) FROM documents""")
-def tool_check_references(spark, d):
-    words = ["baseline", "zzz_never"]
-    t = F.lower("text")
-    one = table(spark, d, "documents").agg(*[F.count_if(F.contains(t, F.lit(w))).alias(f"n{i}") for i, w in enumerate(words)])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(w).alias("word"), (F.col(f"n{i}") > 0).alias("used"), F.col(f"n{i}").alias("n")) for i, w in enumerate(words)])))
-
-
 @query("""WITH new AS (SELECT id, CASE WHEN ord % 10 = 0 THEN coalesce(byte_length, 0) + 1 ELSE byte_length END AS byte_length FROM symbols WHERE ord % 10 <> 1), old AS (SELECT id, byte_length FROM symbols)
   SELECT id, CASE WHEN n.id IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM (SELECT id, byte_length FROM old EXCEPT ALL SELECT id, byte_length FROM new) o LEFT JOIN new n USING (id)""")
 def tool_changed_symbols(spark, d):

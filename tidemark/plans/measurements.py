@@ -132,7 +132,39 @@ stats AS (
     coalesce(min(s), min(v)::VARCHAR) AS min_value, coalesce(max(s), max(v)::VARCHAR) AS max_value, median(v) AS mid
   FROM long GROUP BY ALL)"""
 
+def _decoded(x: str, times: int) -> str:
+    """JSON in SQL, decoded while it is a string that holds JSON."""
+    for _ in range(times):
+        x = f"(CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN ({x} ->> '$')::JSON END ELSE {x} END)"
+    return x
+
+
+def _list(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN {x}::JSON[] WHEN 'OBJECT' THEN [{x}] END"
+
+
+def _below(parent: str, name: str, node: str, keys: list[str], own: str, lone: bool = False) -> str:
+    """Steps in SQL from the objects of parent (keys, o) to those below node:
+    decoded, listed, numbered, and objects kept."""
+    k = ", ".join(keys)
+    items = f"coalesce({_list('n')}, CASE WHEN n IS NULL OR json_type(n) NOT IN ('ARRAY', 'OBJECT') THEN [o] END)" if lone else _list("n")
+    return f"""{name}_n AS (SELECT {k}, o, {node} AS n0 FROM {parent}), {name}_d AS (SELECT {k}, o, {_decoded("n0", 2)} AS n FROM {name}_n), {name}_l AS (SELECT {k}, {items} AS l FROM {name}_d),
+  {name}_u AS (SELECT {k}, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS {own} FROM {name}_l), {name} AS (SELECT * EXCLUDE (x, o0), o0 AS o FROM (SELECT {k}, {own}, {_decoded("x", 2)} AS o0 FROM {name}_u) WHERE json_type(o0) = 'OBJECT')"""
+
+
+_TREE = f"""raw AS (SELECT DISTINCT probe_id, parity_debug_json::JSON AS r FROM {PROBES} WHERE json_valid(parity_debug_json)), rec AS (SELECT probe_id, o FROM (SELECT probe_id, {_decoded("r", 3)} AS o FROM raw) WHERE json_type(o) = 'OBJECT'),
+  {_below("rec", "attempt", "o -> 'attempts'", ["probe_id"], "attempt_no", lone=True)},
+  {_below("attempt", "trace", "o -> 'hydration_trace'", ["probe_id", "attempt_no"], "t_no")},
+  {_below("trace", "load", "o -> 'load_results'", ["probe_id", "attempt_no"], "load_no")},
+  {_below("load", "access", "o -> 'accesses'", ["probe_id", "attempt_no", "load_no"], "access_no")}"""
+
+
 SQL = {
+    "p4_attempts": f"WITH {_TREE} SELECT probe_id, attempt_no, try_cast(o ->> 'attempt' AS INT) AS attempt, try_cast(o ->> 'skipped' AS BOOLEAN) AS skipped FROM attempt",
+    "p4_loads": f"""WITH {_TREE} SELECT probe_id, attempt_no, load_no, o ->> 'repo' AS repo, o ->> 'branch' AS branch, o ->> 'requested_hydration' AS requested_hydration, o ->> 'symbol_collection_type' AS symbol_collection_type,
+      try_cast(o ->> 'lazy_loaded_at_return' AS BOOLEAN) AS lazy_loaded_at_return FROM load""",
+    "p4_accesses": f"WITH {_TREE} SELECT probe_id, attempt_no, load_no, access_no, o ->> 'kind' AS kind, try_cast(o ->> 'ms' AS DOUBLE) AS ms, o ->> 'symbol_id' AS symbol_id FROM access",
+    "p4_found": f"WITH {_TREE} SELECT probe_id, attempt_no, load_no, -1 AS access_no FROM load UNION ALL SELECT probe_id, attempt_no, load_no, access_no FROM access",
     "p2_profile": f"WITH {_LONG} SELECT load_id, column_name, n_rows, n_null, n_wrong, n_distinct, min_value, max_value FROM stats",
     "p2_quantiles": f"""WITH {_LONG}, three AS (
         SELECT load_id, column_name, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM long WHERE v IS NOT NULL GROUP BY ALL)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import canonical, graph, integrity, ordered, paired, reads, topk
+from tidemark.operators import canonical, graph, integrity, lexical, ordered, paired, reads, topk
 from tidemark.plans.measurements import CALLS, PROBES
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.session import materialise, scratch, table
@@ -60,37 +60,86 @@ def exact_topk(spark, d):
     return _top(spark, d, "exact_tiebreak_baseline")[0].withColumn("score", r("score", 9))
 
 
-@query()
+#: The bounds in SQL: a float estimate and its error.
+_BOUNDS = """b AS (SELECT query, id, s AS exact, est, CASE WHEN est = 0 THEN 0 ELSE g * (5 + abs(est)) + 32 * 2.0 ** -23 END AS err FROM (
+  SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s, list_cosine_similarity(e.embedding, q.embedding)::DOUBLE AS est,
+    (2 * len(e.embedding) + 16) * 2.0 ** -24 / (1 - (2 * len(e.embedding) + 16) * 2.0 ** -24) AS g FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)),
+  k AS (SELECT query, min(low) AS kth FROM (SELECT query, est - err AS low, row_number() OVER (PARTITION BY query ORDER BY est - err DESC) AS rn FROM b) WHERE rn <= 10 GROUP BY query),
+  u AS (SELECT b.*, est + err >= kth OR (est - err <= 0 AND est + err > 0) AS unsure FROM b JOIN k USING (query))"""
+
+
+@query(f"""WITH {_BOUNDS}, c AS (SELECT query, count(*) AS n, count(*) FILTER (unsure) AS uncertain FROM u GROUP BY query)
+  SELECT query, n, uncertain, CASE WHEN uncertain > greatest(10, ceil(n * 0.25)) THEN 'exact' ELSE 'certified' END AS lane, CASE WHEN uncertain > greatest(10, ceil(n * 0.25)) THEN 'certification_fraction_limit' ELSE '' END AS fallback_reason FROM c""")
 def certified_counts(spark, d):
     """How many rows the bounds leave open, and the lane taken."""
-    return _top(spark, d)[1]
+    return _top(spark, d)[1].drop("rescored")
+
 
+@query(f"""WITH {_BOUNDS}, c AS (SELECT query, count(*) AS n, count(*) FILTER (unsure) AS uncertain FROM u GROUP BY query)
+  SELECT query, n, uncertain, CASE WHEN uncertain > greatest(10, ceil(n * 0.02)) THEN 'exact' ELSE 'certified' END AS lane,
+    CASE WHEN uncertain > greatest(10, ceil(n * 0.02)) THEN 'certification_fraction_limit' ELSE '' END AS fallback_reason, uncertain <= greatest(10, ceil(n * 0.02)) OR true AS top_is_exact FROM c""")
+def fraction_limited(spark, d):
+    """A limit that many queries pass; their rows are all scored exactly, and
+    each query's ten best are those of the exact lane."""
+    top, counts = _top(spark, d, max_fraction=0.02)
+    exact = exact_topk(spark, d)
+    off = top.withColumn("score", r("score", 9)).join(exact, ["query", "rank", "id", "score"], "full_outer").groupBy("query").agg(F.count("*").alias("tm_n"))
+    ok = counts.join(off, "query", "left").where("lane = 'certified' OR rescored = n")
+    return ok.select("query", "n", "uncertain", "lane", "fallback_reason", (F.coalesce("tm_n", F.lit(10)) == 10).alias("top_is_exact"))
 
-@query("SELECT vec_id AS query, (SELECT count(*) FROM embeddings) AS n, (SELECT count(*) FROM embeddings) AS rescored, 'exact' AS lane, 'forced_exact_fallback_mode' AS fallback_reason FROM embeddings WHERE vec_id % 100 = 0")
+
+@query(f"""WITH {_SCORES}, t AS ({_TOP[_TOP.index("SELECT query, row"):]}) SELECT query, count(*) AS n_top, round(max(score), 9) AS best, round(min(score), 9) AS last, (SELECT count(*) FROM embeddings) AS rescored, 'exact' AS lane,
+  'forced_exact_fallback_mode' AS fallback_reason FROM t GROUP BY query""")
 def forced_fallback(spark, d):
-    return _top(spark, d, "bounded_exact_fallback")[1].select("query", "n", "rescored", "lane", "fallback_reason")
+    """All rows scored exactly because it is told to: the work done, counted by
+    the tasks, and what it found."""
+    top, counts = _top(spark, d, "bounded_exact_fallback")
+    t = top.groupBy("query").agg(F.count("*").alias("n_top"), r(F.max("score"), 9).alias("best"), r(F.min("score"), 9).alias("last"))
+    return t.join(counts, "query").select("query", "n_top", "best", "last", "rescored", "lane", "fallback_reason")
 
 
-@query("SELECT vec_id AS query, 0::BIGINT AS violations FROM embeddings WHERE vec_id % 100 = 0")
+@query(f"WITH {_BOUNDS} SELECT query, count(*) FILTER (exact < est - err OR exact > est + err) AS violations, count(*) FILTER (err > 0) AS n_bounded, count(*) FILTER (est + err > 0) AS n_maybe_positive FROM b GROUP BY query")
 def interval_violations(spark, d):
-    """Bounds that don't hold the exact score: none."""
+    """Bounds that don't hold the exact score (none), and how many there are."""
     e = table(spark, d, "embeddings")
     s = topk.pair_scores(e, _asked(e), id_col="vec_id", vector="embedding")
-    return s.groupBy("query").agg(F.count_if(~F.col("exact").between(F.col("lower"), F.col("upper"))).alias("violations"))
+    return s.groupBy("query").agg(F.count_if(~F.col("exact").between(F.col("lower"), F.col("upper"))).alias("violations"), F.count_if(F.col("upper") > F.col("lower")).alias("n_bounded"), F.count_if(F.col("upper") > 0).alias("n_maybe_positive"))
 
 
-@query()
+#: Every tenth vector twice, so that there are exact ties.
+_TWICE = "SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, embedding FROM embeddings WHERE vec_id % 10 = 0"
+
+
+def _twice(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return e, e.unionByName(e.where("vec_id % 10 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000_000))
+
+
+@query(f"""WITH {_BOUNDS.replace("FROM embeddings e,", f"FROM ({_TWICE}) e,")}, t AS (SELECT *, count(*) OVER (PARTITION BY query, exact) > 1 AS tie,
+    CASE WHEN exact > 0 THEN row_number() OVER (PARTITION BY query, exact > 0 ORDER BY exact DESC, id) END AS r1, CASE WHEN est > 0 THEN row_number() OVER (PARTITION BY query, est > 0 ORDER BY est DESC, id) END AS r2 FROM u),
+  f AS (SELECT *, unsure AND NOT tie AS cert, exact < est - err OR exact > est + err AS broken, CASE WHEN r1 <= 10 THEN r1 END IS DISTINCT FROM CASE WHEN r2 <= 10 THEN r2 END AS differs FROM t)
+  SELECT query, count(*) AS total, count(*) FILTER (tie) AS ties, count(*) FILTER (unsure) AS uncertain, count(*) FILTER (cert) AS certified, count(*) FILTER (cert AND differs) AS genuine,
+    count(*) FILTER (cert AND NOT differs AND NOT broken) AS near, count(*) FILTER (broken AND NOT (cert AND differs)) AS other FROM f GROUP BY query""")
 def certification_buckets(spark, d):
-    e = table(spark, d, "embeddings")
-    return topk.certification(topk.pair_scores(e, _asked(e), id_col="vec_id", vector="embedding"), k=10)
+    e, twice = _twice(spark, d)
+    # floats of equal vectors may differ by where they stand in a batch, so raw ranks do
+    return topk.certification(topk.pair_scores(twice, _asked(e), id_col="vec_id", vector="embedding"), k=10).drop("raw_disagreement")
 
 
-@query(f"WITH {_SCORES} SELECT query, id FROM (SELECT *, count(*) OVER (PARTITION BY query, round(s, 3)) AS n FROM scores) WHERE n > 1")
+@query(f"WITH {_SCORES.replace('FROM embeddings e,', f'FROM ({_TWICE}) e,')} SELECT query, id FROM (SELECT *, count(*) OVER (PARTITION BY query, s) AS n FROM scores) WHERE n > 1")
 def exact_ties(spark, d):
-    """Rows whose score, to three digits, another row has too."""
+    """Rows whose exact score another row of the query has too."""
+    e, twice = _twice(spark, d)
+    s = materialise(topk.pair_scores(twice, _asked(e), id_col="vec_id", vector="embedding").select("query", "id", "exact"))
+    return s.join(topk.tied(s), ["query", "exact"], "left_semi").select("query", "id")
+
+
+@query(f"""WITH {_SCORES}, c AS (SELECT query, id, round(s, 2) AS score FROM scores) SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, -id) AS rank, id, score FROM c WHERE score > 0 QUALIFY rank <= 10""")
+def insertion_order_topk(spark, d):
+    """A control: coarse scores, ties in the order of arrival, here backwards."""
     e = table(spark, d, "embeddings")
-    s = topk.pair_scores(e, _asked(e), id_col="vec_id", vector="embedding").withColumn("s", r("exact", 3))
-    return s.withColumn("n", F.count("*").over(Window.partitionBy("query", "s"))).where("n > 1").select("query", "id")
+    s = topk.pair_scores(e, _asked(e), id_col="vec_id", vector="embedding").select("query", "id", r("exact", 2).alias("score"), (-F.col("id")).alias("came"))
+    return topk.insertion_order_top(s, by=["query"], score="score", order="came", k=10).select("query", "rank", "id", "score")
 
 
 @query(f"""WITH {_SCORES}, a AS ({_TOP[_TOP.index("SELECT query, row"):]}),
@@ -106,34 +155,45 @@ def rank_disagreement(spark, d):
     return both.where(~F.col("exact_rank").eqNullSafe(F.col("coarse_rank")))
 
 
-@query(f"""WITH {_SCORES}, m AS (SELECT *, (id % 7) / 6.0 AS lex FROM scores), f AS (SELECT query, id, 0.5 * lex + 0.5 * s AS score FROM m)
-  SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, id, round(score, 9) AS score FROM f WHERE score > 0 QUALIFY rank <= 25""")
-def score_fusion(spark, d):
-    """Half a lexical score, half the cosine, with certified top 25."""
-    e = table(spark, d, "embeddings").withColumn("lex", 0.5 * F.pmod("vec_id", F.lit(7)) / 6.0)
-    t, _ = topk.topk(e, _asked(e), id_col="vec_id", vector="embedding", k=25, weight=0.5, lexical="lex")
-    return t.withColumn("score", r("score", 9))
+_WORDS = ["snapshot", "cache", "lock"]
 
 
-_BM25_WORDS = ["cache", "lock", "symbol"]
+def _bm25_sql(source: str, words: list[str]) -> str:
+    return f"""w AS (SELECT key, regexp_extract_all(lower(coalesce(txt, '')), '[a-z0-9]+') AS t FROM ({source})),
+  s AS (SELECT count(*) AS n, avg(len(t)) AS l FROM w), q AS (SELECT unnest({words}) AS term),
+  tf AS (SELECT key, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS f FROM w, q),
+  df AS (SELECT term, count(*) FILTER (f > 0) AS df FROM tf GROUP BY term),
+  bm AS (SELECT key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / l))) AS score FROM tf JOIN df USING (term), s WHERE f > 0 GROUP BY key)"""
 
 
-@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents),
-  s AS (SELECT count(*) AS n, avg(len(t)) AS l FROM w), q AS (SELECT unnest({_BM25_WORDS}) AS term),
-  tf AS (SELECT doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS f FROM w, q),
-  df AS (SELECT term, count(*) FILTER (f > 0) AS df FROM tf GROUP BY term)
-  SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / l))), 6) AS score
-  FROM tf JOIN df USING (term), s WHERE f > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 25""")
+@query(f"WITH {_bm25_sql('SELECT doc_id AS key, text AS txt FROM documents', _WORDS)} SELECT key AS doc_id, round(score, 6) AS score FROM bm ORDER BY score DESC, doc_id LIMIT 25")
 def bm25_top(spark, d):
-    """BM25 (k1 1.2, b 0.75) of three words over all documents; the best 25."""
-    t = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    w = table(spark, d, "documents").select("doc_id", t.alias("t"))
-    count = lambda q: F.size(F.filter("t", lambda x: x == F.lit(q))).alias(q)
-    w = w.select("doc_id", F.size("t").alias("dl"), *[count(q) for q in _BM25_WORDS])
-    s = w.agg(F.count("*").alias("n"), F.avg("dl").alias("l"), *[F.count_if(F.col(q) > 0).alias(f"df_{q}") for q in _BM25_WORDS])
-    x = w.where(" OR ".join(f"{q} > 0" for q in _BM25_WORDS)).crossJoin(F.broadcast(s))
-    part = lambda q: F.ln(1 + (F.col("n") - F.col(f"df_{q}") + 0.5) / (F.col(f"df_{q}") + 0.5)) * F.col(q) * 2.2 / (F.col(q) + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("l")))
-    return x.select("doc_id", r(sum((part(q) for q in _BM25_WORDS), F.lit(0.0))).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(25)
+    """BM25 of three words over all documents; the best 25."""
+    s = lexical.bm25(table(spark, d, "documents"), key="doc_id", text="text", words=_WORDS)
+    return s.withColumn("score", r("score")).orderBy(F.col("score").desc(), "doc_id").limit(25)
+
+
+#: Symbols with a usable vector.
+_USABLE = "len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+
+@query(f"""WITH v AS (SELECT s.ord, s.name, s.name || ' ' || coalesce(s.summary, '') AS txt, e.embedding FROM symbols s JOIN (SELECT symbol_id, embedding FROM symbol_embeddings WHERE {_USABLE}) e ON e.symbol_id = s.id),
+  {_bm25_sql("SELECT ord AS key, txt FROM v", _WORDS)},
+  l AS (SELECT v.*, coalesce(bm.score, 0) AS lex, CASE WHEN lower(name) = 'snapshot' THEN 3 WHEN starts_with(lower(name), 'snapshot') THEN 2 WHEN contains(lower(name), 'snapshot') THEN 1 ELSE 0 END AS ident FROM v LEFT JOIN bm ON bm.key = v.ord),
+  m AS (SELECT max(lex) AS a, max(ident) AS b FROM l), x AS (SELECT *, 0.5 * greatest(CASE WHEN a > 0 THEN lex / a ELSE 0 END, CASE WHEN b > 0 THEN ident / b ELSE 0 END) AS base FROM l, m),
+  f AS (SELECT q.ord AS query, x.ord AS id, x.base + 0.5 * list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM x, v q WHERE q.ord % 100 = 0)
+  SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, id, round(score, 9) AS score FROM f WHERE score > 0 QUALIFY rank <= 25""")
+def score_fusion(spark, d):
+    """Half the greater of BM25 and identity, each over its maximum, half the
+    cosine with a symbol's vector: certified top 25."""
+    v = F.col("embedding")
+    e = table(spark, d, "symbol_embeddings").where(v.isNotNull() & (F.size(v) == 96) & F.coalesce(F.forall(v, lambda x: x.isNotNull()), F.lit(False))).where(T.finite(v) & F.exists(v, lambda x: x != 0))
+    s = table(spark, d, "symbols").select("ord", "id", "name", F.concat_ws(" ", "name", F.coalesce("summary", F.lit(""))).alias("txt")).join(e.withColumnRenamed("symbol_id", "id"), "id")
+    words = lexical.bm25(s, key="ord", text="txt", words=_WORDS).withColumnRenamed("score", "lex")
+    both = s.join(words, "ord", "left").withColumn("ident", lexical.identity(F.col("name"), "snapshot"))
+    base = lexical.lexical_base(both, ["lex", "ident"], 0.5).select("ord", "embedding", "base")
+    t, _ = topk.topk(base, base.where("ord % 100 = 0"), id_col="ord", vector="embedding", k=25, weight=0.5, lexical="base")
+    return t.withColumn("score", r("score", 9))
 
 
 # --- paired measurements ---------------------------------------------------
@@ -225,11 +285,23 @@ def percentile_bands(spark, d):
     return g.join(q, "mode").withColumns({"p50": r("p50"), "p95": r("p95")})
 
 
-@query(f"""WITH {_P}, g AS (SELECT tool, median(base / cand) AS speedup, count(*) FILTER (cand > base) / count(*) AS breadth FROM p GROUP BY tool)
-  SELECT tool, CASE WHEN breadth > 0.25 THEN 'fail' WHEN breadth > 0.10 THEN 'design_answer_required' WHEN speedup < 1.2 THEN 'design_answer_required' ELSE 'pass' END AS verdict FROM g""")
+_PARITY = f"""par AS (SELECT tool, count(*) FILTER (h > 1) / count(*) AS broken FROM (SELECT tool, repo_name, "case", count(DISTINCT canonical_response_hash) AS h FROM {CALLS}
+  WHERE regexp_full_match(canonical_response_hash, '[0-9a-f]{{64}}') GROUP BY ALL) GROUP BY tool)"""
+
+
+@query(f"""WITH {_P}, {_PARITY}, g AS (SELECT tool, median(base / cand) AS speedup, count(*) FILTER (cand > base) / count(*) AS breadth, count(*) FILTER (cand > base * 1.5 AND cand - base >= 10) / count(*) AS genuine FROM p GROUP BY tool)
+  SELECT tool, CASE WHEN broken > 0.05 THEN 'fail' WHEN genuine > 0.005 THEN 'fail' WHEN breadth > 0.25 THEN 'fail' WHEN breadth > 0.10 THEN 'design_answer_required' WHEN speedup < 1.2 THEN 'design_answer_required' ELSE 'pass' END AS verdict,
+    broken <= 0.05 AS parity_ok, round(genuine, 6) AS genuine, round(breadth, 6) AS breadth FROM g JOIN par USING (tool)""")
 def gate_verdict(spark, d):
-    g = paired.summary(materialise(_pairs(spark, d)), ["tool"])
-    return g.select("tool", paired.verdict(F.lit(True), F.col("slower") / F.col("n_pairs"), F.lit(0.0), F.col("median_ratio"), speed=1.2).alias("verdict"))
+    """Parity: at most a twentieth of a tool's cases with more than one well
+    formed hash. Genuine: slower by half and by ten milliseconds."""
+    p = materialise(_pairs(spark, d))
+    slow = (F.col("cand") > F.col("base") * 1.5) & (F.col("cand") - F.col("base") >= 10)
+    g = paired.summary(p, ["tool"]).join(p.groupBy("tool").agg((F.count_if(slow) / F.count("*")).alias("genuine")), "tool")
+    h = table(spark, d, CALLS).where(F.col("canonical_response_hash").rlike("^[0-9a-f]{64}$")).groupBy("tool", "repo_name", "case").agg(F.count_distinct("canonical_response_hash").alias("h"))
+    par = h.groupBy("tool").agg((F.count_if(F.col("h") > 1) / F.count("*")).alias("broken"))
+    breadth, ok = F.col("slower") / F.col("n_pairs"), F.col("broken") <= 0.05
+    return g.join(par, "tool").select("tool", paired.verdict(ok, breadth, F.col("genuine"), F.col("median_ratio"), speed=1.2).alias("verdict"), ok.alias("parity_ok"), r("genuine").alias("genuine"), r(breadth).alias("breadth"))
 
 
 @query(f"""SELECT repo_name, "case", repetition, count(*) AS n, count(DISTINCT canonical_response_hash) + max((canonical_response_hash IS NULL)::INT) AS n_hashes,
@@ -283,7 +355,7 @@ def empty_in_list(spark, d):
 @query("SELECT id, name, file FROM symbols WHERE lower(name) LIKE 'snapshot.%' AND lower(file) = lower('SRC/tools/FETCH_10.py') OR lower(name) = 'session.rebuild_001'")
 def casefold_lookup(spark, d):
     s = table(spark, d, "symbols").select("id", "name", "file")
-    return reads.casefold(s, "file", "SRC/tools/FETCH_10.py").where(F.lower("name").startswith("snapshot.")).union(reads.casefold(s, "name", "Session.Rebuild_001").where(~(F.lower("file") == "src/tools/fetch_10.py"))).distinct()
+    return s.where((F.lower("name").startswith("snapshot.") & reads.same_text("file", "SRC/tools/FETCH_10.py")) | reads.same_text("name", "Session.Rebuild_001"))
 
 
 @query("SELECT id, name, file FROM symbols WHERE file ILIKE 'src/s%'")
@@ -291,10 +363,10 @@ def prefix_scan(spark, d):
     return reads.prefix_scan(table(spark, d, "symbols").select("id", "name", "file"), "file", "SRC/s")
 
 
-@query("SELECT ord, id, name, file FROM symbols WHERE id <> '' AND name <> '' AND file <> '' ORDER BY ord LIMIT 50")
+@query("SELECT ord, id, name, file FROM symbols WHERE id <> '' AND name <> '' AND file <> '' ORDER BY ord")
 def ordered_projection(spark, d):
     s = table(spark, d, "symbols")
-    return s.where(reads.nonempty(F.col("id")) & reads.nonempty(F.col("name")) & reads.nonempty(F.col("file"))).select("ord", "id", "name", "file").orderBy("ord").limit(50)
+    return s.where(reads.nonempty(F.col("id")) & reads.nonempty(F.col("name")) & reads.nonempty(F.col("file"))).select("ord", "id", "name", "file").orderBy("ord")
 
 
 @query("SELECT id, file FROM symbols WHERE file IN (SELECT file FROM symbols WHERE summary LIKE '%snapshot%')")
@@ -373,14 +445,6 @@ def kv_map(spark, d):
     return m.select(F.array_join(F.transform(F.map_entries("pairs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("pairs"))
 
 
-@query("SELECT s.id FROM symbols s WHERE s.file IN (SELECT min(file) FROM symbols UNION SELECT max(file) FROM symbols)")
-def load_profile(spark, d):
-    s = table(spark, d, "symbols").select("id", "name", "file")
-    f = s.select(F.col("file").alias("path")).distinct()
-    ends = s.agg(F.min("file").alias("a"), F.max("file").alias("b")).first()
-    return reads.load_profile(f, s, "target_file_symbols", paths=[ends["a"], ends["b"]])[1].select("id")
-
-
 # --- graph -----------------------------------------------------------------
 
 def _edges(spark, d):
@@ -394,13 +458,12 @@ def degree_metrics(spark, d):
 
 
 _NATIONS = """g AS (SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE l.l_quantity >= 50 AND l.l_discount >= 0.1)"""
+  JOIN supplier s ON s.s_suppkey = l.l_suppkey)"""
 
 
 def _nations(spark, d):
-    """Which nation's customers bought, in bulk and at a discount, from which
-    nation's suppliers."""
-    l = table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1").select("l_orderkey", "l_suppkey")
+    """Which nation's customers bought from which nation's suppliers."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     o = l.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     c = o.join(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
     return c.join(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("s_suppkey") == F.col("l_suppkey")).select("src", "dst").distinct()
@@ -450,6 +513,14 @@ def supply_cycles(spark, d):
     return graph.all_cycles(_deliveries(spark, d))
 
 
+@query()
+def supply_components(spark, d):
+    """Strongly connected components of all deliveries: from every supplier to
+    every part it delivered, and back from a part to its last supplier."""
+    last = _deliveries(spark, d).where(F.startswith("src", F.lit("p")))
+    return graph.components(_edges(spark, d).unionByName(last))
+
+
 @query()
 def supply_graph(spark, d):
     """What is reached in at most three steps along last deliveries, from every
@@ -470,10 +541,23 @@ def supply_violations(spark, d):
     return graph.violations(edges, layers, order).select("src", "dst", "src_layer", "dst_layer")
 
 
-@query()
+_DELIVERED = "SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem"
+
+
+def _pagerank_sql(edges: str, rounds: int) -> str:
+    """PageRank in SQL, one step after the other."""
+    steps = [f"e AS ({edges}), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM v), o AS (SELECT src AS node, count(*) AS deg FROM e GROUP BY src), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM v, n)"]
+    for i in range(rounds):
+        steps.append(f"""g{i} AS (SELECT e.dst AS node, sum(r.rank / o.deg) AS got FROM e JOIN r{i} r ON r.node = e.src JOIN o ON o.node = e.src GROUP BY e.dst),
+          l{i} AS (SELECT coalesce(sum(r.rank), 0) AS lost FROM r{i} r ANTI JOIN o USING (node)),
+          r{i + 1} AS (SELECT v.node, 0.15 / n + 0.85 * (coalesce(g.got, 0) + lost / n) AS rank FROM v LEFT JOIN g{i} g USING (node), n, l{i})""")
+    return ", ".join(steps)
+
+
+@query(f"WITH {_pagerank_sql(_DELIVERED, 6)} SELECT node, round(rank, 12) AS rank FROM r6")
 def symbol_importance(spark, d):
     """PageRank over suppliers and parts."""
-    return graph.importance(_edges(spark, d), rounds=6)
+    return graph.importance(_edges(spark, d), rounds=6).withColumn("rank", r("rank", 12))
 
 
 @query("""SELECT DISTINCT file AS path FROM symbols WHERE list_has_any(list_transform([split_part(name, '.', 1)], lambda x: lower(x)), ['snapshot', 'walk_10']) OR
@@ -494,17 +578,40 @@ def json_extract_group(spark, d):
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k"), "event_type").agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
 
 
-@query()
+def _decoded_sql(x: str, times: int = 3) -> str:
+    """JSON in SQL, decoded while it is a string that holds JSON."""
+    for _ in range(times):
+        x = f"(CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN ({x} ->> '$')::JSON END ELSE {x} END)"
+    return x
+
+
+_TRACES = f"""raw AS (SELECT DISTINCT probe_id, repo_name, parity_debug_json::JSON AS r FROM {PROBES} WHERE json_valid(parity_debug_json)), r1 AS (SELECT probe_id, repo_name, {_decoded_sql("r")} AS r FROM raw),
+  r2 AS (SELECT probe_id, repo_name, r -> 'hydration_trace' AS t FROM r1), r3 AS (SELECT probe_id, repo_name, {_decoded_sql("t", 2)} AS t FROM r2), r4 AS (SELECT *, t -> 'load_results' AS l FROM r3 WHERE json_type(t) = 'OBJECT'),
+  r5 AS (SELECT * EXCLUDE (l), {_decoded_sql("l", 2)} AS l FROM r4), r6 AS (SELECT * EXCLUDE (l), CASE json_type(l) WHEN 'ARRAY' THEN l::JSON[] WHEN 'OBJECT' THEN [l] ELSE []::JSON[] END AS l FROM r5),
+  r7 AS (SELECT * EXCLUDE (l), list_filter(list_transform(l, lambda x: {_decoded_sql("x", 1)}), lambda x: json_type(x) = 'OBJECT') AS l FROM r6),
+  tr AS (SELECT probe_id, repo_name, list_contains(list_transform(l, lambda x: x ->> 'requested_hydration'), 'full') AS is_full, len(l) AS n_loads,
+    {", ".join(f"coalesce(try_cast(t ->> '{c}' AS INT), 0) AS {c}" for c in canonical.TRACE_COUNTERS)} FROM r7)"""
+
+
+@query(f"""WITH {_TRACES}, x AS (SELECT coalesce(is_full, false) AS f, lazy_full_materializations > 0 AS l, sparse_by_id_calls + sparse_by_file_calls + sparse_by_name_calls + sparse_by_files_calls > 0 AS s FROM tr)
+  SELECT CASE WHEN f AND s THEN 'explicit_full_plus_sparse' WHEN f THEN 'explicit_full' WHEN l AND s THEN 'lazy_full_plus_sparse' WHEN l THEN 'lazy_full' WHEN s THEN 'sparse_only' ELSE 'metadata_or_file_state_only' END AS label, count(*) AS n FROM x GROUP BY label""")
 def trace_classify(spark, d):
     """Label of each probe's hydration trace, and how often."""
-    p = table(spark, d, PROBES)
-    return p.dropDuplicates(["probe_id"]).groupBy(canonical.traces(p, "parity_debug_json").alias("label")).agg(F.count("*").alias("n"))
+    p = table(spark, d, PROBES).select("probe_id", "parity_debug_json").distinct()
+    return p.select(canonical.traces("parity_debug_json").alias("label")).where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TRACES} SELECT repo_name, count(*) AS n_traces, sum(n_loads)::BIGINT AS n_loads, {', '.join(f'sum({c})::BIGINT AS {c}' for c in canonical.TRACE_COUNTERS)} FROM tr GROUP BY repo_name")
+def trace_totals(spark, d):
+    """Counters of the hydration traces, added up by repository."""
+    p = table(spark, d, PROBES).select("probe_id", "repo_name", "parity_debug_json").distinct()
+    return canonical.trace_counters(p, "parity_debug_json", ["repo_name"])
 
 
 @query()
 def canonical_hash(spark, d):
     """Hash of each probe's record without its volatile parts."""
-    p = table(spark, d, PROBES).select("probe_id", "parity_debug_json").dropDuplicates(["probe_id"])
+    p = table(spark, d, PROBES).select("probe_id", "parity_debug_json").distinct()
     c = canonical.canonical_json(F.col("parity_debug_json"), drop=("process_cpu_ms", "peak_rss_bytes"), drop_prefix=("cost_avoided",))
     return p.select("probe_id", canonical.digest(c).alias("digest"))
 
@@ -514,11 +621,29 @@ def row_identity(spark, d):
     return table(spark, d, "events").select("event_id", T.row_identity(F.col("user_id"), F.col("event_type"), F.col("event_id")).alias("row_id"))
 
 
-@query()
+_SIZED = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+@query(f"""WITH h AS (SELECT row_number() OVER (ORDER BY c_custkey, c_name, c_nationkey, c_mktsegment) - 1 AS i, sha256({" || ".join(map(_SIZED, ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))}) AS h FROM customer),
+  a AS (SELECT i // 1024 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM h GROUP BY 1)
+  SELECT (SELECT count(*) FROM customer) AS n, CASE WHEN count(*) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS digest FROM a""")
 def table_digest(spark, d):
     return canonical.table_digest(table(spark, d, "customer"), "c_custkey", ["c_name", "c_nationkey", "c_mktsegment"])
 
 
+@query(f"""WITH p AS (SELECT DISTINCT probe_id, symbol_count FROM {PROBES}) SELECT probe_id, probe_id % 3 = 0 AND symbol_count IS NOT NULL AS full_parity, probe_id % 3 < 2 AND symbol_count IS NOT NULL AS core_parity,
+  CASE WHEN probe_id % 3 = 1 AND symbol_count IS NOT NULL THEN '_meta.verdict.channels.index' ELSE '' END AS difference FROM p""")
+def core_parity(spark, d):
+    """Answers of two modes that differ in nothing, in the index channel only, or
+    in what they hold. The answers are made up from the probes' columns."""
+    p = table(spark, d, PROBES).select("probe_id", "symbol_count").distinct()
+    kind = F.pmod("probe_id", F.lit(3))
+    answer = lambda channel, extra: F.concat(F.lit('{"rows": ['), F.col("symbol_count").cast("string"), extra, F.lit('], "_meta": {"verdict": {"channels": {"text": "ok", "index": "'), channel, F.lit('"}}}}'))
+    a = p.select("probe_id", F.lit("baseline").alias("mode"), answer(F.lit("fresh"), F.lit("")).alias("detail"))
+    b = p.select("probe_id", F.lit("candidate").alias("mode"), answer(F.when(kind == 0, "fresh").otherwise("rebuilding"), F.when(kind == 2, ", 1").otherwise("")).alias("detail"))
+    return canonical.core_parity(a.unionByName(b), keys=["probe_id"], mode="mode", text="detail", baseline="baseline", candidate="candidate", path=("_meta", "verdict", "channels", "index"))
+
+
 @query(f"""WITH s AS (SELECT repo_name, list_sort(list(DISTINCT left(jcodemunch_source_sha, 8)) FILTER (jcodemunch_source_sha <> '')) AS shas FROM {CALLS} GROUP BY repo_name), c AS (SELECT left(max(jcodemunch_source_sha), 8) AS now FROM {CALLS})
   SELECT repo_name, CASE WHEN coalesce(len(shas), 0) = 0 THEN 'empty' WHEN list_contains(shas, now) AND len(shas) = 1 THEN 'current_only' WHEN list_contains(shas, now) THEN 'mixed' ELSE 'older_only' END AS class, array_to_string(shas, ',') AS shas FROM s, c""")
 def provenance_class(spark, d):
@@ -579,11 +704,12 @@ def array_functions(spark, d):
 # --- integrity -------------------------------------------------------------
 
 
-@query("""WITH g AS (SELECT * FROM (SELECT DISTINCT event_type FROM events), (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT ts::DATE AS day FROM events))
-  SELECT event_type, user_id, day::VARCHAR AS day FROM g ANTI JOIN (SELECT DISTINCT event_type, user_id, ts::DATE AS day FROM events) e USING (event_type, user_id, day)""")
+@query("""WITH x AS (SELECT event_type, ts::DATE::VARCHAR AS day, hour(ts)::INT AS hour FROM events), g AS (SELECT * FROM (SELECT DISTINCT event_type FROM x), (SELECT DISTINCT day FROM x), (SELECT DISTINCT hour FROM x))
+  SELECT event_type, day, hour FROM g ANTI JOIN (SELECT DISTINCT event_type, day, hour FROM x) USING (event_type, day, hour)""")
 def matrix_completeness(spark, d):
-    e = table(spark, d, "events").select("event_type", "user_id", F.to_date("ts").cast("string").alias("day"))
-    return integrity.missing_cells(e, ["event_type", "user_id", "day"])
+    """Kinds of events that no event of an hour of a day has."""
+    e = table(spark, d, "events").select("event_type", F.to_date("ts").cast("string").alias("day"), F.hour("ts").alias("hour"))
+    return integrity.missing_cells(e, ["event_type", "day", "hour"])
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -606,22 +732,58 @@ def claim_reconcile(spark, d):
     return integrity.reconcile(c.select("key", F.col("n").cast("string").alias("value")), integrity.claims_in(c.select(stated.alias("t")), "t"))
 
 
-@query("""SELECT 'text' AS column, m AS marker, count(*) FILTER (contains(text, m)) AS hits FROM documents, (SELECT unnest(['baseline', 'lock file']) AS m) GROUP BY m HAVING count(*) FILTER (contains(text, m)) > 0
-  UNION ALL SELECT 'source', 'baseline', count(*) FROM documents WHERE contains(source, 'baseline') HAVING count(*) > 0""")
+_MARKERS = ["baseline", "lock file", "src/", "local/"]
+_TEXTS = {"documents": ["text", "lang", "source", "repo_name"], "symbols": ["id", "name", "file", "summary"], "eval_items": ["suite", "passage", "answer"], "review_labels": ["rater", "category"], "mix_targets": ["source"], "customer": ["c_name", "c_mktsegment"]}
+
+
+def _marker_sql(tables: dict, allow: str = "true") -> str:
+    parts = [f"SELECT '{t}' AS table_name, '{c}' AS \"column\", m AS marker, count(*) FILTER (contains({c}, m) AND {allow if (t, c) == ('documents', 'text') else 'true'}) AS hits FROM {t}, (SELECT unnest({_MARKERS}) AS m) GROUP BY m" for t, cs in tables.items() for c in cs]
+    return " UNION ALL ".join(parts)
+
+
+@query(f"SELECT \"column\", marker, hits FROM ({_marker_sql({'documents': _TEXTS['documents']})}) WHERE hits > 0")
 def marker_scan(spark, d):
-    return integrity.marker_scan(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), ["baseline", "lock file"])
+    return integrity.marker_scan(table(spark, d, "documents"), _MARKERS)
+
+
+@query(f"SELECT * FROM ({_marker_sql(_TEXTS, 'coalesce(lang <> ' + chr(39) + 'en' + chr(39) + ', true)')}) WHERE hits > 0")
+def marker_audit(spark, d):
+    """Markers in all text columns of several tables; English texts may have
+    them."""
+    return integrity.marker_audit({t: table(spark, d, t) for t in _TEXTS}, _MARKERS, {"documents": {"text": "lang = 'en'"}})
+
 
+_AUDITED = ["customer", "documents", "eval_items", "events", "lineitem", "mix_targets", "nation", "orders", "part", "region", "review_labels", "supplier", "symbols"]
 
-@query("""SELECT 'text' AS column, count(*) FILTER (contains(text, 'src/')) AS n_changed FROM documents UNION ALL SELECT 'lang', 0 FROM documents WHERE doc_id = 1
-  UNION ALL SELECT 'repo_name', count(repo_name) FROM documents""")
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}')::INT AS n_columns, {n} AS n_null FROM {t}" for t, n in [
+    (t, {"documents": "5 * count(*) - count(text) - count(lang) - count(source) - count(n_chars) - count(repo_name) + count(*) - count(collected_at)", "symbols": "2 * count(*) - count(summary) - count(byte_length)", "review_labels": "count(*) - count(category)"}.get(t, "0")) for t in _AUDITED]))
+def table_audit(spark, d):
+    """Rows, columns and NULL cells of all core tables."""
+    return integrity.table_audit({t: table(spark, d, t) for t in _AUDITED})
+
+
+@query("""SELECT 'text' AS column, count(*) FILTER (contains(text, 'src/')) AS n_changed FROM documents UNION ALL SELECT 'lang', count(*) FILTER (contains(lang, 'src/')) FROM documents
+  UNION ALL SELECT 'source', count(*) FILTER (contains(source, 'src/')) FROM documents UNION ALL SELECT 'repo_name', count(repo_name) FROM documents""")
 def redact_count(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "repo_name")
-    return integrity.redact(docs, {"src/": "<path>/"}, {"repo_name": "<repo>"})[1]
+    return integrity.redact(table(spark, d, "documents"), {"src/": "<path>/"}, {"repo_name": "<repo>"})[1]
+
 
+@query("SELECT doc_id, md5(replace(text, 'src/', '<path>/')) AS text, lang, source, n_chars, CASE WHEN repo_name IS NOT NULL THEN '<repo>' END AS repo_name FROM documents")
+def redacted(spark, d):
+    """The redacted table itself, its texts by their hash."""
+    docs = integrity.redact(table(spark, d, "documents").drop("collected_at"), {"src/": "<path>/"}, {"repo_name": "<repo>"})[0]
+    return docs.withColumn("text", F.md5("text"))
 
-@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9:/.])(/(home|Users|root|tmp)/|[A-Za-z]:\\)')")
+
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'see /home/me/' WHEN 1 THEN 'C:\work\' WHEN 2 THEN 'https://x.org/home/' WHEN 3 THEN 'a/tmp/' ELSE '' END || coalesce(text, '') AS text FROM documents)
+  SELECT doc_id FROM t WHERE regexp_matches(text, '(^|[^A-Za-z0-9:/.])(/(home|Users|root|tmp)/|[A-Za-z]:\\)')""")
 def absolute_paths(spark, d):
-    return integrity.absolute_paths(table(spark, d, "documents"), "text").select("doc_id")
+    """Texts with absolute paths; some are put in front, with what only looks
+    like one."""
+    heads = F.array(*map(F.lit, ("see /home/me/", "C:\\work\\", "https://x.org/home/", "a/tmp/", "")))
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.element_at(heads, (F.pmod("doc_id", F.lit(5)) + 1).cast("int")), F.coalesce("text", F.lit(""))).alias("text"))
+    return integrity.absolute_paths(t, "text").select("doc_id")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (embedding IS NULL) AS n_null, min(len(embedding))::INT AS min_length, max(len(embedding))::INT AS max_length, count(*) FILTER (len(embedding) <> 96) AS n_wrong FROM symbol_embeddings")
@@ -629,10 +791,14 @@ def vector_audit(spark, d):
     return integrity.audit_vectors(table(spark, d, "symbol_embeddings"), "embedding", 96)
 
 
-@query("""SELECT 'region' AS table_name, unnest(['r_regionkey', 'r_name']) AS column_name, unnest(['int', 'string']) AS data_type
-  UNION ALL SELECT 'nation', unnest(['n_nationkey', 'n_name', 'n_regionkey']), unnest(['int', 'string', 'int'])""")
+#: The names of types on either side.
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "TIMESTAMP WITH TIME ZONE": "timestamp", "FLOAT[]": "array<float>"}
+
+
+@query(f"SELECT table_name, column_name, CASE data_type {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in _TYPES.items())} ELSE data_type END AS data_type FROM information_schema.columns WHERE table_schema = 'main'")
 def catalog_scan(spark, d):
-    return files.catalog(spark, d, ["region", "nation"])
+    """All tables of the folder and their columns."""
+    return files.catalog(spark, d)
 
 
 @query(f"SELECT measurement_id, load_id, source_dirty_paths, parity_debug_json, wall_ms FROM {CALLS}")
@@ -665,12 +831,11 @@ def pinned_version(spark, d):
     return mine.select("c_custkey", "c_acctbal", F.lit(first).alias("pinned"), F.lit(files.latest(spark, root)).alias("newest"))
 
 
-@query(f"""SELECT 'calls' AS family, repo_name, mode, wall_ms AS ms, canonical_response_hash, NULL::VARCHAR AS symbol_hash FROM {CALLS}
-  UNION ALL SELECT 'probes', repo_name, mode, elapsed_ms, NULL, symbol_hash FROM {PROBES}""")
+@query(f"SELECT * EXCLUDE (recorded_at, ingested_at), strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ') AS at FROM (SELECT 'calls' AS family, * FROM {CALLS} UNION ALL BY NAME SELECT 'probes' AS family, * FROM {PROBES})")
 def schema_union(spark, d):
-    a = table(spark, d, CALLS).select(F.lit("calls").alias("family"), "repo_name", "mode", F.col("wall_ms").alias("ms"), "canonical_response_hash")
-    b = table(spark, d, PROBES).select(F.lit("probes").alias("family"), "repo_name", "mode", F.col("elapsed_ms").alias("ms"), "symbol_hash")
-    return a.unionByName(b, allowMissingColumns=True)
+    """Both measurement families with all columns of either."""
+    a, b = (table(spark, d, t).withColumn("family", F.lit(n)) for t, n in ((CALLS, "calls"), (PROBES, "probes")))
+    return a.unionByName(b, allowMissingColumns=True).withColumn("at", T.utc_stamp(F.date_trunc("second", "recorded_at"))).drop("recorded_at", "ingested_at")
 
 
 @query("SELECT user_id, ts, event_id, event_type FROM events ORDER BY user_id, ts, event_id")

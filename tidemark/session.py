@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -54,24 +55,55 @@ def scratch(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage,
-    survives lost executors, and is read by column. The table goes when the
-    session ends, or by release()."""
+    survives lost executors, and is read by column. The table goes with
+    discard(), at the end of a scope(), or with the session."""
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tm_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended already
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialise() that nothing reads any more, as the last
+    round's in a loop. Other frames are left alone."""
+    for t in tables:
+        path = getattr(t, "tm_path", None)
+        for k, (spark, known) in enumerate(_written):
+            if known == path:
+                _remove(spark, path)
+                del _written[k]
+                break
+
+
+@contextlib.contextmanager
+def scope():
+    """Tables written within go when the block ends, so results have to be
+    consumed in it: with scope(): query(spark, d).write..."""
+    before = len(_written)
+    kept = _written[:before]
+    try:
+        yield
+    finally:
+        for entry in [x for x in _written if x not in kept]:
+            _written.remove(entry)
+            _remove(*entry)
 
 
 def release() -> None:
-    """Remove the tables that materialise() wrote."""
+    """Remove all tables that materialise() wrote."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended already
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        _remove(*_written.pop())
 
 
 atexit.register(release)

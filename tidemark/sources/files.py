@@ -9,6 +9,8 @@ import os
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,52 @@ def write_json(summary: dict, path: str) -> None:
     os.replace(tmp, path)
 
 
+def write_documents(df: DataFrame, folder: str, *, name: str) -> None:
+    """One JSON document per row, with sorted keys over many lines, as files of
+    the folder named by a column (each value once). Tasks write them beside
+    their final place and move them, so a task that runs twice leaves one."""
+    out = folder.removeprefix("file:").replace("//", "/", 1) if folder.startswith("file:") else folder
+
+    def write(rows):
+        os.makedirs(out, exist_ok=True)
+        for r in rows:
+            write_json(r.asDict(recursive=True), os.path.join(out, f"{r[name]}.json"))
+
+    df.foreachPartition(write)
+
+
+def vectors_to_bytes(df: DataFrame, vector: str, blob: str) -> DataFrame:
+    """df with its vectors as little-endian 4-byte floats; NULL elements are
+    NaN, a NULL vector is NULL."""
+    kept = [c for c in df.columns if c != vector]
+
+    def run(batches):
+        for b in batches:
+            v = b.column(b.schema.names.index(vector))
+            cells = [None if x is None else np.array([np.nan if y is None else y for y in x], "<f4").tobytes() for x in v.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], pa.array(cells, pa.binary())], [*kept, blob])
+
+    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], T.StructField(blob, T.BinaryType())]))
+
+
+def vectors_from_bytes(df: DataFrame, blob: str, vector: str) -> DataFrame:
+    """The way back, for a whole batch of equally or unequally long blobs at
+    once; a blob whose length is no multiple of four is an error."""
+    kept = [c for c in df.columns if c != blob]
+
+    def run(batches):
+        for b in batches:
+            v = b.column(b.schema.names.index(blob))
+            sizes = np.array([len(x) if x is not None else 0 for x in v.to_pylist()], np.int64)
+            if (sizes % 4).any():
+                raise ValueError("a blob that isn't made of 4-byte floats")
+            flat = np.frombuffer(b"".join(x for x in v.to_pylist() if x is not None), "<f4")
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes // 4)].astype(np.int32)), pa.array(flat), mask=v.is_null())
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in kept], lists], [*kept, vector])
+
+    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], T.StructField(vector, T.ArrayType(T.FloatType()))]))
+
+
 def publish(df: DataFrame, root: str) -> int:
     """Write the next version of a table; versions never change. A reader that
     has pinned one isn't touched."""
@@ -79,9 +127,17 @@ def pinned(spark: SparkSession, root: str, version: int | None = None) -> DataFr
     return spark.read.parquet(f"{root}/v={version or latest(spark, root)}")
 
 
-def catalog(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """table_name, column_name, data_type of parquet tables in a folder."""
-    rows = [(n, f.name, f.dataType.simpleString()) for n in names for f in spark.read.parquet(f"{folder}/{n}.parquet").schema.fields]
+def list_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the parquet tables of a folder, in order."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
+def catalog(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
+    """table_name, column_name, data_type of the parquet tables of a folder, or
+    of those named; only their footers are read."""
+    rows = [(n, f.name, f.dataType.simpleString()) for n in (list_tables(spark, folder) if names is None else names) for f in spark.read.parquet(f"{folder}/{n}.parquet").schema.fields]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
 
 
@@ -117,3 +173,26 @@ def install_pack(archive: str, expected: dict[str, str], target: str) -> None:
     with zipfile.ZipFile(archive) as z:
         z.extractall(tmp)
     os.replace(tmp, target)
+
+
+def pack_roundtrip(members: DataFrame, folder: str) -> DataFrame:
+    """member, hash, whole: writes (member, content) as files, packs them, checks
+    and installs the archive, and sees that a changed and an incomplete copy are
+    refused. Archives are single files made in one place: meant for a release
+    of few members, which are collected."""
+    base = Path(folder.removeprefix("file://"))
+    (base / "in").mkdir(parents=True)
+    for r in members.collect():
+        if not valid_member(r["member"]):
+            raise ValueError(f"unsafe member {r['member']}")
+        (base / "in" / r["member"]).write_text(r["content"], encoding="utf-8", newline="\n")
+    hashes = pack(str(base / "in"), str(base / "a.zip"))
+    install_pack(str(base / "a.zip"), hashes, str(base / "out"))
+    refused = 0
+    for wrong in ({k: "0" * 64 for k in hashes}, dict(list(hashes.items())[1:]), hashes | {"../x": "0" * 64}):
+        try:
+            verify_pack(str(base / "a.zip"), wrong)
+        except ValueError:
+            refused += 1
+    rows = [(k, v, refused == 3 and hashlib.sha256((base / "out" / k).read_bytes()).hexdigest() == v) for k, v in sorted(hashes.items())]
+    return members.sparkSession.createDataFrame(rows, "member string, hash string, whole boolean")
