@@ -77,10 +77,23 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _unit64(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return _unit64(x).astype(np.float32)
+
+
+def _first(row: np.ndarray, name: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k greatest of every row; of equal ones the first by name."""
+    order = np.lexsort((name.astype(str), -np.round(cos, 9), row))
+    row, name, cos = row[order], name[order], cos[order]
+    start = np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], np.arange(len(row)), 0)) if len(row) else row
+    keep = np.arange(len(row)) - start < k
+    return row[keep], name[keep], cos[keep]
 
 
 def _keys(batches: Iterator[pa.RecordBatch], dim: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -358,29 +371,33 @@ def search(queries: DataFrame, df: DataFrame, *, id_col: str, vector: str, dim:
         part = q.where(F.col("block") == b).select("name", "v").toPandas()
         if not len(part):
             continue
-        sent = spark.sparkContext.broadcast((part["name"].tolist(), _unit(np.stack(part["v"].to_numpy()).astype(np.float32))))
+        sent = spark.sparkContext.broadcast((part["name"].tolist(), _unit64(np.stack(part["v"].to_numpy()).astype(np.float32))))
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, qx = sent.value
-            qi, ni, ci = [], [], []
+            q32 = qx.astype(np.float32)
+            out: list = [[], [], []]
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 ids = np.array(batch.column("name").to_pylist(), object)
-                x = _unit(_matrix(batch.column("v"), dim))
-                cos = qx @ x.T
-                cut = min(k + 1, cos.shape[1])
-                top = np.argpartition(-cos, cut - 1, axis=1)[:, :cut]
-                floor = np.take_along_axis(cos, top, axis=1).min(axis=1) - 1e-6
+                x = _unit64(_matrix(batch.column("v"), dim))
+                cos = q32 @ x.astype(np.float32).T
+                cut = min(k + 1, cos.shape[1])  # one may be the query itself
+                floor = -np.partition(-cos, cut - 1, axis=1)[:, cut - 1] - 1e-5
                 r, c = np.nonzero(cos >= floor[:, None])  # ties with the last stay in
-                exact = (qx[r].astype(np.float64) * x[c].astype(np.float64)).sum(axis=1)
-                qi += [names[i] for i in r]
-                ni += ids[c].tolist()
-                ci += exact.tolist()
-            keep = [i for i in range(len(qi)) if qi[i] != ni[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([qi[i] for i in keep], pa.string()), pa.array([ni[i] for i in keep], pa.string()), pa.array([ci[i] for i in keep], pa.float64())], ["query", "id", "cosine"])
+                for o, y in zip(out, (r, ids[c], (qx[r] * x[c]).sum(axis=1))):
+                    o.append(y)
+                if len(out[0]) > 64:
+                    out = [[y] for y in _first(*map(np.concatenate, out), k + 1)]
+            if out[0]:
+                r, ids, cos = _first(*map(np.concatenate, out), k + 1)
+                keep = np.array([names[i] != n for i, n in zip(r, ids)], bool)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in r[keep]], pa.string()), pa.array(ids[keep], pa.string()), pa.array(cos[keep])], ["query", "id", "cosine"])
 
         one = rows.mapInArrow(best, "query string, id string, cosine double")
         out = one if out is None else out.unionByName(one)
     if out is None:
         return q.select(F.col("name").alias("query"), F.lit(1).alias("rank"), F.col("name").alias("id"), F.lit(0.0).alias("cosine")).limit(0)
-    w = Window.partitionBy("query").orderBy(F.round("cosine", 6).desc(), "id")
+    w = Window.partitionBy("query").orderBy(F.round("cosine", 9).desc(), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "cosine")

@@ -28,7 +28,8 @@ def p1_sketch(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     q = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-    return pct.percentiles(p1_sketch(spark, d), groups=["tool", "mode"], quantiles=q, error=ERROR)
+    p = pct.percentiles(p1_sketch(spark, d), groups=["tool", "mode"], quantiles=q, error=ERROR)
+    return p.withColumns({c: F.round(c, 6) for c in ("value", "low", "high")})
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +125,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_sketch, p1_percentiles, p1_found, p5_pairs, p5_found, p5_search, p7_leaks, p7_found, p8_mixture, p8_shares, p8_found, p9_scores, p9_rates, p9_found)}
 
+_G = (1 + ERROR) / (1 - ERROR)
+_USABLE = "len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
 SQL = {
+    # the middles and ends of buckets stand in the order of the values, so their order statistics are those of the values
+    "p1_percentiles": f"""WITH calls AS (SELECT DISTINCT measurement_id, tool, mode, wall_ms, load_phase_ms FROM {CALLS}),
+      long AS (SELECT tool, mode, 'wall_ms' AS metric, wall_ms AS v FROM calls UNION ALL SELECT tool, mode, 'load_phase_ms', load_phase_ms FROM calls),
+      b AS (SELECT tool, mode, metric, CASE WHEN v = 0 THEN 0 ELSE sign(v) * pow({_G!r}, ceil(ln(abs(v)) / ln({_G!r}))) * 2 / (1 + {_G!r}) END AS m FROM long WHERE v IS NOT NULL),
+      a AS (SELECT tool, mode, metric, count(*) AS n, list(m ORDER BY m) AS ms FROM b GROUP BY ALL), q AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q),
+      p AS (SELECT tool, mode, metric, q, n, (n - 1) * q - floor((n - 1) * q) AS share, ms[floor((n - 1) * q)::BIGINT + 1] AS x, ms[least(floor((n - 1) * q)::BIGINT + 2, n)] AS y FROM a, q),
+      w AS (SELECT *, (1 + {_G!r}) / 2 / ({_G!r} * (1 + 1e-9)) AS inner_end, (1 + {_G!r}) / 2 / (1 - 1e-9) AS outer_end FROM p),
+      e AS (SELECT *, CASE WHEN x > 0 THEN x * inner_end ELSE x * outer_end END AS xl, CASE WHEN x > 0 THEN x * outer_end ELSE x * inner_end END AS xh, CASE WHEN y > 0 THEN y * inner_end ELSE y * outer_end END AS yl, CASE WHEN y > 0 THEN y * outer_end ELSE y * inner_end END AS yh FROM w)
+      SELECT tool, mode, metric, q, n, round(x + (y - x) * share, 6) AS value, round(xl + (yl - xl) * share, 6) AS low, round(xh + (yh - xh) * share, 6) AS high FROM e""",
+    "p5_search": f"""WITH v AS (SELECT symbol_id, embedding::DOUBLE[] AS e FROM symbol_embeddings WHERE symbol_id IS NOT NULL AND {_USABLE}), q AS (SELECT v.* FROM v JOIN symbols s ON s.id = v.symbol_id WHERE s.ord % 100 = 0),
+      x AS (SELECT q.symbol_id, v.symbol_id AS neighbour_id, list_cosine_similarity(q.e, v.e) AS c FROM q JOIN v ON q.symbol_id <> v.symbol_id)
+      SELECT symbol_id, row_number() OVER (PARTITION BY symbol_id ORDER BY round(c, 9) DESC, neighbour_id) AS rank, neighbour_id, round(c, 5) AS cosine FROM x QUALIFY rank <= 5""",
     "p1_sketch": f"""WITH calls AS (SELECT DISTINCT measurement_id, tool, mode, recorded_at::DATE::VARCHAR AS day, wall_ms, load_phase_ms FROM {CALLS}),
       long AS (SELECT tool, mode, day, 'wall_ms' AS metric, wall_ms AS v FROM calls UNION ALL SELECT tool, mode, day, 'load_phase_ms', load_phase_ms FROM calls)
       SELECT tool, mode, day, metric, sign(v)::INT AS sign, CASE WHEN v = 0 THEN 0 ELSE (sign(v) * ceil(ln(abs(v)) / ln(1.005 / 0.995)))::INT END AS idx, count(*) AS n
