@@ -143,18 +143,18 @@ def _list(x: str) -> str:
     return f"CASE json_type({x}) WHEN 'ARRAY' THEN {x}::JSON[] WHEN 'OBJECT' THEN [{x}] END"
 
 
-def _below(parent: str, name: str, node: str, keys: list[str], own: str, lone: bool = False) -> str:
+def _below(parent: str, name: str, node: str, keys: list[str], own: str, lone: bool = False, many: bool = True) -> str:
     """Steps in SQL from the objects of parent (keys, o) to those below node:
     decoded, listed, numbered, and objects kept."""
     k = ", ".join(keys)
-    items = f"coalesce({_list('n')}, CASE WHEN n IS NULL OR json_type(n) NOT IN ('ARRAY', 'OBJECT') THEN [o] END)" if lone else _list("n")
+    items = f"coalesce({_list('n')}, CASE WHEN n IS NULL OR json_type(n) NOT IN ('ARRAY', 'OBJECT') THEN [o] END)" if lone else _list("n") if many else "CASE json_type(n) WHEN 'OBJECT' THEN [n] END"
     return f"""{name}_n AS (SELECT {k}, o, {node} AS n0 FROM {parent}), {name}_d AS (SELECT {k}, o, {_decoded("n0", 2)} AS n FROM {name}_n), {name}_l AS (SELECT {k}, {items} AS l FROM {name}_d),
-  {name}_u AS (SELECT {k}, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS {own} FROM {name}_l), {name} AS (SELECT * EXCLUDE (x, o0), o0 AS o FROM (SELECT {k}, {own}, {_decoded("x", 2)} AS o0 FROM {name}_u) WHERE json_type(o0) = 'OBJECT')"""
+  {name}_u AS (SELECT {k}, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS {own} FROM {name}_l), {name} AS (SELECT * EXCLUDE (o0), o0 AS o FROM (SELECT {k}, {own}, {_decoded("x", 2)} AS o0 FROM {name}_u) WHERE json_type(o0) = 'OBJECT')"""
 
 
 _TREE = f"""raw AS (SELECT DISTINCT probe_id, parity_debug_json::JSON AS r FROM {PROBES} WHERE json_valid(parity_debug_json)), rec AS (SELECT probe_id, o FROM (SELECT probe_id, {_decoded("r", 3)} AS o FROM raw) WHERE json_type(o) = 'OBJECT'),
   {_below("rec", "attempt", "o -> 'attempts'", ["probe_id"], "attempt_no", lone=True)},
-  {_below("attempt", "trace", "o -> 'hydration_trace'", ["probe_id", "attempt_no"], "t_no")},
+  {_below("attempt", "trace", "o -> 'hydration_trace'", ["probe_id", "attempt_no"], "t_no", many=False)},
   {_below("trace", "load", "o -> 'load_results'", ["probe_id", "attempt_no"], "load_no")},
   {_below("load", "access", "o -> 'accesses'", ["probe_id", "attempt_no", "load_no"], "access_no")}"""
 
