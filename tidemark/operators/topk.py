@@ -65,6 +65,11 @@ def exact_rows(x: "np.ndarray", q: "np.ndarray") -> "np.ndarray":
 def _blocks(queries: DataFrame) -> Iterator[list]:
     """Queries in blocks of about BLOCK, as lists of (query, vector); only one
     block is on the driver at a time."""
+    head = queries.limit(BLOCK + 1).collect()
+    if len(head) <= BLOCK:
+        if head:
+            yield sorted(((r["query"], list(r["qv"])) for r in head), key=lambda x: x[0])
+        return
     parts = -(-queries.count() // BLOCK)
     for b in range(parts):
         rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == b).orderBy("query").collect()
@@ -180,9 +185,9 @@ def topk(df: DataFrame, queries: DataFrame, *, id_col: str, vector: str, k: int,
     rows = _rows(df, id_col, vector, lexical)
     q = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vector).cast("array<float>").alias("qv")).where("qv IS NOT NULL")
     path = scratch(spark)
-    spark.createDataFrame([], _FOUND + ", lane string").write.parquet(path)
 
     def run(wanted: DataFrame, kernel, lane: str) -> None:
+        block = None
         for block in _blocks(wanted):
             names, qv = [x for x, _ in block], [v for _, v in block]
             if np is None:
@@ -201,6 +206,8 @@ def topk(df: DataFrame, queries: DataFrame, *, id_col: str, vector: str, k: int,
 
             rows.mapInArrow(task, _FOUND).withColumn("lane", F.lit(lane)).write.mode("append").parquet(path)
             sent.unpersist()
+        if block is None:
+            spark.createDataFrame([], _FOUND + ", lane string").write.mode("append").parquet(path)
 
     def certify(batches, names, qv):
         return _certify(batches, names, qv, k, weight, memory_cap)
