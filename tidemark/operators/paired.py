@@ -42,8 +42,8 @@ def summary(p: DataFrame, by: list[str], saved_at_least: float = 10.0, percent_a
     win = (saved >= saved_at_least) & (pct >= percent_at_least)
     d = p.withColumn("tm_ratio", ratio())
     plain = d.groupBy(*by).agg(
-        F.count("*").alias("n_pairs"), F.sum("base").alias("base_total"), F.sum("cand").alias("cand_total"), (F.sum("base") / F.sum("cand")).alias("ratio_of_sums"),
-        geomean(F.col("tm_ratio")).alias("geomean_ratio"), F.count_if(win).alias("meaningful_wins"), F.count_if(~F.coalesce(win, F.lit(False))).alias("negligible"), F.count_if(saved < 0).alias("slower"),
+        F.count("base").alias("n_pairs"), F.sum("base").alias("base_total"), F.sum("cand").alias("cand_total"), (F.sum("base") / F.sum("cand")).alias("ratio_of_sums"),
+        geomean(F.col("tm_ratio")).alias("geomean_ratio"), F.count_if(win).alias("meaningful_wins"), F.count_if(F.col("base").isNotNull() & ~F.coalesce(win, F.lit(False))).alias("negligible"), F.count_if(saved < 0).alias("slower"),
     )
     q = exact_quantiles(d, keys=by, value="tm_ratio", quantiles={"median_ratio": 0.5, "p95_ratio": 0.95})
     if by:
@@ -62,12 +62,10 @@ def report(p: DataFrame, levels: list[list[str]]) -> DataFrame:
     names = list(dict.fromkeys(c for level in levels for c in level))
     sets = F.array(*[F.struct(F.lit(i).alias("tm_level"), *[(F.col(c) if c in level else F.lit(None).cast(p.schema[c].dataType)).alias(c) for c in names]) for i, level in enumerate(levels)])
     wide = p.select("base", "cand", F.explode(sets).alias("tm_x")).select("base", "cand", "tm_x.*")
-    s = summary(wide, ["tm_level", *names])
     whole = [i for i, level in enumerate(levels) if not level]
-    if whole:
-        have = p.sparkSession.createDataFrame([(i,) for i in whole], "tm_level int").join(s.select("tm_level").distinct(), "tm_level", "left_anti")
-        s = s.unionByName(have.select("tm_level", *[F.lit(0).cast("long").alias(c) for c in ("n_pairs", "meaningful_wins", "negligible", "slower")], F.lit(0.0).alias("median_ratio")), allowMissingColumns=True)
-    return s.drop("tm_level")
+    if whole:  # no pair, but a row to count none in
+        wide = wide.unionByName(p.sparkSession.createDataFrame([(i,) for i in whole], "tm_level int"), allowMissingColumns=True)
+    return summary(wide, ["tm_level", *names]).drop("tm_level")
 
 
 def separation(df: DataFrame, *, keys: list[str], mode: str, value: str, baseline: str, candidate: str) -> DataFrame:
