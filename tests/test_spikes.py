@@ -36,6 +36,13 @@ def test_a_level_that_stays_is_no_case(spark):
     assert found(spark, rows_of(v)) == {}
 
 
+@pytest.mark.parametrize("size", [5, 6, 7])
+def test_a_burst_after_which_the_source_is_back(spark, size):
+    v = series(80)
+    v[30 : 30 + size] *= 4
+    assert found(spark, rows_of(v)) == {i: "off_level" for i in range(30, 30 + size)}
+
+
 def test_repeats_and_five_equal_values_count_once(spark):
     v = list(series(40))
     v[10:15] = [v[10]] * 5

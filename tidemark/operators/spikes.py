@@ -94,6 +94,28 @@ def vanishing(value: np.ndarray, usable: np.ndarray, stuck: int) -> np.ndarray:
     return held
 
 
+def _bursts(y: np.ndarray, spread: np.ndarray, threshold: float, near: int = 5, far: int = 20, least: int = 5) -> np.ndarray:
+    """Readings of a burst long enough to pass for a level, after which the
+    source is back where it was: off the medians of what lies near to far places
+    before and after by more than the threshold, while these two agree. y: logs
+    without what is flagged already. A burst may be half as long as such a
+    stretch; at the ends of a series, with fewer than least readings in either,
+    nothing is told."""
+    g, n = y.shape
+    if n < 2 * (near + least):
+        return np.zeros((g, n), bool)
+    pad = np.full((g, far), np.nan)
+    w = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, y, pad], axis=1), far - near + 1, axis=1)
+    before, after = w[:, :n], w[:, far + near : far + near + n]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        a, b = np.nanmedian(before, axis=2), np.nanmedian(after, axis=2)
+    known = ((~np.isnan(before)).sum(axis=2) >= least) & ((~np.isnan(after)).sum(axis=2) >= least)
+    limit = threshold * spread[:, None] * np.sqrt(1 + 1 / least)
+    with np.errstate(invalid="ignore"):
+        return known & (np.abs(a - b) < limit) & (np.abs(y - a) > limit) & (np.abs(y - b) > limit)
+
+
 def flag_series(value: np.ndarray, usable: np.ndarray, *, threshold: float = 5.0, drift: float = 0.03, settle: int = 5, stuck: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(off level, stuck) for (series, time) readings; usable marks those that
     are possible. Fewer than eight usable readings give no level, so nothing is
@@ -116,6 +138,7 @@ def flag_series(value: np.ndarray, usable: np.ndarray, *, threshold: float = 5.0
         spread = np.maximum(_filter(y, spread, threshold, drift, settle)[1], 1e-4)
         ahead_off, behind_off = (_filter(y[:, ::way], spread, threshold, drift, settle)[0][:, ::way] for way in (1, -1))
     off = ahead_off & behind_off
+    off |= _bursts(np.where(off, np.nan, y), spread, threshold)
     off &= (keep.sum(axis=1) >= 8)[:, None]
     return off, held
 

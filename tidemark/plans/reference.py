@@ -507,7 +507,12 @@ def _deliveries(spark, d):
     return last("p", "s").unionByName(last("s", "p"))
 
 
-@query()
+_LAST = "ROW(l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey)"
+_DELIVERIES = f"e AS (SELECT 'p' || l_partkey AS src, 's' || arg_max(l_suppkey, {_LAST}) AS dst FROM lineitem GROUP BY l_partkey UNION ALL SELECT 's' || l_suppkey, 'p' || arg_max(l_partkey, {_LAST}) FROM lineitem GROUP BY l_suppkey)"
+
+
+@query(f"""WITH RECURSIVE {_DELIVERIES}, c AS (SELECT src, dst, 1 AS n FROM e UNION SELECT c.src, e.dst, n + 1 FROM c JOIN e ON c.dst = e.src WHERE c.src <> c.dst AND n < 2 * (SELECT count(*) FROM supplier))
+  SELECT src AS node, min(n)::INT AS length FROM c WHERE src = dst GROUP BY src""")
 def supply_cycles(spark, d):
     """Cycles of any length among last deliveries."""
     return graph.all_cycles(_deliveries(spark, d))
@@ -521,14 +526,15 @@ def supply_components(spark, d):
     return graph.components(_edges(spark, d).unionByName(last))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DELIVERIES}, c AS (SELECT src, dst, 1 AS n FROM e UNION SELECT c.src, e.dst, n + 1 FROM c JOIN e ON c.dst = e.src WHERE n < 3) SELECT src, dst, min(n)::INT AS depth FROM c GROUP BY ALL""")
 def supply_graph(spark, d):
     """What is reached in at most three steps along last deliveries, from every
     supplier and part."""
     return graph.closure(_deliveries(spark, d), 3)
 
 
-@query()
+@query("""WITH x AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)
+  SELECT src, dst, ra.r_name AS src_layer, rb.r_name AS dst_layer FROM x JOIN nation na ON na.n_nationkey = a JOIN region ra ON ra.r_regionkey = na.n_regionkey JOIN nation nb ON nb.n_nationkey = b JOIN region rb ON rb.r_regionkey = nb.n_regionkey WHERE ra.r_regionkey > rb.r_regionkey""")
 def supply_violations(spark, d):
     """Customers who bought, in any lineitem, from a supplier of a region above
     theirs."""
