@@ -175,6 +175,23 @@ def _offsets(ranges: list) -> dict[int, tuple[int, int, int]]:
     return out
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], before: dict[int, tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Readings with their rank in the source, once for each piece that reads
+    them."""
+    for batch in batches:
+        a, b, part, nth = (batch.column(c).to_numpy() for c in ("a", "b", "part", "nth"))
+        rank = nth.copy()
+        for p in np.unique(part).tolist():
+            if p in before:
+                fa, fb, n = before[p]
+                rank[(part == p) & (a == fa) & (b == fb)] += n
+        first, last = np.maximum(rank - HALO, 0) // PIECE, (rank + HALO) // PIECE
+        row = np.repeat(np.arange(len(rank)), last - first + 1)
+        piece = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("a", "b")], pa.array(piece), pa.array(rank[row]), *[batch.column(c).take(at) for c in ("id", "value", "possible")]], ["a", "b", "piece", "rank", "id", "value", "possible"])
+
+
 def _flags(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists, piece = batch.column("readings"), batch.column("piece").to_numpy(zero_copy_only=False)
@@ -233,15 +250,12 @@ def spikes(df: DataFrame, *, id_col: str, source: list[str], position: str, valu
     at = lambda f, c: f(F.struct("a", "b", "pos", "id"))[c]
     n_last = F.max_by("nth", F.struct("a", "b", "pos", "id", "nth")) + 1
     ends = ranked.groupBy("part").agg(at(F.min, "a").alias("fa"), at(F.min, "b").alias("fb"), at(F.max, "a").alias("la"), at(F.max, "b").alias("lb"), n_last.alias("n_last")).orderBy("part").collect()
-    before = [(p, a, b, n) for p, (a, b, n) in _offsets(ends).items()]
-    rank = F.col("nth")
-    if before:
-        carried = df.sparkSession.createDataFrame(before, "part int, a long, b long, tm_before long")
-        ranked = ranked.join(F.broadcast(carried), ["part", "a", "b"], "left")
-        rank = rank + F.coalesce("tm_before", F.lit(0).cast("long"))
-    first = F.greatest(F.lit(0), F.floor((F.col("rank") - HALO) / PIECE)).cast("long")
-    pieces = F.sequence(first, F.floor((F.col("rank") + HALO) / PIECE).cast("long"))
-    rows = ranked.withColumn("rank", rank).select("a", "b", F.explode(pieces).alias("piece"), F.struct("rank", "id", "value", "possible").alias("r"))
+    before = _offsets(ends)  # one entry per range at most
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pieces(batches, before)
+
+    rows = ranked.mapInArrow(pieces, "a long, b long, piece long, rank long, id long, value double, possible boolean").select("a", "b", "piece", F.struct("rank", "id", "value", "possible").alias("r"))
     grouped = rows.groupBy("a", "b", "piece").agg(F.collect_list("r").alias("readings"))
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
