@@ -138,3 +138,31 @@ def test_recall_does_not_depend_on_the_number_of_ranges(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     print(parts, len(want & got), len(want))
     assert len(want & got) / len(want) >= 0.97
+
+
+@pytest.mark.parametrize("cosine", [0.90, 0.93, 0.98])
+def test_recall_in_clusters_of_any_size(spark, cosine):
+    """All pairs of a cluster are about as near, so the five nearest of each are
+    hard to tell from the rest of it."""
+    g = np.random.default_rng(int(cosine * 100))
+    sizes, parts = [8] * 30 + [200] * 2 + [1000, 3000], []
+    for size in sizes:
+        c = g.standard_normal(96)
+        c /= np.linalg.norm(c)
+        z = g.standard_normal((size, 96))
+        z -= (z @ c)[:, None] * c
+        parts.append(np.sqrt(cosine) * c + np.sqrt(1 - cosine) * z / np.linalg.norm(z, axis=1, keepdims=True))
+    x = np.concatenate([*parts, g.standard_normal((2000, 96))])
+    x = (x * g.uniform(0.5, 3, (len(x), 1))).astype(np.float32)
+    owner = np.repeat([*sizes, 0], [*sizes, 2000])
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    true: dict[int, set] = {s: set() for s in {*sizes, 0}}
+    for lo in range(0, len(u), 1000):
+        c = u[lo : lo + 1000] @ u.T
+        c[np.arange(len(c)), np.arange(lo, lo + len(c))] = -2
+        for i, near in enumerate(np.argpartition(-c, 5, axis=1)[:, :5]):
+            true[owner[lo + i]] |= {(min(lo + i, int(j)), max(lo + i, int(j))) for j in near if c[i, j] >= 0.85}
+    df = spark.createDataFrame([(f"{i:05d}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, v array<float>")
+    got = {(int(r["a"]), int(r["b"])) for r in similar_pairs(df, id_col="id", vector="v", dim=96).collect()}
+    for size in set(sizes):
+        assert len(true[size] & got) >= 0.97 * len(true[size]), size
