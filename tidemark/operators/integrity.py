@@ -112,6 +112,21 @@ def redact(df: DataFrame, replace: dict[str, str], constants: dict[str, str] | N
     return df.withColumns({c: new(c) for c in texts}), changed
 
 
+def clipped_first(df: DataFrame, paths: str) -> DataFrame:
+    """df with clipped: whether the first of a JSON list of paths begins with a
+    folder that isn't known, but is when a letter is put in front. Known are the
+    folders with which later paths of any row begin; they are few, counted in
+    each task first. Text that is no such list is not clipped."""
+    d = df.withColumn("tm_p", F.from_json(paths, "array<string>"))
+    head = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
+    known = d.select(F.explode(F.slice("tm_p", 2, F.greatest(F.size("tm_p"), F.lit(1)))).alias("x")).select(head(F.col("x")).alias("tm_h")).where("tm_h IS NOT NULL").distinct()
+    known = materialise(known)
+    first = d.withColumn("tm_h", head(F.get("tm_p", F.lit(0))))
+    short = known.where("length(tm_h) > 1").select(F.substring("tm_h", 2, 1_000_000).alias("tm_h"), F.lit(True).alias("tm_short")).distinct()
+    j = first.join(known.withColumn("tm_known", F.lit(True)), "tm_h", "left").join(short, "tm_h", "left")
+    return j.select(*df.columns, (F.col("tm_known").isNull() & F.col("tm_short").isNotNull()).alias("clipped"))
+
+
 ABSOLUTE_PATH = r"(?<![A-Za-z0-9:/.])(?:/(?:home|Users|root|tmp)/|[A-Za-z]:\\)"
 
 

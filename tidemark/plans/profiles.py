@@ -203,6 +203,19 @@ def json_documents(spark, d):
     return back.select("k", F.array_join("names", ",").alias("names"))
 
 
+@query("SELECT 'orc' AS format, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY event_type UNION ALL SELECT 'json', event_type, count(*), round(sum(value), 3) FROM events GROUP BY event_type")
+def other_formats(spark, d):
+    """The same table written and read as ORC and as lines of JSON."""
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    out = []
+    for kind in ("orc", "json"):
+        path = scratch(spark)
+        e.write.format(kind).save(path)
+        back = spark.read.schema(e.schema).format(kind).load(path)
+        out.append(back.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")).select(F.lit(kind).alias("format"), "event_type", "n", "total"))
+    return out[0].unionByName(out[1])
+
+
 @query("SELECT r_name AS member, sha256(r_name || chr(10)) AS hash, true AS whole FROM region")
 def packed(spark, d):
     """A sealed archive of one file per region: packed, verified, installed, and

@@ -666,11 +666,14 @@ def json_path_read(spark, d):
     return p.groupBy("probe_id").agg(F.max(F.try_variant_get("v", "$.order_position", "int")).alias("position"), F.max(consistent).alias("consistent"))
 
 
-@query(f"""SELECT probe_id, max(regexp_matches(coalesce(json_extract_string(source_dirty_paths, '$[0]'), ''), '^(rc|cripts|ib|ests|pp)/')) AS clipped FROM {PROBES} GROUP BY probe_id""")
+@query(f"""WITH p AS (SELECT DISTINCT probe_id, CASE WHEN json_valid(source_dirty_paths) AND json_type(source_dirty_paths::JSON) = 'ARRAY' THEN json_extract_string(source_dirty_paths, '$[*]') END AS ps FROM {PROBES}),
+  k AS (SELECT DISTINCT split_part(x, '/', 1) AS head FROM (SELECT unnest(ps[2:]) AS x FROM p)), f AS (SELECT probe_id, split_part(ps[1], '/', 1) AS head FROM p)
+  SELECT probe_id, coalesce(head NOT IN (SELECT head FROM k) AND head IN (SELECT substr(head, 2) FROM k WHERE length(head) > 1), false) AS clipped FROM f""")
 def clipped_paths(spark, d):
-    """First dirty path without its first letter."""
-    first = F.coalesce(F.get_json_object("source_dirty_paths", "$[0]"), F.lit(""))
-    return table(spark, d, PROBES).groupBy("probe_id").agg(F.max(first.rlike("^(rc|cripts|ib|ests|pp)/")).alias("clipped"))
+    """Probes whose first dirty path begins with a folder that no later path has,
+    but for the first letter."""
+    p = table(spark, d, PROBES).select("probe_id", "source_dirty_paths").distinct()
+    return integrity.clipped_first(p, "source_dirty_paths").select("probe_id", "clipped")
 
 
 # --- scalar functions ------------------------------------------------------
@@ -698,11 +701,11 @@ def number_functions(spark, d):
 
 
 @query("""SELECT vec_id, len(embedding) AS n, round(list_max(embedding)::DOUBLE, 6) AS top, list_position(embedding, list_max(embedding)) AS at, len(list_filter(embedding, lambda x: x > 0)) AS n_positive,
-  len(list_filter(embedding, lambda x: x > 0)) > 0 AS some, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm2, true AS finite FROM embeddings""")
+  len(list_filter(embedding, lambda x: x > 0)) > 0 AS some, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm2, len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AS finite FROM (SELECT symbol_id AS vec_id, embedding FROM symbol_embeddings WHERE len(embedding) > 0)""")
 def array_functions(spark, d):
     e = F.col("embedding")
-    return table(spark, d, "embeddings").select(
-        "vec_id", F.size(e).alias("n"), r(F.array_max(e).cast("double")).alias("top"), F.array_position(e, F.array_max(e)).alias("at"), F.size(F.filter(e, lambda x: x > 0)).alias("n_positive"), F.exists(e, lambda x: x > 0).alias("some"),
+    return table(spark, d, "symbol_embeddings").where("size(embedding) > 0").select(
+        F.col("symbol_id").alias("vec_id"), F.size(e).alias("n"), r(F.array_max(e).cast("double")).alias("top"), F.array_position(e, F.array_max(e)).alias("at"), F.size(F.filter(e, lambda x: x > 0)).alias("n_positive"), F.exists(e, lambda x: x > 0).alias("some"),
         r(F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm2"), T.finite(e).alias("finite"),
     )
 
