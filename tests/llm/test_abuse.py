@@ -82,3 +82,16 @@ def test_rates(spark, model):
     d = abuse.score(frame(spark, [BAD[0], GOOD[0]]), model, carry=("source",))
     r = abuse.rates(d, by="source").first()
     assert (r["documents"], r["abusive"], r["rate"]) == (2, 1, 0.5)
+
+
+def test_training_is_bounded_in_rows_and_bytes(spark):
+    from tidemark.llm.abuse import labelled
+
+    docs = spark.createDataFrame([(i, None if i == 3 else "x" * 100) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(0, 1), (5, None)], "doc_id long, is_abusive int")
+    texts, y = labelled(docs, labels)
+    assert len(texts) == 19 and sorted(set(y)) == [0.0, 0.5, 1.0]
+    assert len(labelled(docs, labels, limit=7)[0]) in (6, 7)
+    some, _ = labelled(docs, labels, most=550)
+    assert len(some) == 5 and labelled(docs, labels, most=550)[0] == some
+    assert labelled(docs.limit(0), labels)[0] == []

@@ -19,9 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 #: Features are hashed into 2**BITS weights.
 BITS = 18
 #: A document counts as abusive from this score on. With ample labels, abusive
@@ -30,6 +32,8 @@ THRESHOLD = 0.7
 #: The model is fitted on at most so many labelled documents (those with the
 #: least hash of their id), which bounds what comes to the driver.
 MAX_TRAIN = 20_000
+#: And on at most so many bytes of text, again in the order of the hash.
+MAX_BYTES = 512 * 1024 * 1024
 
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOK_ALIKE = {
@@ -245,14 +249,20 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = 250, rate: float =
     return Model(weights, float(bias))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "is_abusive", limit: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """Texts and mean verdicts of at most limit labelled documents. A document
-    with a NULL text or without verdict is left out."""
+def labelled(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "is_abusive", limit: int = MAX_TRAIN, most: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
+    """Texts and mean verdicts of at most limit labelled documents with at most
+    most bytes of text together, whole texts, those with the least hash of their
+    id first. A document with a NULL text or without verdict is left out."""
     votes = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc).alias("tm_doc")).agg(F.avg(label).alias("tm_y"))
     # at most limit rows, so they may be broadcast, and texts stay where they are
     votes = votes.orderBy(F.xxhash64("tm_doc"), "tm_doc").limit(limit)
-    rows = docs.select(F.col(doc).alias("tm_doc"), F.col(text).alias("tm_text")).join(F.broadcast(votes), "tm_doc").where("tm_text IS NOT NULL").select("tm_doc", "tm_text", "tm_y").orderBy("tm_doc").collect()
-    return [r["tm_text"] for r in rows], np.array([r["tm_y"] for r in rows])
+    rows = docs.select(F.col(doc).alias("tm_doc"), F.col(text).alias("tm_text")).join(F.broadcast(votes), "tm_doc").where("tm_text IS NOT NULL").select("tm_doc", "tm_text", "tm_y")
+    rows = materialise(rows.withColumn("tm_size", F.octet_length("tm_text")))
+    if (rows.agg(F.sum("tm_size")).first()[0] or 0) > most:  # sizes alone are put in order
+        upto = F.sum("tm_size").over(Window.orderBy(F.xxhash64("tm_doc"), "tm_doc"))
+        rows = rows.join(rows.select("tm_doc", upto.alias("tm_upto")).where(F.col("tm_upto") <= most), "tm_doc", "left_semi")
+    got = rows.orderBy("tm_doc").collect()
+    return [r["tm_text"] for r in got], np.array([r["tm_y"] for r in got])
 
 
 def score(docs: DataFrame, model: Model, *, doc: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
