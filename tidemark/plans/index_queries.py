@@ -57,10 +57,12 @@ def tool_churn_rate(spark, d):
     return c.withColumn("per_day", F.round("per_day", 6))
 
 
-@query(f"""SELECT repo_name, "case", measurement_id, row_number() OVER (PARTITION BY repo_name, "case" ORDER BY recorded_at DESC, measurement_id, load_id) AS nth FROM {CALLS} QUALIFY nth <= 3""")
+@query(f"""WITH c AS (SELECT *, json_extract_string(target_value, '$.symbol_id') AS symbol_id FROM {CALLS})
+  SELECT symbol_id, measurement_id, load_id, tool, row_number() OVER (PARTITION BY symbol_id ORDER BY recorded_at DESC, measurement_id, load_id) AS nth FROM c WHERE symbol_id IS NOT NULL QUALIFY nth <= 3""")
 def tool_symbol_provenance(spark, d):
-    c = table(spark, d, CALLS).select("repo_name", "case", "measurement_id", "recorded_at", "load_id")
-    return tools.latest_each(c, ["repo_name", "case"], [F.desc("recorded_at"), F.col("measurement_id"), F.col("load_id")], 3).select("repo_name", "case", "measurement_id", "nth")
+    """The three latest calls about each symbol that calls were about."""
+    c = table(spark, d, CALLS).select(F.get_json_object("target_value", "$.symbol_id").alias("symbol_id"), "measurement_id", "load_id", "tool", "recorded_at").where("symbol_id IS NOT NULL")
+    return tools.latest_each(c, ["symbol_id"], [F.desc("recorded_at"), F.col("measurement_id"), F.col("load_id")], 3).drop("recorded_at")
 
 
 @query("SELECT name, levenshtein(lower(name), 'snapshott.colect_000')::INT AS distance FROM (SELECT DISTINCT name FROM symbols WHERE name IS NOT NULL) ORDER BY distance, name LIMIT 5")

@@ -622,6 +622,18 @@ def canonical_hash(spark, d):
     return p.select("probe_id", canonical.digest(c).alias("digest"))
 
 
+@query(f"""WITH c AS (SELECT DISTINCT measurement_id, mode, repetition, target_value::JSON AS t FROM {CALLS}),
+  x AS (SELECT measurement_id, '{{"a":' || to_json(mode)::VARCHAR || ',"b":[{{' || array_to_string(list_transform(list_sort(json_keys(t)), lambda k: to_json(k)::VARCHAR || ':' || json_extract(t, '$."' || k || '"')::VARCHAR), ',') || '}},{{"n":' || repetition || '}}]}}' AS canonical FROM c)
+  SELECT measurement_id, canonical, sha256(canonical) AS digest FROM x""")
+def canonical_rows(spark, d):
+    """Answers made up around each call's target, with volatile parts at two
+    depths, in canonical form and hashed."""
+    c = table(spark, d, CALLS).select("measurement_id", "mode", "repetition", "target_value").distinct()
+    text = F.concat(F.lit('{"cost_avoided_x": 1, "b": [ '), "target_value", F.lit(', {"process_cpu_ms": 7, "n": '), F.col("repetition").cast("string"), F.lit(', "cost_avoided": {}}], "a": "'), "mode", F.lit('"}'))
+    x = c.select("measurement_id", canonical.canonical_json(text, drop=("process_cpu_ms", "peak_rss_bytes"), drop_prefix=("cost_avoided",)).alias("canonical"))
+    return x.withColumn("digest", canonical.digest(F.col("canonical")))
+
+
 @query("SELECT event_id, left(sha256(user_id || chr(31) || event_type || chr(31) || event_id), 24) AS row_id FROM events")
 def row_identity(spark, d):
     return table(spark, d, "events").select("event_id", T.row_identity(F.col("user_id"), F.col("event_type"), F.col("event_id")).alias("row_id"))
