@@ -301,3 +301,21 @@ def test_text_functions(spark):
     assert T.quoted("a`b") == "`a``b`"
     ident = df.select(T.row_identity(F.col("p"), F.lit(1))).collect()
     assert len(ident[0][0]) == 24 and ident[4][0] is None
+
+
+def test_clipped_paths_and_audits(spark):
+    rows_ = [(1, '["rc/a.py", "tests/b.py"]'), (2, '["src/a.py", "src/c.py"]'), (3, '["other/x"]'), (4, "[]"), (5, None), (6, "no list"), (7, '["ests/q"]')]
+    df = spark.createDataFrame([(*r, "src") for r in rows_], "id int, p string, tm_h string")
+    assert {r["id"] for r in integrity.clipped_first(df, "p").where("clipped").collect()} == {1, 7}
+    assert integrity.clipped_first(df, "p").count() == 7 and integrity.clipped_first(df.limit(0), "p").count() == 0
+    tables = {"a": df.select("id", "p"), "b": spark.createDataFrame([("src", 1.0), (None, 2.0)], "s string, x double")}
+    assert rows(integrity.marker_audit(tables, ["src"])) == [("a", "p", "src", 1), ("b", "s", "src", 1)]
+    assert rows(integrity.marker_audit(tables, ["src"], {"b": {"s": "x < 2"}})) == [("a", "p", "src", 1)]
+    assert rows(integrity.table_audit(tables)) == [("a", 7, 2, 1), ("b", 2, 2, 1)]
+
+
+def test_number_and_time_formats(spark):
+    df = spark.createDataFrame([("2026-01-31 08:05:09.9", 7, 1.5, "pre_x"), (None, None, None, None)], "t string, n int, x double, s string").withColumn("t", F.col("t").cast("timestamp"))
+    got = df.select(T.utc_stamp(F.col("t")).alias("a"), T.padded(F.col("n")).alias("b"), T.milliseconds(F.col("x")).alias("c"), T.without_prefix(F.col("s"), "pre_").alias("d"), T.without_prefix(F.col("s"), "x").alias("e")).collect()
+    assert tuple(got[0]) == ("2026-01-31T08:05:09Z", "007", "1.500 ms", "x", "pre_x")
+    assert tuple(got[1]) == (None,) * 5

@@ -63,12 +63,12 @@ def utc_stamp(c: Column) -> Column:
 
 
 def milliseconds(c: Column) -> Column:
-    return F.format_string("%.3f ms", c)
+    return F.when(c.isNotNull(), F.format_string("%.3f ms", c))
 
 
 def padded(c: Column, width: int = 3) -> Column:
     """A whole number with zeros in front."""
-    return F.format_string(f"%0{width}d", c)
+    return F.when(c.isNotNull(), F.format_string(f"%0{width}d", c))
 
 
 def without_prefix(c: Column, prefix: str) -> Column:
@@ -76,11 +76,11 @@ def without_prefix(c: Column, prefix: str) -> Column:
 
 
 def percent(c: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%.{digits}f%%", 100 * c)
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f%%", 100 * c))
 
 
 def times(c: Column) -> Column:
-    return F.format_string("%.2fx", c)
+    return F.when(c.isNotNull(), F.format_string("%.2fx", c))
 
 
 def truthy(c: Column, kind: str) -> Column:
