@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.profile import Check, departures, profile
 
@@ -80,3 +81,81 @@ def test_departures(spark):
     got = {tuple(r) for r in departures(p, pattern_columns=("c",), range_columns=("b",), distinct_columns=("c",), median_columns=("a",)).collect()}
     wrong = {(str(x), "b", "range") for x in range(1, 10)}
     assert got == wrong | {("3", "a", "distribution"), ("5", "a", "null_rate"), ("7", "c", "pattern"), ("8", "c", "distinct")}
+
+
+def distances_of(d, load, c, order):
+    """ks_before and ks_rest by brute force; order without loads that have no
+    value."""
+    part = lambda x: d[d[load].isna() if x is None else d[load] == x][c].dropna()
+    rank = {v: k for k, v in enumerate(sorted(set(d[c].dropna())))}
+    own = {x: part(x).map(rank) for x in order}
+    out, kept = {}, [x for x in order if len(own[x])]
+    for k, x in enumerate(kept):
+        rest = [own[y] for y in kept if y is not x]
+        out[x] = (ks(own[x], own[kept[k - 1]]) if k else None, ks(own[x], pd.concat(rest)) if rest else None)
+    return out
+
+
+def check_distances(frame, want, c, name=lambda x: None if x is None else str(x)):
+    got = {r["load_id"]: (r["ks_before"], r["ks_rest"]) for r in frame.where(f"column_name = '{c}'").collect()}
+    assert set(got) == {name(x) for x in want}
+    for x, pair in want.items():
+        for a, b in zip(got[name(x)], pair):
+            assert a is None and b is None or a == pytest.approx(b, abs=1e-12)
+
+
+def test_text_columns_have_distances_and_quantiles(spark):
+    df, d = make(spark)
+    for parts in (1, 5):
+        p = profile(df, load="load", columns=["a", "b", "c"], parts=parts)
+        check_distances(p.text_distances, distances_of(d, "load", "c", [1, 2, 3, 4]), "c")
+        q = {(r["load_id"], r["column_name"], r["q"]): r["value"] for r in p.text_quantiles.collect()}
+        assert len(q) == 12
+        for load in range(1, 5):
+            x = sorted(d[d.load == load].c.dropna())
+            for at in (0.25, 0.5, 0.75):
+                assert q[str(load), "c", at] == x[math.ceil(len(x) * at) - 1]
+        assert {r["column_name"] for r in p.distances.collect()} == {r["column_name"] for r in p.quantiles.collect()} == {"a", "b"}
+
+
+@pytest.fixture
+def small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    yield
+    spark.conf.set(key, kept)
+
+
+def test_a_null_load_counts_as_one_over_many_batches(spark, small_batches):
+    df, d = make(spark, 1500)
+    df = df.withColumn("load", F.when(F.col("load") != 2, F.col("load")))
+    d = d.assign(load=d.load.where(d.load != 2))
+    p = profile(df, load="load", columns=["a", "b", "c"], parts=2)
+    for frame, c in ((p.distances, "a"), (p.distances, "b"), (p.text_distances, "c")):
+        check_distances(frame, distances_of(d, "load", c, [None, 1, 3, 4]), c)
+    p = profile(df, load="load", columns=["a"], parts=2, order=["4", None, "3", "1"])
+    check_distances(p.distances, distances_of(d, "load", "a", [4, None, 3, 1]), "a")
+
+
+def test_the_load_before_is_the_last_with_values(spark):
+    df, d = make(spark, 1500)
+    df = df.withColumn("a", F.when(~F.col("load").isin(1, 3), F.col("a")))
+    d = d.assign(a=d.a.where(~d.load.isin([1, 3])))
+    p = profile(df, load="load", columns=["a", "b"])
+    want = distances_of(d, "load", "a", [1, 2, 3, 4])
+    assert set(want) == {2, 4} and want[4][0] is not None
+    check_distances(p.distances, want, "a")
+    check_distances(p.distances, distances_of(d, "load", "b", [1, 2, 3, 4]), "b")
+
+
+def test_loads_that_python_spells_otherwise(spark):
+    df, d = make(spark, 500)
+    df, d = df.withColumn("load", F.col("load") > 2), d.assign(load=d.load > 2)
+    p = profile(df, load="load", columns=["b"])
+    check_distances(p.distances, distances_of(d, "load", "b", [False, True]), "b", lambda x: str(x).lower())
+
+
+def test_empty_table_has_no_text_figures(spark):
+    p = profile(spark.createDataFrame([], SCHEMA), load="load", columns=["a", "c"])
+    assert p.text_quantiles.count() == p.text_distances.count() == 0

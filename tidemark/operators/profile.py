@@ -30,6 +30,9 @@ _CURVE = "col int, load string, part int, kind int, n long, distinct long, upto
 #: Loads whose names may pass the driver.
 MAX_LOADS = 1_000_000
 
+#: Pairs of successive loads that are broadcast; more are joined as Spark sees fit.
+BROADCAST_STEPS = 100_000
+
 
 @dataclass(frozen=True)
 class Check:
@@ -43,15 +46,21 @@ class Check:
 
 @dataclass
 class Profile:
-    """columns: one row per load and column. curve: cumulative counts of the
-    numeric columns, from which quantiles and distances come."""
+    """columns: one row per load and column. quantiles and distances are of the
+    numeric columns, text_quantiles and text_distances of all others."""
 
     columns: DataFrame
     quantiles: DataFrame
     distances: DataFrame
+    text_quantiles: DataFrame
+    text_distances: DataFrame
     names: list[str] = field(default_factory=list)
 
 
+def _numeric(kind: T.DataType) -> bool:
+    return isinstance(kind, (*_INTEGRAL, T.FloatType, T.DoubleType, T.DecimalType))
+
+
 def _unpivot(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
     parts = []
     for k, c in enumerate(columns):
@@ -59,7 +68,7 @@ def _unpivot(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
         i, d, s = (F.lit(None).cast(x) for x in ("long", "double", "string"))
         if isinstance(kind, _INTEGRAL):
             i = F.col(c).cast("long")
-        elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        elif _numeric(kind):
             d = F.col(c).cast("double")
         else:
             s = F.col(c).cast("string")
@@ -67,25 +76,26 @@ def _unpivot(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(load).cast("string").alias("load"), F.inline(F.array(*parts)))
 
 
-def _walk(batches: Iterator[pa.RecordBatch], before: dict) -> Iterator[pa.RecordBatch]:
-    """Cumulative counts within one sorted range. Rows that share the last value
+def _walk(batches: Iterator[pa.RecordBatch], before: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Cumulative counts within one sorted range, of every column. before: by
+    column, the load to compare each load with. Rows that share the last value
     of a batch wait for the next batch, so that equal values stay together;
     there is at most one such row per load."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    seen: dict[tuple, int] = {}  # (column, load) and (column, None): counted so far
+    seen: dict[tuple, int] = {}  # (column, load): counted so far
+    whole: dict[int, int] = {}  # column: counted so far in all loads; None is a load, too
     total: dict[tuple, list] = {}
     held: pa.Table | None = None
 
-    def block(t: pa.Table) -> pa.RecordBatch | None:
+    def block(t: pa.Table) -> pa.RecordBatch:
         cols = t.column("col").to_numpy()
         n = t.column("n").to_numpy()
         coded = t.column("load").combine_chunks().dictionary_encode("encode")
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         loads = np.array(names, object)[code]
         i, d, s = t.column("i"), t.column("d"), t.column("s")
-        text = ~s.is_null().to_numpy()
         key = [cols, i.fill_null(0).to_numpy(), d.fill_null(0.0).to_numpy(), np.array(pc.fill_null(s, "").to_pylist(), object)]
         new = np.ones(len(cols), bool)
         if len(cols) > 1:
@@ -93,31 +103,30 @@ def _walk(batches: Iterator[pa.RecordBatch], before: dict) -> Iterator[pa.Record
             new[1:] = ~same
         at = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
-        out: dict[str, list] = {k: [] for k in ("col", "load", "n", "upto", "all_upto", "all_before", "prev_upto", "prev_before", "i", "d")}
+        out: dict[str, list] = {k: [] for k in ("col", "load", "n", "upto", "all_upto", "all_before", "prev_upto", "prev_before", "at")}
         for c in np.unique(cols):
             own = np.flatnonzero(cols == c)
-            numeric = not text[own[0]]
             run = np.cumsum(np.where(cols == c, n, 0))
             group_end = np.r_[starts[1:], len(n)] - 1
-            all_upto, all_before = seen.get((c, None), 0) + run[group_end[at]], seen.get((c, None), 0) + run[starts[at]] - n[starts[at]]
+            all_upto, all_before = whole.get(c, 0) + run[group_end[at]], whole.get(c, 0) + run[starts[at]] - n[starts[at]]
             curves: dict = {}
             codes, held_by = np.unique(code[own]), np.argsort(code[own], kind="stable")
             ends = np.searchsorted(code[own][held_by], codes, "right")
             for x, lo, hi in zip(codes, np.r_[0, ends[:-1]], ends):
                 mine, load = own[held_by[lo:hi]], names[x]
                 curves[load] = (at[mine], np.cumsum(n[mine]) + seen.get((c, load), 0), mine)
-            bases = {load: seen.get((c, before.get(load)), 0) if load in before else 0 for load in curves}
+            priors = before[c]
+            bases = {load: seen.get((c, priors[load]), 0) if load in priors else 0 for load in curves}
             for load, (spots, upto, mine) in curves.items():
-                if numeric:
-                    prior, base = before.get(load, ""), bases[load]
-                    p_spots, p_upto, _ = curves.get(prior, (np.zeros(0, int), np.zeros(0, int), None))
-                    p_all = np.r_[base, p_upto]
-                    out["col"].append(np.full(len(mine), c)), out["load"].append(loads[mine])
-                    out["n"].append(n[mine]), out["upto"].append(upto)
-                    out["all_upto"].append(all_upto[mine]), out["all_before"].append(all_before[mine])
-                    out["prev_upto"].append(p_all[np.searchsorted(p_spots, spots, "right")])
-                    out["prev_before"].append(p_all[np.searchsorted(p_spots, spots, "left")])
-                    out["i"].append(mine), out["d"].append(mine)
+                none = (np.zeros(0, int), np.zeros(0, int), None)
+                p_spots, p_upto, _ = curves.get(priors[load], none) if load in priors else none
+                p_all = np.r_[bases[load], p_upto]
+                out["col"].append(np.full(len(mine), c)), out["load"].append(loads[mine])
+                out["n"].append(n[mine]), out["upto"].append(upto)
+                out["all_upto"].append(all_upto[mine]), out["all_before"].append(all_before[mine])
+                out["prev_upto"].append(p_all[np.searchsorted(p_spots, spots, "right")])
+                out["prev_before"].append(p_all[np.searchsorted(p_spots, spots, "left")])
+                out["at"].append(mine)
                 low, high = s[int(mine[0])].as_py(), s[int(mine[-1])].as_py()
                 first_i, last_i, first_d, last_d = i[int(mine[0])].as_py(), i[int(mine[-1])].as_py(), d[int(mine[0])].as_py(), d[int(mine[-1])].as_py()
                 t0 = total.setdefault((c, load), [0, 0, first_i, first_d, low, last_i, last_d, high])
@@ -125,16 +134,14 @@ def _walk(batches: Iterator[pa.RecordBatch], before: dict) -> Iterator[pa.Record
                 t0[1] += len(mine)
                 t0[5:] = [last_i, last_d, high]
                 seen[c, load] = int(upto[-1])
-            seen[c, None] = seen.get((c, None), 0) + int(n[own].sum())
-        if not out["col"]:
-            return None
+            whole[c] = whole.get(c, 0) + int(n[own].sum())
         x = {k: np.concatenate(v) for k, v in out.items()}
         m = len(x["col"])
-        null = pa.nulls(m, pa.string())
         return pa.RecordBatch.from_arrays(
             [pa.array(x["col"], pa.int32()), pa.array(x["load"].tolist(), pa.string()), pa.array(np.full(m, part), pa.int32()), pa.array(np.zeros(m), pa.int32()), pa.array(x["n"], pa.int64()), pa.array(np.ones(m), pa.int64())]
             + [pa.array(x[k], pa.int64()) for k in ("upto", "all_upto", "all_before", "prev_upto", "prev_before")]
-            + [i.combine_chunks().take(pa.array(x["i"])), d.combine_chunks().take(pa.array(x["d"])), null, null],
+            + [v.combine_chunks().take(pa.array(x["at"])) for v in (i, d, s)]
+            + [pa.nulls(m, pa.string())],
             names=[f.split()[0] for f in _CURVE.split(", ")],
         )
 
@@ -152,10 +159,10 @@ def _walk(batches: Iterator[pa.RecordBatch], before: dict) -> Iterator[pa.Record
                 break
             cut -= 1
         held = t.slice(cut)
-        if cut and (out := block(t.slice(0, cut))) is not None:
-            yield out
-    if held is not None and (out := block(held)) is not None:
-        yield out
+        if cut:
+            yield block(t.slice(0, cut))
+    if held is not None:
+        yield block(held)
     for kind, pick in ((1, slice(2, 5)), (2, slice(5, 8))) if total else ():
         k = list(total.items())
         values = [v[pick] for _, v in k]
@@ -176,25 +183,35 @@ def profile(df: DataFrame, *, load: str, columns: list[str], checks: dict[str, C
     columns: load_id, column_name, n_rows, n_null, n_wrong, n_distinct,
     min_value, max_value (as text). quantiles: load_id, column_name, q, value,
     with linear interpolation. distances: load_id, column_name, ks_before (to
-    the load before in order; NULL for the first), ks_rest (to all other loads
-    together; NULL if there are none). All figures are exact.
+    the last load before it in order that has a value in the column; NULL for
+    the first), ks_rest (to all other loads together; NULL if there are none).
+    text_quantiles and text_distances: the same for columns that are no
+    numbers, as text in the order of its bytes; a quantile is the least value
+    with that share of values up to it. All figures are exact.
 
     All rows count, repeated ones too. A NULL load is a load of its own. NaN is
     a value, above all others. A column with no value in a load has n_distinct
     0, NULL bounds, and no quantiles or distances. An empty table gives empty
     results. Only the named columns are read, so others cannot clash. order: the
-    loads, first to last, needed for ks_before (a number of loads that the
-    caller bounds; by default their names are collected, which refuses more than
-    MAX_LOADS).
+    loads as text, first to last, needed for ks_before (a number of loads that
+    the caller bounds; by default their names are collected, which refuses more
+    than MAX_LOADS).
     """
     spark = df.sparkSession
     checks = checks or {}
+    # which columns have a value, by load: a load without is passed over by ks_before
+    loads = df.groupBy(F.col(load).alias("l")).agg(F.array(*[F.count(c) > 0 for c in columns]).alias("has"))
     if order is None:
-        found = df.select(F.col(load).alias("l")).distinct().orderBy("l").limit(MAX_LOADS + 1).collect()
+        found = loads.orderBy("l").limit(MAX_LOADS + 1).select(F.col("l").cast("string"), "has").collect()
         if len(found) > MAX_LOADS:
             raise ValueError("too many loads; give their order, or profile fewer at a time")
-        order = [None if r["l"] is None else str(r["l"]) for r in found]
-    before = dict(zip(order[1:], order[:-1]))
+    else:
+        asked = spark.createDataFrame(list(enumerate(order)), "k long, l2 string")
+        found = asked.join(loads, F.col("l2").eqNullSafe(F.col("l").cast("string"))).orderBy("k").select("l2", "has").collect()
+    before, known = [], {}
+    for k in range(len(columns)):
+        with_values = tuple(name for name, has in found if has[k])
+        before.append(known.setdefault(with_values, dict(zip(with_values[1:], with_values[:-1]))))
     long = _unpivot(df.select(load, *columns), load, columns)
     wrong = F.lit(False)
     for k, c in enumerate(columns):
@@ -248,23 +265,30 @@ def profile(df: DataFrame, *, load: str, columns: list[str], checks: dict[str, C
     inside = lambda at: (F.col("begin") <= at) & (at < F.col("begin") + F.col("n"))
     after = F.least(F.col("at") + 1, F.col("size") - 1)
     share = (F.col("size") - 1) * F.col("q") - F.col("at")
+    numbers = [k for k, c in enumerate(columns) if _numeric(df.schema[c].dataType)]
+    is_number = F.col("col").isin(*numbers) if numbers else F.lit(False)
     quantiles_df = (
-        ranked.where(inside(F.col("at")) | inside(after))
+        ranked.where(is_number).where(inside(F.col("at")) | inside(after))
         .groupBy("col", "load", "q", "size", "at")
         .agg(F.max(F.when(inside(F.col("at")), F.col("value"))).alias("a"), F.max(F.when(inside(after), F.col("value"))).alias("b"))
         .select(F.col("load").alias("load_id"), names[F.col("col")].alias("column_name"), "q", F.when(share == 0, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * share).alias("value"))
     )
 
+    least = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.greatest(F.ceil(F.col("size") * F.lit(float(q))) - 1, F.lit(0)).alias("at")) for q in quantiles]))
+    ranked_text = sized.where(~is_number).withColumn("w", least).select("col", "load", begin.alias("begin"), "n", F.col("s_low").alias("value"), F.col("w.q").alias("q"), F.col("w.at").alias("at"))
+    text_quantiles = ranked_text.where(inside(F.col("at"))).select(F.col("load").alias("load_id"), names[F.col("col")].alias("column_name"), "q", "value")
+
     # distances: at each value of a load, its own curve against the others', before and after the step
     all_base = totals.groupBy("col", "part").agg(F.sum("n").alias("n")).withColumn("all_base", F.sum("n").over(Window.partitionBy("col").orderBy("part")) - F.col("n"))
     all_size = sums.groupBy(F.col("col").alias("c2")).agg(F.sum("size").alias("all_size"))
-    prev = spark.createDataFrame([(b, a) for b, a in before.items() if b is not None], "l4 string, prev string")
-    first = order[0] if order else None
+    steps = [(k, b, a, True) for k, own in enumerate(before) for b, a in own.items()]
+    prev = spark.createDataFrame(steps, "c4 int, l4 string, prev string, has_prev boolean")
+    prev = F.broadcast(prev) if len(steps) <= BROADCAST_STEPS else prev
     # a load may have nothing in a range: its base there is what all ranges before hold
     grid = all_base.select("col", "part").join(sums.select(F.col("col").alias("c2"), "load"), F.col("col") == F.col("c2")).drop("c2")
     grid = grid.join(totals.select(F.col("col").alias("c2"), F.col("load").alias("l2"), F.col("part").alias("p2"), "n"), (F.col("col") == F.col("c2")) & F.col("load").eqNullSafe(F.col("l2")) & (F.col("part") == F.col("p2")), "left")
     grid = grid.withColumn("prev_base", F.coalesce(F.sum("n").over(by_range) - F.coalesce("n", F.lit(0)), F.lit(0))).select(F.col("col").alias("c3"), F.col("load").alias("l3"), F.col("part").alias("p3"), "prev_base")
-    c = sized.join(F.broadcast(prev), F.col("load") == F.col("l4"), "left").drop("l4")
+    c = sized.join(prev, (F.col("col") == F.col("c4")) & F.col("load").eqNullSafe(F.col("l4")), "left").drop("c4", "l4")
     c = c.join(all_base.select(F.col("col").alias("c2"), F.col("part").alias("p2"), "all_base"), (F.col("col") == F.col("c2")) & (F.col("part") == F.col("p2"))).drop("c2", "p2")
     c = c.join(all_size, F.col("col") == F.col("c2")).drop("c2")
     c = c.join(grid, (F.col("col") == F.col("c3")) & (F.col("part") == F.col("p3")) & F.col("prev").eqNullSafe(F.col("l3")), "left").drop("c3", "p3", "l3")
@@ -274,13 +298,12 @@ def profile(df: DataFrame, *, load: str, columns: list[str], checks: dict[str, C
     pooled = [(F.col("all_base") + F.col("all_upto")) / F.col("all_size"), (F.col("all_base") + F.col("all_before")) / F.col("all_size")]
     # F_all = share*F_own + (1-share)*F_rest, so the distance to the rest is that to all, stretched
     stretch = F.when(F.col("all_size") > F.col("size"), F.col("all_size") / (F.col("all_size") - F.col("size")))
-    has_prev = F.col("prev_size").isNotNull() & (~F.col("load").eqNullSafe(F.lit(first)))
     distances = c.groupBy("col", "load").agg(
-        F.max(F.when(has_prev, F.greatest(*[F.abs(a - b) for a, b in zip(own, pre)]))).alias("ks_before"),
+        F.max(F.when(F.col("has_prev"), F.greatest(*[F.abs(a - b) for a, b in zip(own, pre)]))).alias("ks_before"),
         F.max(F.greatest(*[F.abs(a - b) for a, b in zip(own, pooled)]) * stretch).alias("ks_rest"),
     )
-    distances_df = distances.select(F.col("load").alias("load_id"), names[F.col("col")].alias("column_name"), "ks_before", "ks_rest")
-    return Profile(columns_df, quantiles_df, distances_df, list(columns))
+    shown = [F.col("load").alias("load_id"), names[F.col("col")].alias("column_name"), "ks_before", "ks_rest"]
+    return Profile(columns_df, quantiles_df, distances.where(is_number).select(*shown), text_quantiles, distances.where(~is_number).select(*shown), list(columns))
 
 
 def departures(p: Profile, *, null_rate: float = 0.20, pattern: float = 0.12, out_of_range: float = 0.05, distinct: float = 0.2, times: float = 8.0, pattern_columns: tuple[str, ...] = (), range_columns: tuple[str, ...] = (), distinct_columns: tuple[str, ...] = (), median_columns: tuple[str, ...] = ()) -> DataFrame:

@@ -43,6 +43,15 @@ def p2_distances(spark: SparkSession, d: str) -> DataFrame:
     return q.withColumns({c: F.round(c, 9) for c in ("ks_before", "ks_rest")})
 
 
+def p2_text_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return _load_id(_profile(spark, d).text_quantiles)
+
+
+def p2_text_distances(spark: SparkSession, d: str) -> DataFrame:
+    q = _load_id(_profile(spark, d).text_distances)
+    return q.withColumns({c: F.round(c, 9) for c in ("ks_before", "ks_rest")})
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     numbers = ("rss_delta_bytes", "response_bytes")
     text = ("canonical_response_hash",)
@@ -116,7 +125,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_spikes(spark, d).select("measurement_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_profile, p2_quantiles, p2_distances, p2_found, p3_changes, p3_found, p3_unified, p3_reported, p4_attempts, p4_loads, p4_accesses, p4_found, p6_spikes, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_profile, p2_quantiles, p2_distances, p2_text_quantiles, p2_text_distances, p2_found, p3_changes, p3_found, p3_unified, p3_reported, p4_attempts, p4_loads, p4_accesses, p4_found, p6_spikes, p6_found)}
 
 _LONG = f"""
 long AS (
@@ -178,6 +187,18 @@ SQL = {
       pooled AS (SELECT *, sum(c) OVER (PARTITION BY column_name, v) AS all_c, sum(size) OVER (PARTITION BY column_name, v) AS all_size,
         lag(c / size) OVER (PARTITION BY column_name, v ORDER BY load_id) AS f_before FROM curve)
       SELECT load_id, column_name, round(max(abs(c / size - f_before)), 9) AS ks_before, round(max(abs(c / size - (all_c - c) / (all_size - size))), 9) AS ks_rest FROM pooled GROUP BY ALL""",
+    "p2_text_quantiles": f"""WITH {_LONG}, three AS (
+        SELECT load_id, column_name, quantile_disc(s, 0.25) AS a, quantile_disc(s, 0.5) AS b, quantile_disc(s, 0.75) AS c FROM long WHERE s IS NOT NULL GROUP BY ALL)
+      SELECT load_id, column_name, 0.25::DOUBLE AS q, a AS value FROM three UNION ALL SELECT load_id, column_name, 0.5, b FROM three UNION ALL SELECT load_id, column_name, 0.75, c FROM three""",
+    "p2_text_distances": f"""WITH {_LONG},
+      sized AS (SELECT column_name, load_id, count(*)::DOUBLE AS size FROM long WHERE s IS NOT NULL GROUP BY ALL),
+      points AS (SELECT DISTINCT column_name, s FROM long WHERE s IS NOT NULL),
+      hits AS (SELECT column_name, load_id, s, count(*) AS n FROM long WHERE s IS NOT NULL GROUP BY ALL),
+      grid AS (SELECT p.column_name, z.load_id, p.s, z.size, coalesce(h.n, 0) AS n FROM points p JOIN sized z USING (column_name) LEFT JOIN hits h USING (column_name, load_id, s)),
+      curve AS (SELECT column_name, load_id, s, size, sum(n) OVER (PARTITION BY column_name, load_id ORDER BY s) AS c FROM grid),
+      pooled AS (SELECT *, sum(c) OVER (PARTITION BY column_name, s) AS all_c, sum(size) OVER (PARTITION BY column_name, s) AS all_size,
+        lag(c / size) OVER (PARTITION BY column_name, s ORDER BY load_id) AS f_before FROM curve)
+      SELECT load_id, column_name, round(max(abs(c / size - f_before)), 9) AS ks_before, round(max(abs(c / size - (all_c - c) / (all_size - size))), 9) AS ks_rest FROM pooled GROUP BY ALL""",
     "p2_found": f"""WITH {_LONG},
       rates AS (SELECT *, n_null / n_rows AS rate, n_wrong / nullif(n_rows - n_null, 0) AS wrong FROM stats),
       u AS (SELECT *, median(rate) OVER w AS u_rate, median(n_distinct) OVER w AS u_distinct, median(mid) OVER w AS u_mid FROM rates WINDOW w AS (PARTITION BY column_name))
